@@ -18,7 +18,7 @@ from textwarden.functions.spans import (blocked_fold, matches_sql, pairs_sql, qu
 from textwarden.rules import HIGH, PROFILES, Profile, Rule
 
 FINDING = ("struct<source:int,rule_ord:int,type:string,description:string,confidence:double,"
-           "start_pos:int,end_pos:int,severity:string,context:string,detector:string,"
+           "start_pos:bigint,end_pos:bigint,severity:string,context:string,detector:string,"
            "entity_text:string>")
 FINDINGS = f"array<{FINDING}>"
 
