@@ -76,15 +76,19 @@ def pairs_sql(gaps: str, hits: str) -> str:
             f"p -> p.hit IS NOT NULL)")
 
 
-def match_spans(text: str, pattern: Pattern) -> Column:
+def match_spans_sql(text: str, pattern: Pattern) -> str:
     """All non-overlapping matches, left to right, as
     array<struct<start_pos, end_pos, hit>>."""
     regex = regex_literal(pattern)
     end = "acc.pos + x.gap + length(x.hit)"
+    element = "struct<start_pos:int,end_pos:int,hit:string>"
     spans = blocked_fold(
         pairs_sql(f"split({text}, {regex}, -1)", f"regexp_extract_all({text}, {regex}, 0)"),
-        "struct<start_pos:int,end_pos:int,hit:string>",
-        {"pos": ("0", end)},
+        element, {"pos": ("0", end)},
         f"struct(acc.pos + x.gap AS start_pos, {end} AS end_pos, x.hit AS hit)")
-    return F.expr(f"CASE WHEN {matches_sql(text, pattern)} THEN {spans} "
-                  f"ELSE cast(array() AS array<struct<start_pos:int,end_pos:int,hit:string>>) END")
+    return (f"CASE WHEN {matches_sql(text, pattern)} THEN {spans} "
+            f"ELSE cast(array() AS array<{element}>) END")
+
+
+def match_spans(text: str, pattern: Pattern) -> Column:
+    return F.expr(match_spans_sql(text, pattern))

@@ -39,15 +39,13 @@ def is_blocked(policy: str, findings: str = "findings", **options) -> Column:
     return F.expr(f"exists({findings}, f -> {blocking_sql(policy, 'f', **options)})")
 
 
-def decide_names(texts: DataFrame, names: Column, profile: str | Profile,
-                 blocking_on: bool = True, prefix: str = "") -> DataFrame:
-    """Decision rows for profiles that report rule names."""
-    profile = profile_of(profile)
-    texts = texts.withColumn("names", names)
-    active = blocking_on or profile.policy == "any"
+def decide_names(named: DataFrame, profile: str | Profile, blocking_on: bool = True,
+                 prefix: str = "") -> DataFrame:
+    """Decision rows for profiles that report rule names (column ``names``)."""
+    active = blocking_on or profile_of(profile).policy == "any"
     blocked = (F.size("names") > 0) & F.lit(active)
-    return texts.select(
-        *[c for c in texts.columns if c not in ("names", "text")],
+    return named.select(
+        *[c for c in named.columns if c != "names"],
         F.when(blocked, 400).otherwise(200).alias("status"), blocked.alias("blocked"),
         F.when(blocked, BLOCKED_ERROR).alias("error"),
         F.transform("names", lambda n: F.concat(F.lit(prefix), n)).alias("issues"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from textwarden.functions.spans import blocked_fold
 from textwarden.operators.scan import FINDING
+from textwarden.sources.tables import stored
 
 
 def _sorted(findings: str, key: str) -> str:
@@ -48,27 +49,24 @@ def overlap_groups(findings: DataFrame, key: str, stretch: int = 1 << 16) -> Dat
 
     A text may own a large share of all findings, so it is never handled as one
     group: positions are cut into stretches, each stretch is scanned on its own,
-    and only one row per stretch is combined per text.
+    and only one small row per stretch is combined along the text.
     """
     rows = findings.withColumn("stretch", F.floor(F.col("start_pos") / stretch))
-    inside = Window.partitionBy(key, "stretch").orderBy("start_pos", "end_pos")
-    before = inside.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("reach", F.max("end_pos").over(before))
-
-    edges = findings.groupBy(key, F.floor(F.col("start_pos") / stretch).alias("stretch")).agg(
-        F.max("end_pos").alias("top"))
+    # Range frames: findings with equal starts see the same and stay together.
+    inside = Window.partitionBy(key, "stretch").orderBy("start_pos")
     along = Window.partitionBy(key).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
-    edges = edges.withColumn("carried", F.max("top").over(along)).drop("top")
-
-    rows = rows.join(edges, [key, "stretch"])
-    fresh = F.col("start_pos") >= F.coalesce(F.greatest("reach", "carried"), F.lit(-1))
-    rows = rows.withColumn("begins", F.when(fresh, F.col("start_pos")))
-    rows = rows.withColumn("grp", F.last("begins", ignorenulls=True).over(
-        inside.rowsBetween(Window.unboundedPreceding, 0)))
-    # findings at the head of a stretch may continue a group begun earlier
-    heads = rows.groupBy(key, "stretch").agg(F.max("begins").alias("begins"))
-    heads = heads.select(key, "stretch", F.last("begins", ignorenulls=True).over(along)
-                         .alias("continued"))
+
+    tops = rows.groupBy(key, "stretch").agg(F.max("end_pos").alias("top")).select(
+        key, "stretch", F.max("top").over(along).alias("carried"))
+    rows = rows.join(tops, [key, "stretch"]).withColumn(
+        "reach", F.max("end_pos").over(inside.rangeBetween(Window.unboundedPreceding, -1)))
+    fresh = F.col("start_pos") >= F.coalesce(F.greatest("reach", "carried"), F.lit(0))
+    rows = rows.withColumn("begins", F.when(fresh, F.col("start_pos"))).withColumn(
+        "grp", F.max("begins").over(inside.rangeBetween(Window.unboundedPreceding, 0)))
+
+    # findings at the head of a stretch may continue a group begun in an earlier one
+    heads = rows.groupBy(key, "stretch").agg(F.max("begins").alias("begins")).select(
+        key, "stretch", F.max("begins").over(along).alias("continued"))
     return (rows.join(heads, [key, "stretch"])
             .withColumn("grp", F.coalesce("grp", "continued"))
             .drop("stretch", "reach", "carried", "begins", "continued"))
@@ -76,7 +74,11 @@ def overlap_groups(findings: DataFrame, key: str, stretch: int = 1 << 16) -> Dat
 
 def resolve_table(findings: DataFrame, key: str) -> DataFrame:
     """Resolve overlaps between findings that sit in separate rows, for example
-    when an external entity table is merged with rule findings."""
+    when an external entity table is merged with rule findings.
+
+    The findings are read several times, so they are stored first: the scan that
+    produces them runs once."""
+    findings = stored(findings, "findings")
     order = ["source", "rule_ord", "start_pos", "end_pos"]
     columns = [c.split(":")[0] for c in FINDING[len("struct<"):-1].split(",")]
     packed = F.struct(*order, F.struct(*columns).cast(FINDING).alias("f"))

@@ -9,12 +9,12 @@ pieces; they carry ``offset`` (position of the piece), ``lead`` and ``trail``
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textwarden.functions.checks import (VALIDATORS, any_word_sql, severity_sql, window_text_sql)
-from textwarden.functions.spans import (blocked_fold, matches_sql, pairs_sql, quote,
-                                        regex_literal)
+from textwarden.functions.spans import (blocked_fold, match_spans_sql, matches_sql, pairs_sql,
+                                        quote, regex_literal)
 from textwarden.rules import HIGH, PROFILES, Profile, Rule
 
 FINDING = ("struct<source:int,rule_ord:int,type:string,description:string,confidence:double,"
@@ -52,13 +52,31 @@ def any_rule(profile: str | Profile, text: str = "text") -> Column:
         matches_sql(text, r.pattern) for r in profile_of(profile).rules) + ")")
 
 
-def mentions(text: str = "text") -> Column:
-    """Substring heuristics, in fixed order."""
-    return F.expr(f"""array_compact(array(
-        CASE WHEN contains({text}, 'sk-') AND length({text}) > 50 THEN 'potential_openai_key' END,
-        CASE WHEN contains({text}, '@') AND contains({text}, '.') THEN 'potential_email' END,
-        CASE WHEN contains(lower({text}), 'api_key') THEN 'api_key_mention' END,
-        CASE WHEN contains(lower({text}), 'password') THEN 'password_mention' END))""")
+def rule_names(texts: DataFrame, profile: str | Profile, *keys: str) -> DataFrame:
+    """``names`` per text: the rules that occur, in catalogue order."""
+    rows = texts.select(*keys, present_rules(profile).alias("names"))
+    if "piece" not in texts.columns:
+        return rows
+    order = F.array(*[F.lit(r.name) for r in profile_of(profile).rules])
+    return rows.groupBy(*keys).agg(F.array_distinct(F.flatten(F.collect_set("names"))).alias("any")
+                                   ).select(*keys, F.array_intersect(order, "any").alias("names"))
+
+
+def mentions(texts: DataFrame, *keys: str, text: str = "text") -> DataFrame:
+    """``names`` per text from substring heuristics, in fixed order."""
+    signs = {"sk": f"contains({text}, 'sk-')", "at": f"contains({text}, '@')",
+             "dot": f"contains({text}, '.')", "api_key": f"contains(lower({text}), 'api_key')",
+             "password": f"contains(lower({text}), 'password')"}
+    rows = texts.select(*keys, F.length(text).cast("long").alias("size"),
+                        *[F.expr(sql).alias(sign) for sign, sql in signs.items()])
+    if "piece" in texts.columns:
+        rows = rows.groupBy(*keys).agg(F.sum("size").alias("size"),
+                                       *[F.bool_or(sign).alias(sign) for sign in signs])
+    return rows.select(*keys, F.expr("""array_compact(array(
+        CASE WHEN sk AND size > 50 THEN 'potential_openai_key' END,
+        CASE WHEN at AND dot THEN 'potential_email' END,
+        CASE WHEN api_key THEN 'api_key_mention' END,
+        CASE WHEN password THEN 'password_mention' END))""").alias("names"))
 
 
 def _rule_table(profile: Profile) -> str:
@@ -136,6 +154,35 @@ def rule_findings_sql(profile: Profile, text: str, wide: str, shift: str, offset
     return f"flatten(transform(array_compact(array({found})), r -> transform({spans}, s -> {built})))"
 
 
+def with_prior_misses(texts: DataFrame, profile: str | Profile, key: str) -> DataFrame:
+    """Carry the confidence decay from piece to piece of a long conversation:
+    ``prior_misses`` counts, per rule, the matches without a required word in the
+    earlier pieces. Whole texts pass unchanged."""
+    profile = profile_of(profile)
+    decaying = {i: r for i, r in enumerate(profile.rules) if r.context_words}
+    if "piece" not in texts.columns or not decaying:
+        return texts
+
+    def misses(rule: Rule) -> Column:
+        near = window_text_sql("concat(lead, text, trail)", "s.start_pos + length(lead)",
+                               "s.end_pos + length(lead)", REQUIRED_CONTEXT_MARGIN)
+        has_word = any_word_sql(f"lower({near})", rule.context_words)
+        valid = VALIDATORS.get(rule.validator, rule.validator or (lambda hit: "true"))("s.hit")
+        return F.expr(f"size(filter({match_spans_sql('text', rule.pattern)}, "
+                      f"s -> {valid} AND NOT {has_word}))")
+
+    counts = texts.where("lead <> '' OR trail <> ''").select(
+        key, "piece", *[misses(r).alias(f"m{i}") for i, r in decaying.items()])
+    before = Window.partitionBy(key).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    carried = F.array(*[
+        F.coalesce(F.sum(f"m{i}").over(before), F.lit(0)) if i in decaying else F.lit(0).cast("long")
+        for i in range(len(profile.rules))])
+    return texts.join(counts.select(key, "piece", carried.alias("carried")), [key, "piece"], "left"
+                      ).withColumn("prior_misses", F.coalesce(
+                          "carried", F.array_repeat(F.lit(0).cast("long"), len(profile.rules)))
+                      ).drop("carried")
+
+
 def exfiltration_sql(text: str) -> str:
     """One finding over the whole text when it talks of taking data out."""
     lowered = f"lower({text})"
@@ -161,7 +208,7 @@ def scan(texts: DataFrame, profile: str | Profile, with_context: bool = False,
         wide=f"concat(lead, {text}, trail)" if pieces else text,
         shift="length(lead)" if pieces else "0",
         offset="offset" if pieces else "0",
-        prior="prior_misses" if "prior_misses" in texts.columns else "0")
+        prior="get(prior_misses, r.ord)" if "prior_misses" in texts.columns else "0")
     if with_context:
         found = f"concat({found}, {exfiltration_sql(text)})"
     return texts.withColumn("findings", F.expr(f"cast({found} AS {FINDINGS})"))

@@ -86,4 +86,4 @@ def usage_cost(usage: DataFrame, by: list[str], tokens_column: str, price_per_1k
     amount = F.sum(F.col(tokens_column).cast("decimal(18,2)"))
     return usage.rollup(*by).agg(
         F.count("*").alias("requests"), amount.cast("double").alias("tokens"),
-        F.round(amount.cast("double") * price_per_1k / 1000, 6).alias("cost"))
+        F.round(amount.cast("double") * price_per_1k / 1000, 8).alias("cost"))

@@ -182,12 +182,12 @@ ENTITY_FEED = (
 
 def entities(texts_df: DataFrame) -> DataFrame:
     """``(doc_id, entity_type, score, start_pos, end_pos)`` found in the texts."""
-    found = F.flatten(F.array(*[
-        F.transform(match_spans("text", Pattern(regex, ignore_case=False)),
-                    lambda s, kind=kind: F.struct(
-                        F.lit(kind).alias("entity_type"), s.start_pos.cast("long").alias("start_pos"),
-                        s.end_pos.cast("long").alias("end_pos")))
-        for kind, regex in ENTITY_FEED]))
+    def typed(kind, regex):
+        return F.transform(match_spans("text", Pattern(regex, ignore_case=False)), lambda s: F.struct(
+            F.lit(kind).alias("entity_type"), s.start_pos.cast("long").alias("start_pos"),
+            s.end_pos.cast("long").alias("end_pos")))
+
+    found = F.flatten(F.array(*[typed(kind, regex) for kind, regex in ENTITY_FEED]))
     return texts_df.select("doc_id", F.explode_outer(found).alias("e")).where(
         "e.entity_type IS NOT NULL").select(
         "doc_id", "e.entity_type",

@@ -3,7 +3,8 @@ over the whole tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textwarden.functions.checks import email_shape_sql, luhn_sql, severity_sql
@@ -146,8 +147,8 @@ def audit_records(spark, sf_dir):
 @query("presence_railway", profile="railway")
 @query("presence_minimal", profile="minimal")
 def presence(spark, sf_dir, profile):
-    return inputs.texts(spark, sf_dir).select(
-        "doc_id", F.array_join(scan.present_rules(profile), ",").alias("rules"))
+    return scan.rule_names(inputs.texts(spark, sf_dir), profile, "doc_id").select(
+        "doc_id", F.array_join("names", ",").alias("rules"))
 
 
 @query("spans_presidio", profile="presidio")
@@ -223,8 +224,6 @@ def email_shape(spark, sf_dir):
 def udf_validator(spark, sf_dir):
     """A user validator for what SQL cannot say, applied to the few candidate
     matches after extraction (Arrow batches), never to whole texts."""
-    import pandas as pd
-
     @F.pandas_udf("boolean")
     def area_code_ok(numbers: pd.Series) -> pd.Series:
         digits = numbers.str.replace(r"[^0-9]", "", regex=True).str[-10:]
@@ -257,8 +256,9 @@ def exfiltration(spark, sf_dir):
 
 @query("heuristic_scan")
 def heuristic_scan(spark, sf_dir):
-    decided = policy.decide_names(conversation_texts(spark, sf_dir), scan.mentions(), "minimal")
-    return decided.select("conv_id", F.array_join("issues", ",").alias("issues"), "blocked")
+    return policy.decide_names(scan.mentions(conversation_texts(spark, sf_dir), "conv_id"), "minimal"
+                               ).select("conv_id", F.array_join("issues", ",").alias("issues"),
+                                        "blocked")
 
 
 # ---- external entities --------------------------------------------------------------------
@@ -377,9 +377,8 @@ def policy_findings(spark, sf_dir, profile):
 @query("decisions")
 def decisions(spark, sf_dir):
     """Decision rows of a name profile over the documents."""
-    texts = inputs.texts(spark, sf_dir)
-    rows = policy.decide_names(texts, scan.present_rules("railway"), "railway",
-                               prefix="Detected: ")
+    names = scan.rule_names(inputs.texts(spark, sf_dir), "railway", "doc_id")
+    rows = policy.decide_names(names, "railway", prefix="Detected: ")
     return rows.withColumn("issues", F.array_join("issues", ","))
 
 
@@ -454,8 +453,6 @@ def token_usage(spark, sf_dir):
 def avg_scan_time(spark, sf_dir):
     """Mean time per day and the running mean up to it. Days are summed first, so
     the running pass sees one row per day."""
-    from pyspark.sql import Window
-
     amount = F.col("value").cast("decimal(18,2)")
     daily = read_table(spark, sf_dir, "events", "ts", "value").groupBy(
         F.to_date("ts").alias("day")).agg(F.sum(amount).cast("double").alias("total"),

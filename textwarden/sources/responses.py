@@ -57,10 +57,11 @@ def enrich_responses(responses: DataFrame, scans: DataFrame, key: str = "request
     streamed answer. ``scans`` has ``total_issues`` per key."""
     joined = responses.join(scans.select(key, "total_issues"), key, "left")
     issues = F.coalesce("total_issues", F.lit(0))
-    return joined.drop("total_issues").withColumn("security_scan", F.struct(
+    return joined.withColumn("security_scan", F.struct(
         F.lit("Microsoft Presidio + Custom Patterns").alias("detection_engine"),
         F.lit(entities_active).alias("presidio_active"),
         issues.alias("issues_detected"), F.lit("low").alias("risk_level"),
         F.lit("3.0.0-presidio").alias("gateway_version"))).withColumn(
         "stream_prefix",
-        F.format_string("[Security: %d issues detected, request allowed] ", issues))
+        F.format_string("[Security: %d issues detected, request allowed] ", issues)
+    ).drop("total_issues")
