@@ -6,7 +6,7 @@ expression instead of hundreds of driver calls.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textwarden.functions.dialect import jvm_regex
@@ -52,20 +52,50 @@ def blocked_fold(items: str, element: str, state: dict[str, tuple[str, str]], it
         acc -> concat(flatten(acc.blocks), acc.open{tail}))"""
 
 
-def may_match(text: str, pattern: Pattern) -> str:
-    """Cheap necessary condition made of byte searches, as SQL ("" when none)."""
-    return " AND ".join(
-        "(" + " OR ".join(f"contains({text}, {quote(lit)})" for lit in alternatives) + ")"
-        for alternatives in pattern.needs)
+# Letters outside ASCII that equal an ASCII letter when case is ignored and that
+# lower() leaves alone.
+_FOLDING = ("\u017f", "\u0131", "\u0130")
 
 
-def matches_sql(text: str, pattern: Pattern) -> str:
-    guard = may_match(text, pattern)
-    return f"({guard + ' AND ' if guard else ''}rlike({text}, {regex_literal(pattern)}))"
+class Prepared:
+    """Columns computed once per text and shared by the tests of all patterns."""
+
+    LOWERED, FOLDS = "_lowered", "_folds"
+
+    def __init__(self, patterns, text: str = "text"):
+        self.text = text
+        self.probes = {p: f"_probe{i}" for i, p in enumerate(
+            sorted({p.probe for p in patterns if p.probe}))}
+
+    def add(self, texts: DataFrame) -> DataFrame:
+        folds = " OR ".join(f"contains({self.text}, {quote(c)})" for c in _FOLDING)
+        return texts.withColumns({
+            self.LOWERED: F.lower(self.text), self.FOLDS: F.expr(folds),
+            **{name: F.expr(f"rlike({self.text}, {quote(jvm_regex(probe))})")
+               for probe, name in self.probes.items()}})
+
+    def drop(self, texts: DataFrame) -> DataFrame:
+        return texts.drop(self.LOWERED, self.FOLDS, *self.probes.values())
+
+
+def _contains_all(text: str, entries) -> list[str]:
+    return ["(" + " OR ".join(f"contains({text}, {quote(lit)})" for lit in alternatives) + ")"
+            for alternatives in entries]
+
+
+def matches_sql(text: str, pattern: Pattern, prepared: Prepared | None = None) -> str:
+    """Does the pattern occur? Cheap tests first; the regex stops at the first
+    occurrence."""
+    tests = _contains_all(text, pattern.needs)
+    if prepared and pattern.words:
+        words = " AND ".join(_contains_all(prepared.LOWERED, pattern.words))
+        tests.append(f"({prepared.FOLDS} OR ({words}))")
+    if prepared and pattern.probe:
+        tests.append(prepared.probes[pattern.probe])
+    return "(" + " AND ".join([*tests, f"rlike({text}, {regex_literal(pattern)})"]) + ")"
 
 
 def is_match(text: str, pattern: Pattern) -> Column:
-    """True when the pattern occurs; stops at the first occurrence."""
     return F.expr(matches_sql(text, pattern))
 
 

@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textwarden.functions.checks import (VALIDATORS, any_word_sql, severity_sql, window_text_sql)
-from textwarden.functions.spans import (blocked_fold, match_spans_sql, matches_sql, pairs_sql,
-                                        quote, regex_literal)
+from textwarden.functions.spans import (Prepared, blocked_fold, match_spans_sql, matches_sql,
+                                        pairs_sql, quote, regex_literal)
 from textwarden.rules import HIGH, PROFILES, Profile, Rule
 
 FINDING = ("struct<source:int,rule_ord:int,type:string,description:string,confidence:double,"
@@ -39,29 +39,39 @@ def finding_sql(**values: str) -> str:
     return "struct(" + ", ".join(f"{values[n]} AS {n}" for n in names) + ")"
 
 
-def present_rules(profile: str | Profile, text: str = "text") -> Column:
-    """Names of the rules that occur in ``text``, in catalogue order."""
-    return F.expr("array_compact(array(" + ", ".join(
-        f"CASE WHEN {matches_sql(text, r.pattern)} THEN {quote(r.name)} END"
-        for r in profile_of(profile).rules) + "))")
+def _prepared(profile: Profile, text: str) -> Prepared:
+    return Prepared([r.pattern for r in profile.rules], text)
 
 
-def any_rule(profile: str | Profile, text: str = "text") -> Column:
-    """True when at least one rule occurs; stops at the first that does."""
-    return F.expr("(" + " OR ".join(
-        matches_sql(text, r.pattern) for r in profile_of(profile).rules) + ")")
-
-
-def rule_names(texts: DataFrame, profile: str | Profile, *keys: str) -> DataFrame:
+def rule_names(texts: DataFrame, profile: str | Profile, *keys: str,
+               text: str = "text") -> DataFrame:
     """``names`` per text: the rules that occur, in catalogue order."""
-    rows = texts.select(*keys, present_rules(profile).alias("names"))
+    profile = profile_of(profile)
+    prepared = _prepared(profile, text)
+    present = F.expr("array_compact(array(" + ", ".join(
+        f"CASE WHEN {matches_sql(text, r.pattern, prepared)} THEN {quote(r.name)} END"
+        for r in profile.rules) + "))")
+    rows = prepared.add(texts).select(*keys, present.alias("names"))
     if "piece" not in texts.columns:
         return rows
-    order = F.array(*[F.lit(r.name) for r in profile_of(profile).rules])
+    order = F.array(*[F.lit(r.name) for r in profile.rules])
     return rows.groupBy(*keys).agg(F.array_distinct(F.flatten(F.collect_set("names"))).alias("any")
                                    ).select(*keys, F.array_intersect(order, "any").alias("names"))
 
 
+def flag_texts(texts: DataFrame, profile: str | Profile, *keys: str,
+               text: str = "text") -> DataFrame:
+    """``blocked`` per text: whether any rule occurs; stops at the first one."""
+    profile = profile_of(profile)
+    prepared = _prepared(profile, text)
+    anything = F.expr("(" + " OR ".join(
+        matches_sql(text, r.pattern, prepared) for r in profile.rules) + ")")
+    rows = prepared.add(texts).select(*keys, anything.alias("blocked"))
+    if "piece" not in texts.columns:
+        return rows
+    return rows.groupBy(*keys).agg(F.bool_or("blocked").alias("blocked"))
+
+
 def mentions(texts: DataFrame, *keys: str, text: str = "text") -> DataFrame:
     """``names`` per text from substring heuristics, in fixed order."""
     signs = {"sk": f"contains({text}, 'sk-')", "at": f"contains({text}, '@')",
@@ -106,8 +116,8 @@ def _accepts(profile: Profile) -> str:
         for check, orders in checks.items()) or "true"
 
 
-def rule_findings_sql(profile: Profile, text: str, wide: str, shift: str, offset: str,
-                      prior: str) -> str:
+def rule_findings_sql(profile: Profile, prepared: Prepared, text: str, wide: str, shift: str,
+                      offset: str, prior: str) -> str:
     """All findings of a catalogue in one text.
 
     Rules are unrolled so that each regex is a constant (compiled once per task,
@@ -116,7 +126,7 @@ def rule_findings_sql(profile: Profile, text: str, wide: str, shift: str, offset
     stays reduced; ``prior`` counts such matches in earlier pieces of the text.
     """
     found = ",\n".join(
-        f"CASE WHEN {matches_sql(text, r.pattern)} THEN struct({i} AS ord, "
+        f"CASE WHEN {matches_sql(text, r.pattern, prepared)} THEN struct({i} AS ord, "
         f"split({text}, {regex_literal(r.pattern)}, -1) AS gaps, "
         f"regexp_extract_all({text}, {regex_literal(r.pattern)}, 0) AS hits) END"
         for i, r in enumerate(profile.rules))
@@ -203,15 +213,17 @@ def scan(texts: DataFrame, profile: str | Profile, with_context: bool = False,
     pieces = "lead" in texts.columns
     if pieces and with_context:
         raise ValueError("the exfiltration check needs whole texts, not pieces")
+    prepared = _prepared(profile, text)
     found = rule_findings_sql(
-        profile, text,
+        profile, prepared, text,
         wide=f"concat(lead, {text}, trail)" if pieces else text,
         shift="length(lead)" if pieces else "0",
         offset="offset" if pieces else "0",
         prior="get(prior_misses, r.ord)" if "prior_misses" in texts.columns else "0")
     if with_context:
         found = f"concat({found}, {exfiltration_sql(text)})"
-    return texts.withColumn("findings", F.expr(f"cast({found} AS {FINDINGS})"))
+    return prepared.drop(prepared.add(texts).withColumn(
+        "findings", F.expr(f"cast({found} AS {FINDINGS})")))
 
 
 def explode_findings(scanned: DataFrame, *keys: str) -> DataFrame:

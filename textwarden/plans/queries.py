@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textwarden.functions.checks import email_shape_sql, luhn_sql, severity_sql
-from textwarden.functions.spans import is_match, match_spans
+from textwarden.functions.spans import Prepared, match_spans, matches_sql
 from textwarden.operators import entities as ent
 from textwarden.operators import policy, resolve, scan, summary
 from textwarden.operators.redact import redact
@@ -165,8 +165,9 @@ def spans(spark, sf_dir, profile):
 def rule_catalogue(spark, sf_dir):
     """All rule rows of all profiles with the number of texts their pattern is in;
     every distinct pattern is tested once, in one pass."""
-    counts = inputs.texts(spark, sf_dir).agg(*[
-        F.count_if(is_match("text", p)).alias(k) for k, p in PATTERNS.items()])
+    prepared = Prepared(PATTERNS.values())
+    counts = prepared.add(inputs.texts(spark, sf_dir)).agg(*[
+        F.count_if(F.expr(matches_sql("text", p, prepared))).alias(k) for k, p in PATTERNS.items()])
     counts = counts.select(F.explode(F.create_map(*[
         c for k in PATTERNS for c in (F.lit(k), F.col(k))])).alias("pattern", "n_texts"))
     key_of = {p: k for k, p in PATTERNS.items()}
@@ -299,7 +300,8 @@ def toggle_matrix(spark, sf_dir):
     texts = inputs.texts(spark, sf_dir)
     pii = ent.entity_labels(inputs.entities(texts), ENTITY_TYPES_APP).groupBy("doc_id").agg(
         F.count("*").alias("pii"))
-    secrets = texts.select("doc_id", F.size(scan.present_rules("minimal")).alias("secrets"))
+    secrets = scan.rule_names(texts, "minimal", "doc_id").select(
+        "doc_id", F.size("names").alias("secrets"))
     both = secrets.join(pii, "doc_id", "left").select(
         "secrets", F.coalesce("pii", F.lit(0)).alias("pii"))
     switches = F.explode(F.array(*[
@@ -360,10 +362,7 @@ def ranked_findings(spark, sf_dir, top: int = 3):
 @query("policy_flag", profile="cloud")
 def policy_names(spark, sf_dir, profile):
     texts = conversation_texts(spark, sf_dir, PROFILES[profile].separator)
-    rule = scan.any_rule(profile)
-    if "piece" in texts.columns:
-        return texts.groupBy("conv_id").agg(F.bool_or(rule).alias("blocked"))
-    return texts.select("conv_id", rule.alias("blocked"))
+    return scan.flag_texts(texts, profile, "conv_id")
 
 
 @query("policy_high80", profile="enhanced")
