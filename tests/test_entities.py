@@ -77,3 +77,18 @@ def test_redaction_leaves_no_finding(spark, profile):
     assert got["clean"] == VECTORS["clean"]
     hashed = redact(resolve.resolve(scan.scan(texts, profile)), "hash").where("name = 'email_ok'").first()
     assert hashed.redacted.startswith("mail <EMAIL_ADDRESS:") and "doe" not in hashed.redacted
+
+
+def test_redaction_of_long_texts(spark):
+    unit = "é😀 mail a@b.org, x " + "wört " * 337
+    df = spark.createDataFrame([(1, unit * 20)], "id int, text string")
+    masked = redact(resolve.resolve(scan.scan(df, "enhanced"))).first().redacted
+    assert masked == unit.replace("a@b.org", "<EMAIL_ADDRESS>") * 20
+
+
+def test_texts_with_and_without_stored_findings(spark):
+    from textwarden.operators import summary
+    texts = spark.createDataFrame([(1, "a@b.org a@c.org"), (2, "x")], "doc_id int, text string")
+    found = scan.explode_findings(scan.scan(texts, "simple"), "doc_id")
+    assert [r.doc_id for r in summary.texts_without(texts, found).collect()] == [2]
+    assert [r.doc_id for r in summary.texts_with(texts, found).collect()] == [1]

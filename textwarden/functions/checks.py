@@ -54,10 +54,27 @@ def severity_sql(confidence: str) -> str:
     return f"(CASE {cases} ELSE '{LOW}' END)"
 
 
-def window_text_sql(text: str, start: str, end: str, margin: int) -> str:
-    """``text`` from ``start - margin`` to ``end + margin``, cut at the edges."""
+# Taking characters out of a string walks it from its start. Texts are therefore
+# cut into chunks of this many characters once, and cut-outs touch only theirs.
+CHUNK = 4096
+
+
+def chunks_sql(text: str) -> str:
+    """The text as array<string> of chunks."""
+    return (f"CASE WHEN length({text}) <= {CHUNK} THEN array({text}) "
+            f"ELSE regexp_extract_all({text}, '(?s).{{1,{CHUNK}}}', 0) END")
+
+
+def cut_sql(chunks: str, start: str, length: str) -> str:
+    """``length`` characters from 0-based ``start``, as far as there are any."""
+    return (f"substring(array_join(slice({chunks}, int({start} div {CHUNK}) + 1, "
+            f"int({length} div {CHUNK}) + 2), ''), int({start} % {CHUNK}) + 1, int({length}))")
+
+
+def window_sql(chunks: str, start: str, end: str, margin: int) -> str:
+    """The text from ``start - margin`` to ``end + margin``, cut at the edges."""
     begin = f"greatest({start} - {margin}, 0)"
-    return f"substring({text}, {begin} + 1, {end} + {margin} - {begin})"
+    return cut_sql(chunks, begin, f"({end} + {margin} - {begin})")
 
 
 def shorten_sql(text: str, size: int) -> str:

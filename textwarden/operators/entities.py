@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textwarden.functions.checks import any_word_sql, severity_sql, strip_sql, window_text_sql
+from textwarden.functions.checks import (any_word_sql, chunks_sql, cut_sql, severity_sql, strip_sql,
+                                         window_sql)
 from textwarden.functions.spans import quote
 from textwarden.operators.resolve import resolve_table
 from textwarden.operators.scan import (CONTEXT_MARGIN, FINDING, FROM_ENTITIES, explode_findings,
@@ -46,11 +47,11 @@ def entity_findings(entities: DataFrame, texts: DataFrame, profile: str | Profil
     if filtered:
         chosen = chosen.where((F.col("entity_type") != "PERSON")
                               | (F.col("score") >= MIN_PERSON_SCORE))
-    sides = texts.select(key, "text", *(
+    sides = texts.select(key, F.expr(chunks_sql("text")).alias("chunks"), *(
         [F.expr(is_development_text("text")).alias("dev")] if filtered else []))
     rows = chosen.join(sides, key)
     if filtered:
-        entity = strip_sql("lower(substring(text, start_pos + 1, end_pos - start_pos))")
+        entity = strip_sql(f"lower({cut_sql('chunks', 'start_pos', '(end_pos - start_pos)')})")
         not_person = ", ".join(quote(w) for w in NOT_A_PERSON)
         rows = rows.withColumn("entity_text", F.expr(entity)).where(F.expr(
             f"length(entity_text) > 1 AND NOT (entity_type = 'PERSON' "
@@ -62,7 +63,7 @@ def entity_findings(entities: DataFrame, texts: DataFrame, profile: str | Profil
         source=str(FROM_ENTITIES), rule_ord="0", type="lower(entity_type)",
         description="concat('Presidio detected ', entity_type)", confidence="score",
         start_pos="start_pos", end_pos="end_pos", severity=severity_sql("score"),
-        context=window_text_sql("text", "start_pos", "end_pos", CONTEXT_MARGIN),
+        context=window_sql("chunks", "start_pos", "end_pos", CONTEXT_MARGIN),
         detector="'presidio'", entity_text="entity_text")
     return rows.select(key, F.expr(f"cast({found} AS {FINDING})").alias("f")).select(key, "f.*")
 

@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textwarden.functions.checks import (VALIDATORS, any_word_sql, severity_sql, window_text_sql)
+from textwarden.functions.checks import (VALIDATORS, any_word_sql, chunks_sql, severity_sql,
+                                         window_sql)
 from textwarden.functions.spans import (Prepared, blocked_fold, match_spans_sql, matches_sql,
                                         pairs_sql, quote, regex_literal)
 from textwarden.rules import HIGH, PROFILES, Profile, Rule
@@ -128,7 +129,8 @@ def rule_findings_sql(profile: Profile, prepared: Prepared, text: str, wide: str
     found = ",\n".join(
         f"CASE WHEN {matches_sql(text, r.pattern, prepared)} THEN struct({i} AS ord, "
         f"split({text}, {regex_literal(r.pattern)}, -1) AS gaps, "
-        f"regexp_extract_all({text}, {regex_literal(r.pattern)}, 0) AS hits) END"
+        f"regexp_extract_all({text}, {regex_literal(r.pattern)}, 0) AS hits, "
+        f"{chunks_sql(wide)} AS chunks) END"
         for i, r in enumerate(profile.rules))
     meta = f"get({_rule_table(profile)}, r.ord)"
     start, end = "acc.pos + x.gap", "acc.pos + x.gap + length(x.hit)"
@@ -136,8 +138,8 @@ def rule_findings_sql(profile: Profile, prepared: Prepared, text: str, wide: str
     state = {"pos": ("0", end)}
     confidence = "acc.confidence"
     if any(r.context_words for r in profile.rules):
-        near = window_text_sql(wide, f"{start} + {shift}", f"{end} + {shift}",
-                               REQUIRED_CONTEXT_MARGIN)
+        near = window_sql("r.chunks", f"({start} + {shift})", f"({end} + {shift})",
+                          REQUIRED_CONTEXT_MARGIN)
         confidence = (f"CASE WHEN size({meta}.words) = 0 THEN acc.confidence "
                       f"WHEN exists({meta}.words, w -> contains(lower({near}), w)) "
                       f"THEN acc.confidence ELSE acc.confidence * 0.5D END")
@@ -158,8 +160,8 @@ def rule_findings_sql(profile: Profile, prepared: Prepared, text: str, wide: str
         description=f"{meta}.description", confidence="s.confidence",
         start_pos=f"s.start_pos + {offset}", end_pos=f"s.end_pos + {offset}",
         severity=f"{meta}.severity",
-        context=window_text_sql(wide, f"s.start_pos + {shift}", f"s.end_pos + {shift}",
-                                CONTEXT_MARGIN),
+        context=window_sql("r.chunks", f"(s.start_pos + {shift})", f"(s.end_pos + {shift})",
+                           CONTEXT_MARGIN),
         detector=quote(profile.detector), entity_text=entity)
     return f"flatten(transform(array_compact(array({found})), r -> transform({spans}, s -> {built})))"
 
@@ -174,14 +176,15 @@ def with_prior_misses(texts: DataFrame, profile: str | Profile, key: str) -> Dat
         return texts
 
     def misses(rule: Rule) -> Column:
-        near = window_text_sql("concat(lead, text, trail)", "s.start_pos + length(lead)",
-                               "s.end_pos + length(lead)", REQUIRED_CONTEXT_MARGIN)
+        near = window_sql("chunks", "(s.start_pos + length(lead))", "(s.end_pos + length(lead))",
+                          REQUIRED_CONTEXT_MARGIN)
         has_word = any_word_sql(f"lower({near})", rule.context_words)
         valid = VALIDATORS.get(rule.validator, rule.validator or (lambda hit: "true"))("s.hit")
         return F.expr(f"size(filter({match_spans_sql('text', rule.pattern)}, "
                       f"s -> {valid} AND NOT {has_word}))")
 
-    counts = texts.where("lead <> '' OR trail <> ''").select(
+    counts = texts.where("lead <> '' OR trail <> ''").withColumn(
+        "chunks", F.expr(chunks_sql("concat(lead, text, trail)"))).select(
         key, "piece", *[misses(r).alias(f"m{i}") for i, r in decaying.items()])
     before = Window.partitionBy(key).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     carried = F.array(*[

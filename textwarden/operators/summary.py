@@ -59,6 +59,16 @@ def issue_payload(findings: DataFrame, profile: str | Profile, *keys: str) -> Da
     return findings.select(*fields)
 
 
+def texts_without(texts: DataFrame, findings: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Texts that have no row in a stored findings table."""
+    return texts.join(findings.select(key), key, "left_anti")
+
+
+def texts_with(texts: DataFrame, findings: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Texts that have at least one row in a stored findings table."""
+    return texts.join(findings.select(key), key, "left_semi")
+
+
 def scan_counters(summary: DataFrame, with_entities: bool = False) -> DataFrame:
     """Totals over all scanned texts. A blocked text counts once."""
     return summary.agg(
@@ -82,8 +92,11 @@ def token_usage(texts: DataFrame, profile: str | Profile, *keys: str) -> DataFra
 
 
 def usage_cost(usage: DataFrame, by: list[str], tokens_column: str, price_per_1k: float) -> DataFrame:
-    """Tokens and cost with subtotals for every prefix of ``by`` and in total."""
-    amount = F.sum(F.col(tokens_column).cast("decimal(18,2)"))
-    return usage.rollup(*by).agg(
-        F.count("*").alias("requests"), amount.cast("double").alias("tokens"),
-        F.round(amount.cast("double") * price_per_1k / 1000, 8).alias("cost"))
+    """Tokens and cost with subtotals for every prefix of ``by`` and in total.
+    The subtotals are made from the finest sums, not from the raw rows."""
+    finest = usage.groupBy(*by).agg(
+        F.count("*").alias("n"), F.sum(F.col(tokens_column).cast("decimal(18,2)")).alias("amount"))
+    amount = F.sum("amount").cast("double")
+    return finest.rollup(*by).agg(
+        F.sum("n").alias("requests"), amount.alias("tokens"),
+        F.round(amount * price_per_1k / 1000, 8).alias("cost"))

@@ -167,27 +167,29 @@ def stream_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("stream_id", (F.col("turn") * 3 + F.col("pos")).alias("seq"), "line")
 
 
-# What stands in for an external analyser: entity type, cased ASCII regex.
+# What stands in for an external analyser: entity type, cased ASCII regex, and a
+# literal every match has.
 ENTITY_FEED = (
-    ("PERSON", r"[A-Z][a-z]+ [A-Z][a-z]+"),
-    ("URL", r"[a-z]+/[a-z/]+"),
-    ("EMAIL_ADDRESS", r"[A-Za-z0-9.]+@[A-Za-z0-9.]+"),
-    ("PHONE_NUMBER", r"[0-9]{3}-[0-9]{4}"),
-    ("US_BANK_NUMBER", r"[0-9]{10,}"),
-    ("API_KEY", r"[a-z]{2}[-_][A-Za-z0-9]{20,}"),
-    ("NRP", r"[A-Z]{3,}"),
-    ("DATE_TIME", r"[0-9]+:"),
+    ("PERSON", r"[A-Z][a-z]+ [A-Z][a-z]+", " "),
+    ("URL", r"[a-z]+/[a-z/]+", "/"),
+    ("EMAIL_ADDRESS", r"[A-Za-z0-9.]+@[A-Za-z0-9.]+", "@"),
+    ("PHONE_NUMBER", r"[0-9]{3}-[0-9]{4}", "-"),
+    ("US_BANK_NUMBER", r"[0-9]{10,}", ""),
+    ("API_KEY", r"[a-z]{2}[-_][A-Za-z0-9]{20,}", ""),
+    ("NRP", r"[A-Z]{3,}", ""),
+    ("DATE_TIME", r"[0-9]+:", ":"),
 )
 
 
 def entities(texts_df: DataFrame) -> DataFrame:
     """``(doc_id, entity_type, score, start_pos, end_pos)`` found in the texts."""
-    def typed(kind, regex):
-        return F.transform(match_spans("text", Pattern(regex, ignore_case=False)), lambda s: F.struct(
+    def typed(kind, regex, literal):
+        pattern = Pattern(regex, ((literal,),), ignore_case=False)
+        return F.transform(match_spans("text", pattern), lambda s: F.struct(
             F.lit(kind).alias("entity_type"), s.start_pos.cast("long").alias("start_pos"),
             s.end_pos.cast("long").alias("end_pos")))
 
-    found = F.flatten(F.array(*[typed(kind, regex) for kind, regex in ENTITY_FEED]))
+    found = F.flatten(F.array(*[typed(*row) for row in ENTITY_FEED]))
     return texts_df.select("doc_id", F.explode_outer(found).alias("e")).where(
         "e.entity_type IS NOT NULL").select(
         "doc_id", "e.entity_type",

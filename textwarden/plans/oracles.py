@@ -175,7 +175,7 @@ FLATTENED = ("CASE kind WHEN 1 THEN '' WHEN 2 THEN ' ' WHEN 3 THEN 'None ' "
 RESPONSES = (f"{CHATS}, rs AS (SELECT conv_id * 1000 + turn AS request_id, conv_id, "
              f"(((conv_id + turn) % 4) + 4) % 4 AS kind, text FROM c WHERE role = 'assistant')")
 ENTITIES = span_rows([(i, kind, "", 0, "", type("P", (), {"regex": regex, "ignore_case": False}))
-                      for i, (kind, regex) in enumerate(ENTITY_FEED)]) + (
+                      for i, (kind, regex, _) in enumerate(ENTITY_FEED)]) + (
     ",\ne AS (SELECT id, text, type AS entity_type, (50 + st % 10 * 5) / 100.0::DOUBLE AS score, "
     "st, en FROM s)")
 _entity = "lower(substring(text, st + 1, en - st))"

@@ -322,13 +322,14 @@ def merged_findings(spark, sf_dir):
 
 # ---- joins --------------------------------------------------------------------------------
 
-@query("clean_texts", how="left_anti")
-@query("flagged_texts", how="left_semi")
-def by_findings(spark, sf_dir, how):
-    texts = inputs.texts(spark, sf_dir)
-    flagged = scan.explode_findings(scan.scan(texts, "presidio"), "doc_id").select("doc_id")
-    return texts.select("doc_id", F.length("text").cast("long").alias("n_chars")).join(
-        flagged, "doc_id", how)
+@query("clean_texts", clean=True)
+@query("flagged_texts", clean=False)
+def by_findings(spark, sf_dir, clean):
+    """Texts without (with) findings. Findings sit in the row of their text, so
+    this needs no join; ``summary.texts_without`` joins against a stored table."""
+    return scanned(spark, sf_dir, "presidio").where(
+        (F.size("findings") == 0) == F.lit(clean)).select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"))
 
 
 # ---- resolution, ranking, policy ----------------------------------------------------------

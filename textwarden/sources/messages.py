@@ -43,10 +43,13 @@ def concat_messages(messages: DataFrame, separator: str = " ", key: str = "conv_
     limit = max(max_messages, messages.count() // MAX_LONG_KEYS)
     counts = messages.groupBy(key).count()
     long_keys = counts.where(F.col("count") > limit).select(key)
+    # What follows is bound by the processors: keep every shuffle partition, also
+    # where their sizes alone would let them be merged.
+    width = int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if long_keys.isEmpty():
-        return _joined(rows, key)
+        return _joined(rows.repartition(width, key), key)
     long_keys = F.broadcast(stored(long_keys, "long-keys"))   # at most MAX_LONG_KEYS keys
-    short = _joined(rows.join(long_keys, key, "left_anti"), key).select(
+    short = _joined(rows.join(long_keys, key, "left_anti").repartition(width, key), key).select(
         "*", F.lit(0).cast("long").alias("piece"), F.lit(0).cast("long").alias("offset"),
         F.lit("").alias("lead"), F.lit("").alias("trail"))
     return short.unionByName(_pieces(rows.join(long_keys, key, "left_semi"), key, stretch))
