@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import model
-from textwarden.functions.dialect import jvm_regex
+from textwarden.functions.dialect import RARE_WORD_CHARACTERS, jvm_regex
 from textwarden.functions.spans import match_spans
 from textwarden.operators import policy, resolve, scan
 from textwarden.plans.inputs import VECTORS, letters
@@ -90,6 +90,8 @@ UNICODE = [
     "AKIA0123456789ABCDE\u212a", "ap\u0131_key=abcdefghij0123456789", "ap\u0130key: abcdefghij0123456789",
     "😀 mail a@b.org 😀😀 and c@d.org", "card ٤١١١ ١١١١ ١١١١ ١١١١", "mysql://ü:ñ@h:1/dbé",
     "10.1.2.3\u0301", "x\u2028555-123-4567\u2029", "Server\u0085= a;\u3000Database =b\n\nc;d",
+    "\U0001D400john@x.com", "john@x.com\U00020000", "\U00020000\u0301123-45-6789", "\U0001D7D8123-45-6789",
+    "\u200d555-123-4567 \u203f555-123-4567 \u24b6555-123-4567 \u00b2a@b.cd",
     "secret='abcd1234'\"; [secret: &&&&&&&&]",
 ]
 
@@ -114,6 +116,16 @@ def test_character_classes_equal_python(spark):
         assert mine == theirs, regex
 
 
+def test_plain_boundary_only_differs_at_rare_characters(spark):
+    """A boundary next to a letter, for every code point of the common planes."""
+    points = spark.range(1, 0x30000).where("id < 55296 OR id >= 57344").select(
+        "id", F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    exact, plain = jvm_regex(r"\ba"), jvm_regex(r"\ba", plain_boundary=True)
+    both = F.concat("c", F.lit("a"))
+    assert points.where(both.rlike(exact) != both.rlike(plain)).where(
+        ~F.col("c").rlike(RARE_WORD_CHARACTERS)).count() == 0
+
+
 def test_raw_spans(spark, texts):
     for name, key, expected in RAW:
         row = texts.where(F.col("name") == name).select(
@@ -223,4 +235,5 @@ def test_scan_is_one_narrow_pass(spark, texts):
         spark.range(5).selectExpr("id", "concat('a', id) AS text"), "enhanced"), "id"
     )._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
-    assert plan.count("split(text") == len(PROFILES["enhanced"].rules)   # evaluated once
+    bounded = sum("\\b" in r.pattern.regex for r in PROFILES["enhanced"].rules)
+    assert plan.count("split(text") == len(PROFILES["enhanced"].rules) + bounded   # evaluated once

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textwarden.functions.dialect import jvm_regex
+from textwarden.functions.dialect import RARE_WORD_CHARACTERS, jvm_regex
 from textwarden.rules import Pattern
 
 # Folds append to arrays; appending copies, so items are first put into a block
@@ -23,8 +23,23 @@ def quote(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def regex_literal(pattern: Pattern) -> str:
-    return quote(jvm_regex(pattern.regex, pattern.ignore_case, pattern.first))
+def with_regex(text: str, pattern: Pattern, call: str) -> str:
+    """SQL of ``call`` with ``{regex}`` filled in; texts without rare characters
+    get the cheaper word boundary. Both regexes stay constants."""
+    def filled(plain: bool) -> str:
+        return call.replace("{regex}", quote(jvm_regex(
+            pattern.regex, pattern.ignore_case, pattern.first, plain)))
+
+    if "\\b" not in pattern.regex:
+        return filled(False)
+    return (f"CASE WHEN rlike({text}, {quote(RARE_WORD_CHARACTERS)}) THEN {filled(False)} "
+            f"ELSE {filled(True)} END")
+
+
+def gaps_and_hits(text: str, pattern: Pattern) -> str:
+    """struct<gaps, hits>: the matches and the text between them."""
+    return with_regex(text, pattern, f"struct(split({text}, {{regex}}, -1) AS gaps, "
+                                     f"regexp_extract_all({text}, {{regex}}, 0) AS hits)")
 
 
 def blocked_fold(items: str, element: str, state: dict[str, tuple[str, str]], item: str,
@@ -92,31 +107,31 @@ def matches_sql(text: str, pattern: Pattern, prepared: Prepared | None = None) -
         tests.append(f"({prepared.FOLDS} OR ({words}))")
     if prepared and pattern.probe:
         tests.append(prepared.probes[pattern.probe])
-    return "(" + " AND ".join([*tests, f"rlike({text}, {regex_literal(pattern)})"]) + ")"
+    tests.append(f"({with_regex(text, pattern, f'rlike({text}, {{regex}})')})")
+    return "(" + " AND ".join(tests) + ")"
 
 
 def is_match(text: str, pattern: Pattern) -> Column:
     return F.expr(matches_sql(text, pattern))
 
 
-def pairs_sql(gaps: str, hits: str) -> str:
-    """Matches with the length of the gap before each; running sums of both
-    lengths give code-point offsets (0-based, end-exclusive)."""
-    return (f"filter(zip_with({gaps}, {hits}, (g, h) -> struct(length(g) AS gap, h AS hit)), "
+def pairs_sql(cut: str) -> str:
+    """Matches of ``gaps_and_hits`` with the length of the gap before each; running
+    sums of both lengths give code-point offsets (0-based, end-exclusive)."""
+    return (f"filter(zip_with({cut}.gaps, {cut}.hits, (g, h) -> struct(length(g) AS gap, h AS hit)), "
             f"p -> p.hit IS NOT NULL)")
 
 
 def match_spans_sql(text: str, pattern: Pattern) -> str:
     """All non-overlapping matches, left to right, as
     array<struct<start_pos, end_pos, hit>>."""
-    regex = regex_literal(pattern)
     end = "acc.pos + x.gap + length(x.hit)"
     element = "struct<start_pos:int,end_pos:int,hit:string>"
     spans = blocked_fold(
-        pairs_sql(f"split({text}, {regex}, -1)", f"regexp_extract_all({text}, {regex}, 0)"),
-        element, {"pos": ("0", end)},
+        pairs_sql("cut"), element, {"pos": ("0", end)},
         f"struct(acc.pos + x.gap AS start_pos, {end} AS end_pos, x.hit AS hit)")
-    return (f"CASE WHEN {matches_sql(text, pattern)} THEN {spans} "
+    return (f"CASE WHEN {matches_sql(text, pattern)} THEN "
+            f"flatten(transform(array({gaps_and_hits(text, pattern)}), cut -> {spans})) "
             f"ELSE cast(array() AS array<{element}>) END")
 
 

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from textwarden.functions.checks import (VALIDATORS, any_word_sql, chunks_sql, severity_sql,
                                          window_sql)
-from textwarden.functions.spans import (Prepared, blocked_fold, match_spans_sql, matches_sql,
-                                        pairs_sql, quote, regex_literal)
+from textwarden.functions.spans import (Prepared, blocked_fold, gaps_and_hits, match_spans_sql,
+                                        matches_sql, pairs_sql, quote)
 from textwarden.rules import HIGH, PROFILES, Profile, Rule
 
 FINDING = ("struct<source:int,rule_ord:int,type:string,description:string,confidence:double,"
@@ -128,9 +128,7 @@ def rule_findings_sql(profile: Profile, prepared: Prepared, text: str, wide: str
     """
     found = ",\n".join(
         f"CASE WHEN {matches_sql(text, r.pattern, prepared)} THEN struct({i} AS ord, "
-        f"split({text}, {regex_literal(r.pattern)}, -1) AS gaps, "
-        f"regexp_extract_all({text}, {regex_literal(r.pattern)}, 0) AS hits, "
-        f"{chunks_sql(wide)} AS chunks) END"
+        f"{gaps_and_hits(text, r.pattern)} AS cut, {chunks_sql(wide)} AS chunks) END"
         for i, r in enumerate(profile.rules))
     meta = f"get({_rule_table(profile)}, r.ord)"
     start, end = "acc.pos + x.gap", "acc.pos + x.gap + length(x.hit)"
@@ -150,7 +148,7 @@ def rule_findings_sql(profile: Profile, prepared: Prepared, text: str, wide: str
     else:
         state["confidence"] = (f"{meta}.confidence", "acc.confidence")
     spans = blocked_fold(
-        pairs_sql("r.gaps", "r.hits"),
+        pairs_sql("r.cut"),
         "struct<start_pos:int,end_pos:int,hit:string,confidence:double>", state,
         f"struct({start} AS start_pos, {end} AS end_pos, x.hit AS hit, "
         f"{confidence} AS confidence)", emit=accepted)

@@ -18,13 +18,25 @@ MAX_LONG_KEYS = 1_000_000
 MARGIN = 50
 
 # A piece may only end after a message that no catalogue rule can match across.
-# Ends that could be the middle of a match: blank messages, digits and brackets
-# of numbers, an assignment or its key word, a key header, a connection string.
-_OPEN_END = (
-    rf"(?iU)(?:^|[\d):=;]|(?:password|secret|key)[\"']?|server|host|source|data|database|initial"
-    rf"|catalog){WHITE}*\z|(?:^|-----BEGIN)[A-Za-z ]*\z|;{WHITE}*(?:database|initial)[^;]*\z")
+# Each condition describes an end that could lie inside a match. Only the last
+# characters are looked at where that is enough; a long blank end counts as open.
+_TAIL = 64
+_OPEN_ENDS = " OR ".join((
+    # numbers, assignments and their key words, parts of a connection string
+    "rlike(right(text, {n}), {end})".format(n=_TAIL, end=quote(
+        rf"(?iU)(?:[\d):=;]|(?:password|secret|key)[\"']?|server|host|source|data|database|initial"
+        rf"|catalog){WHITE}*\z|(?:^|{WHITE}{{40}}){WHITE}*\z")),
+    # only letters and blanks, or a key header: "BEGIN ... KEY" may continue
+    "NOT rlike(text, {0})".format(quote("(?iU)[^A-Za-z ]")),
+    "(contains(text, '-----') AND rlike(text, {0}))".format(
+        quote(r"(?iU)-----BEGIN[A-Za-z ]*\z")),
+    "(contains(text, ';') AND rlike(text, {0}))".format(
+        quote(rf"(?iU);{WHITE}*(?:database|initial)[^;]*\z"))))
 # A connection string reaches over any number of messages until a semicolon.
-_OPENS_RUN = rf"(?iU)(?:(?:server|host|source|database|catalog){WHITE}*=|^{WHITE}*=)[^;]*\z"
+# true: one may be open after the message, false: none is, null: as before it.
+_RUN = ("CASE WHEN contains(text, '=') AND rlike(text, " + quote(
+    rf"(?iU)(?:(?:server|host|source|database|catalog){WHITE}*=|^{WHITE}*=)[^;]*\z")
+    + ") THEN true WHEN contains(text, ';') THEN false END")
 
 
 def concat_messages(messages: DataFrame, separator: str = " ", key: str = "conv_id",
@@ -52,7 +64,8 @@ def concat_messages(messages: DataFrame, separator: str = " ", key: str = "conv_
     short = _joined(rows.join(long_keys, key, "left_anti").repartition(width, key), key).select(
         "*", F.lit(0).cast("long").alias("piece"), F.lit(0).cast("long").alias("offset"),
         F.lit("").alias("lead"), F.lit("").alias("trail"))
-    return short.unionByName(_pieces(rows.join(long_keys, key, "left_semi"), key, stretch))
+    return short.unionByName(_pieces(
+        rows.join(long_keys, key, "left_semi"), key, stretch, width))
 
 
 def _joined(rows: DataFrame, *keys: str) -> DataFrame:
@@ -62,19 +75,16 @@ def _joined(rows: DataFrame, *keys: str) -> DataFrame:
         F.count("*").cast("long").alias("n_messages"))
 
 
-def _pieces(rows: DataFrame, key: str, stretch: int) -> DataFrame:
+def _pieces(rows: DataFrame, key: str, stretch: int, width: int) -> DataFrame:
     """Cut long conversations at safe ends, about ``stretch`` turns apart.
 
     Turns are handled in stretches, so no task sees a whole conversation; per
     stretch one small row goes into the pass along the conversation.
     """
-    rows = rows.withColumn("stretch", F.floor(F.col("turn") / stretch))
+    rows = rows.withColumn("stretch", F.expr(f"turn div {stretch}"))
     ends = rows.select(
         key, "stretch", "turn", F.length("text").cast("long").alias("size"),
-        F.expr(f"NOT rlike(text, {quote(_OPEN_END)})").alias("closed_end"),
-        # state of a connection string after this message; null = as before
-        F.expr(f"CASE WHEN rlike(text, {quote(_OPENS_RUN)}) THEN true "
-               f"WHEN contains(text, ';') THEN false END").alias("run"))
+        F.expr(f"NOT ({_OPEN_ENDS})").alias("closed_end"), F.expr(_RUN).alias("run"))
     inside = Window.partitionBy(key, "stretch").orderBy("turn")
     so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
     along = Window.partitionBy(key).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
@@ -118,7 +128,7 @@ def _pieces(rows: DataFrame, key: str, stretch: int) -> DataFrame:
                           .otherwise(F.col("previous")))
               .select(key, F.col("at.piece").alias("piece"), F.col("at.offset").alias("offset"),
                       "turn", "text"))
-    pieces = _joined(placed, key, "piece", "offset")
+    pieces = _joined(placed.repartition(width, key, "piece"), key, "piece", "offset")
 
     order = Window.partitionBy(key).orderBy("piece")
     def neighbours(column, first_row, last_row):
