@@ -27,8 +27,10 @@ def test_stream_scan_equals_batch(spark):
     def found(texts):
         return scan.explode_findings(resolve.resolve(scan.scan(texts, "advanced"), True), "doc_id")
 
-    live = monitor.drain(found(monitor.read_stream(spark, SF, "documents", "doc_id", "text")), "scan")
-    assert rows(live) == rows(found(read_table(spark, SF, "documents", "doc_id", "text")))
+    texts = monitor.read_stream(spark, SF, "documents", "doc_id", "text")
+    want = rows(found(read_table(spark, SF, "documents", "doc_id", "text")))
+    assert rows(monitor.drain(found(texts), "scan")) == want
+    assert rows(monitor.drain_batches(texts, "scan", found)) == want
 
 
 @pytest.mark.parametrize("build", [

@@ -79,15 +79,22 @@ class Prepared:
 
     def __init__(self, patterns, text: str = "text"):
         self.text = text
+        used = [p.probe for p in patterns if p.probe]
         self.probes = {p: f"_probe{i}" for i, p in enumerate(
-            sorted({p.probe for p in patterns if p.probe}))}
+            sorted(p for p in set(used) if used.count(p) > 1))}
 
     def add(self, texts: DataFrame) -> DataFrame:
         folds = " OR ".join(f"contains({self.text}, {quote(c)})" for c in _FOLDING)
         return texts.withColumns({
             self.LOWERED: F.lower(self.text), self.FOLDS: F.expr(folds),
-            **{name: F.expr(f"rlike({self.text}, {quote(jvm_regex(probe))})")
-               for probe, name in self.probes.items()}})
+            **{name: F.expr(self._probe(probe)) for probe, name in self.probes.items()}})
+
+    def _probe(self, probe: str) -> str:
+        return f"rlike({self.text}, {quote(jvm_regex(probe))})"
+
+    def probe(self, probe: str) -> str:
+        """The column of a shared probe, or the probe itself."""
+        return self.probes.get(probe) or self._probe(probe)
 
     def drop(self, texts: DataFrame) -> DataFrame:
         return texts.drop(self.LOWERED, self.FOLDS, *self.probes.values())
@@ -106,7 +113,7 @@ def matches_sql(text: str, pattern: Pattern, prepared: Prepared | None = None) -
         words = " AND ".join(_contains_all(prepared.LOWERED, pattern.words))
         tests.append(f"({prepared.FOLDS} OR ({words}))")
     if prepared and pattern.probe:
-        tests.append(prepared.probes[pattern.probe])
+        tests.append(prepared.probe(pattern.probe))
     tests.append(f"({with_regex(text, pattern, f'rlike({text}, {{regex}})')})")
     return "(" + " AND ".join(tests) + ")"
 

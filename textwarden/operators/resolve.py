@@ -76,9 +76,10 @@ def resolve_table(findings: DataFrame, key: str) -> DataFrame:
     """Resolve overlaps between findings that sit in separate rows, for example
     when an external entity table is merged with rule findings.
 
-    The findings are read several times, so they are stored first: the scan that
-    produces them runs once."""
-    findings = stored(findings, "findings")
+    Copies of a finding never change the outcome and are dropped first, so a group
+    holds distinct spans only. The findings are read several times, so they are
+    stored: the scan that produces them runs once."""
+    findings = stored(findings.distinct(), "findings")
     order = ["source", "rule_ord", "start_pos", "end_pos"]
     columns = [c.split(":")[0] for c in FINDING[len("struct<"):-1].split(",")]
     packed = F.struct(*order, F.struct(*columns).cast(FINDING).alias("f"))

@@ -480,10 +480,12 @@ def ops_metrics(spark, sf_dir):
 
 @query("stream_scan")
 def stream_scan(spark, sf_dir):
+    def findings(texts: DataFrame) -> DataFrame:
+        return scan.explode_findings(resolve.resolve(scan.scan(texts, "enhanced")), "doc_id")
+
     rows = monitor.read_stream(spark, sf_dir, "documents", "doc_id", "text")
-    found = scan.explode_findings(resolve.resolve(monitor.scan_stream(rows, "enhanced")), "doc_id")
-    return monitor.drain(found.select("doc_id", "type", "confidence", "start_pos", "end_pos"),
-                         "stream-scan")
+    return monitor.drain_batches(rows, "stream-scan", findings).select(
+        "doc_id", "type", "confidence", "start_pos", "end_pos")
 
 
 def _event_stream(spark, sf_dir) -> DataFrame:

@@ -7,12 +7,12 @@ event is a failed request and ``value`` its response time.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textwarden.operators.scan import scan
-from textwarden.rules import Profile
-from textwarden.sources.tables import fresh_path
+from textwarden.sources.tables import fresh_path, spread
 
 LATENESS = "1 hour"
 RATE_WINDOW_SECONDS = 60
@@ -36,10 +36,6 @@ def with_event_time(events: DataFrame, ts: str = "ts") -> DataFrame:
     return events.withColumn(ts, F.col(ts).cast("timestamp"))
 
 
-def scan_stream(texts: DataFrame, profile: str | Profile) -> DataFrame:
-    return scan(texts, profile)
-
-
 def _rates() -> list[Column]:
     amount = F.col("value").cast("decimal(18,2)")
     return [F.count("*").alias("requests"),
@@ -92,8 +88,6 @@ def rate_limit(events: DataFrame, quota: int, seconds: int = RATE_WINDOW_SECONDS
     Events are first counted per user and second. A busy user is split by hour;
     the seconds that look back over the full hour are copied to the next one.
     """
-    from pyspark.sql import Window
-
     span = hours * 3600
     per_second = (events.groupBy("user_id", F.unix_seconds(F.col("ts").cast("timestamp"))
                                  .alias("second")).agg(F.count("*").alias("n")))
@@ -117,6 +111,20 @@ def rate_limit_stream(events: DataFrame, quota: int, seconds: int = RATE_WINDOW_
                        "requests", (F.col("requests") > quota).alias("over_quota"))
 
 
+def drain_batches(stream: DataFrame, label: str, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Run ``work`` on every batch of a stream and return all results. A batch of
+    few files is spread over the cores first; a repeated batch replaces itself."""
+    spark = stream.sparkSession
+    path = fresh_path(spark, label)
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        work(spread(batch)).write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
+
+    (stream.writeStream.option("checkpointLocation", f"{path}/state").foreachBatch(run)
+     .trigger(availableNow=True).start().awaitTermination())
+    return spark.read.parquet(f"{path}/rows").drop("batch")
+
+
 def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
     """Run a stream over all available input and return its result table, kept
     in the shared folder. In complete mode each batch replaces the result."""
