@@ -186,7 +186,8 @@ def hits_per_rule(spark, sf_dir):
         "type string, severity string, description string")
     hits = scan.explode_findings(scanned(spark, sf_dir, "enhanced"), "doc_id").groupBy("type").agg(
         F.count("*").alias("hits"))
-    return F.broadcast(rules).join(hits, "type", "left").select(
+    # one row per rule at most, so the counts are sent to the catalogue
+    return rules.join(F.broadcast(hits), "type", "left").select(
         "type", "severity", "description", F.coalesce("hits", F.lit(0)).alias("hits"))
 
 
