@@ -33,6 +33,12 @@ def test_one_shuffle(spark, name):
     assert shuffles(plan(spark, name)) == ["hashpartitioning"]
 
 
+@pytest.mark.parametrize("name", ["clean_texts", "flagged_texts", "spans_presidio", "context_decay"])
+def test_filters_do_not_repeat_the_scan(spark, name):
+    # once for the table and once for the known texts added to it
+    assert plan(spark, name).count("lower(text") <= 2
+
+
 def test_only_needed_columns_are_read(spark):
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan(spark, "spans_enhanced")
     assert "ReadSchema: struct<conv_id:bigint,turn:bigint,text:string>" in plan(spark, "summary_enhanced")

@@ -232,3 +232,13 @@ def explode_findings(scanned: DataFrame, *keys: str) -> DataFrame:
     the scan a second time for a non-empty check."""
     return (scanned.select(*keys, F.explode_outer("findings").alias("f"))
             .where(F.col("f.type").isNotNull()).select(*keys, "f.*"))
+
+
+def split_texts(scanned: DataFrame, clean: bool, *columns) -> DataFrame:
+    """``columns`` of the texts without (``clean``) or with findings.
+
+    A plain filter on ``findings`` would be pushed below the scan and repeat what
+    the scan shares between rules; a filter on the first generated row is not.
+    """
+    first = scanned.select(*columns, F.posexplode_outer("findings.type").alias("_pos", "_type"))
+    return first.where(F.col("_pos").isNull() if clean else F.col("_pos") == 0).drop("_pos", "_type")

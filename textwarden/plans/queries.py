@@ -328,9 +328,8 @@ def merged_findings(spark, sf_dir):
 def by_findings(spark, sf_dir, clean):
     """Texts without (with) findings. Findings sit in the row of their text, so
     this needs no join; ``summary.texts_without`` joins against a stored table."""
-    return scanned(spark, sf_dir, "presidio").where(
-        (F.size("findings") == 0) == F.lit(clean)).select(
-        "doc_id", F.length("text").cast("long").alias("n_chars"))
+    return scan.split_texts(scanned(spark, sf_dir, "presidio"), clean, "doc_id",
+                            F.length("text").cast("long").alias("n_chars"))
 
 
 # ---- resolution, ranking, policy ----------------------------------------------------------
