@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textwarden.llm import bpe, simhash
+from textwarden.llm import bpe, packing, simhash
 from textwarden.llm.common import table
 
 #: Production parameters.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), VOCABULARY))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -23,6 +27,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_packing": op3_packing,
     "op6_simhash": op6_simhash,
     "op8_bpe": op8_bpe,
 }
