@@ -7,13 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textwarden.llm import bpe, chat, fingerprints, packing, secrets, simhash
+from textwarden.llm import bpe, chat, fingerprints, packing, quality, repeats, secrets, simhash, toxicity
 from textwarden.llm.common import table
 
 #: Production parameters.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.report(table(spark, sf_dir, "documents"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), VOCABULARY))
 
@@ -26,6 +34,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), VOCABULARY)
 
@@ -39,9 +51,12 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_repeats": op1_repeats,
+    "op2_toxicity": op2_toxicity,
     "op3_packing": op3_packing,
     "op4_fingerprints": op4_fingerprints,
     "op6_simhash": op6_simhash,
+    "op7_quality": op7_quality,
     "op8_bpe": op8_bpe,
     "op9_secrets": op9_secrets,
     "op10_chat": op10_chat,
