@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textwarden.llm import bpe, chat, fingerprints, packing, quality, repeats, secrets, simhash, toxicity
+from textwarden.llm import bpe, chat, fingerprints, packing, passages, quality, repeats, secrets, simhash, toxicity
 from textwarden.llm.common import table
 
 #: Production parameters.
@@ -30,6 +30,10 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_neighbours(table(spark, sf_dir, "documents"))
 
 
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.classes(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_packing": op3_packing,
     "op4_fingerprints": op4_fingerprints,
+    "op5_passages": op5_passages,
     "op6_simhash": op6_simhash,
     "op7_quality": op7_quality,
     "op8_bpe": op8_bpe,

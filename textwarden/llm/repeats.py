@@ -38,7 +38,7 @@ from textwarden.llm.common import documents, flat, ranges, slices
 
 LENGTH, KMER = 100, 16
 #: Text of a batch, stretches of a bucket, text of a group of documents, and an index, in bytes.
-BATCH, BUCKET, GROUP, INDEX = 16 << 20, 24 << 20, 8 << 20, 1 << 20
+BATCH, BUCKET, GROUP, INDEX = 12 << 20, 16 << 20, 8 << 20, 1 << 20
 #: Documents in the sample that finds frequent k-mers, and the share of them that makes one frequent.
 SAMPLE, FREQUENT = 2000, 0.02
 _LEVEL = 6
