@@ -103,7 +103,7 @@ class Vocabulary:
         return out
 
     def _automaton(self, ids: dict[bytes, int], n: int) -> None:
-        """Goto table of the trie of all tokens; a state's token is the longest match that ends in it."""
+        """Edges of the trie of all tokens; a state's token is the longest match that ends in it."""
         states: dict[tuple[int, int], int] = {}
         token, shorter = [-1], np.full(n, -1, np.int32)
         for word, i in sorted(ids.items()):
@@ -117,20 +117,25 @@ class Vocabulary:
                     token.append(-1)
                 state = nxt
             token[state], shorter[i] = i, best
-        inner = sorted({s for s, _ in states})
-        number = np.zeros(len(token), np.int32)  # states without way on share the last row
-        number[:] = len(inner)
-        number[inner] = np.arange(len(inner))
-        self._goto = np.full((len(inner) + 1, 256), -1, np.int32)
+        edges = np.array([s << 8 | b for s, b in states], np.int64)
+        order = np.argsort(edges)
+        self._edges, self._to = edges[order], np.array(list(states.values()), np.int32)[order]
+        self._first = np.full(256, -1, np.int32)
         for (s, b), to in states.items():
-            self._goto[number[s], b] = to
-        self._row, self._token, self._shorter = number, np.array(token, np.int32), shorter
+            if not s:
+                self._first[b] = to
+        self._token, self._shorter = np.array(token, np.int32), shorter
+
+    def _go(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        key = state.astype(np.int64) << 8 | byte
+        at = np.minimum(np.searchsorted(self._edges, key), len(self._edges) - 1)
+        return np.where(self._edges[at] == key, self._to[at], -1)
 
     def longest(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The longest token that starts at each place of `data` and ends by `ends`."""
         found = np.full(len(data), -1, np.int32)
         at = np.arange(len(data))
-        state, place = self._goto[self._row[0], data], at
+        state, place = self._first[data], at
         while len(at):
             live = state >= 0
             at, place, state = at[live], place[live], state[live]
@@ -139,7 +144,7 @@ class Vocabulary:
             place = place + 1
             live = place < ends[at]
             at, place, state = at[live], place[live], state[live]
-            state = self._goto[self._row[state], data[place]]
+            state = self._go(state, data[place])
         return found
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:

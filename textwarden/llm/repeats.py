@@ -37,8 +37,8 @@ from pyspark.sql.types import StructType
 from textwarden.llm.common import documents, flat, ranges, slices
 
 LENGTH, KMER = 100, 16
-#: Text of a batch, stretches of a bucket, text of a group of documents, and an index, in bytes.
-BATCH, BUCKET, GROUP, INDEX = 12 << 20, 16 << 20, 8 << 20, 1 << 20
+#: Text of a slice and of a batch, stretches of a bucket, text of a group of documents, and an index, in bytes.
+SLICE, BATCH, BUCKET, GROUP, INDEX = 1 << 20, 8 << 20, 12 << 20, 6 << 20, 1 << 20
 #: Documents in the sample that finds frequent k-mers, and the share of them that makes one frequent.
 SAMPLE, FREQUENT = 2000, 0.02
 _LEVEL = 6
@@ -269,7 +269,7 @@ def _stretches(docs: DataFrame, length: int, buckets: int, groups: int, frequent
             found = list(_local(parts, length, buckets, groups)) if parts else []
             return pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([b for _, b in found], pa.binary())], ["key", "blob"])
 
-        for batch in slices(batches):
+        for batch in slices(batches, SLICE):
             data, offsets = flat(batch.column(1))
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             doc, start, windows, place, h = anchors(data, offsets, frequent, length)
@@ -361,7 +361,7 @@ def frequent_kmers(docs: DataFrame, rows: int, length: int) -> np.ndarray:
     every = max(1, rows // SAMPLE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, SLICE):
             data, offsets = flat(batch.column(1))
             doc, _, _, _, h = anchors(data, offsets, None, length)
             pairs = np.unique(np.stack([doc.astype(np.uint64), h & np.uint64((1 << _BITS) - 1)], 1), axis=0)

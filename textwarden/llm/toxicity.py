@@ -212,7 +212,7 @@ class Scorer:
     def weight(self, word: str) -> float:
         found = self._known.get(word)
         if found is None:
-            if len(self._known) >= 200_000:
+            if len(self._known) >= 50_000:
                 self._known.clear()
             found = max((self.weights.get(f, 0.0) for f in features_of(word)), default=0.0)
             self._known[word] = found
@@ -222,7 +222,7 @@ class Scorer:
         """The largest weight of the words in a token."""
         found = self._tokens.get(token)
         if found is None:
-            if len(self._tokens) >= 200_000:
+            if len(self._tokens) >= 50_000:
                 self._tokens.clear()
             found = max(map(self.weight, words_of(self.restorer.token(token))), default=0.0)
             self._tokens[token] = found
@@ -258,7 +258,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer |
     bare = Scorer(model, {})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 16 << 20):
+        for batch in slices(batches, 4 << 20):
             seen, toxic = Counter({"": batch.num_rows}), Counter({"": sum(batch.column(2).to_pylist())})
             for text, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 own = bare.features(text)
