@@ -219,6 +219,8 @@ def repeated_windows(text: np.ndarray, offsets: np.ndarray, windows: np.ndarray,
 def _local(parts: list, length: int, buckets: int, groups: int) -> Iterator[tuple[int, bytes]]:
     """Rows of a batch: each distinct stretch for its bucket, and for the documents' groups the windows already decided."""
     doc, tie, start, windows, offset, h, k1, k2, text = (np.concatenate(c) for c in zip(*parts, strict=True))
+    if not len(doc):
+        return
     size = windows + length - 1
     at = np.cumsum(size) - size
     place = np.zeros(len(doc), _PLACE)
