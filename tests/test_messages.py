@@ -1,4 +1,4 @@
-"""Long conversations are cut into pieces; nothing may change by that."""
+"""Conversations become one text each, and are scanned as such."""
 
 import random
 
@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import model
-from textwarden.operators import policy, resolve, scan, summary
+from textwarden.operators import policy, redact, resolve, scan, summary
 from textwarden.plans.inputs import letters
 from textwarden.rules import PROFILES
 from textwarden.sources.messages import concat_messages
@@ -38,16 +38,16 @@ def messages(spark, conversations):
     return spark.createDataFrame(rows, "conv_id bigint, turn bigint, text string").cache()
 
 
-@pytest.fixture(scope="module", params=[1, 2, 5])
-def pieces(request, messages):
-    return concat_messages(messages, max_messages=1, stretch=request.param).cache()
+@pytest.fixture(scope="module")
+def texts(messages):
+    return concat_messages(messages).cache()
 
 
 def whole(conversation, separator=" "):
     return "".join(m + separator for m in conversation)
 
 
-def test_short_conversations_stay_whole(messages, conversations):
+def test_conversations_stay_whole(messages, conversations):
     df = concat_messages(messages, "\n")
     assert df.columns == ["conv_id", "text", "n_messages"]
     for r in df.collect():
@@ -60,27 +60,8 @@ def test_missing_content_is_empty(spark):
     assert concat_messages(df).first().text == " b "
 
 
-def test_pieces_cover_the_text(pieces, conversations):
-    parts = {}
-    for r in pieces.collect():
-        parts.setdefault(r.conv_id, []).append(r)
-    cut = 0
-    for i, conv in enumerate(conversations):
-        text, rows = whole(conv), sorted(parts[i], key=lambda r: r.piece)
-        assert "".join(r.text for r in rows) == text
-        assert sum(r.n_messages for r in rows) == len(conv)
-        cut += len(rows) > 1
-        for r in rows:
-            end = r.offset + len(r.text)
-            assert text[r.offset:end] == r.text
-            assert r.lead == text[max(0, r.offset - 50):r.offset]
-            assert r.trail == text[end:end + 50]
-    assert cut > 100
-
-
 @pytest.mark.parametrize("profile", ["simple", "enhanced", "presidio", "advanced"])
-def test_findings_do_not_depend_on_pieces(pieces, conversations, profile):
-    texts = scan.with_prior_misses(pieces, profile, "conv_id")
+def test_findings_match_the_model(texts, conversations, profile):
     found = scan.scan(texts, profile)
     if PROFILES[profile].dedupe:
         found = resolve.resolve(found)
@@ -101,12 +82,12 @@ def test_findings_do_not_depend_on_pieces(pieces, conversations, profile):
         assert r.max_confidence == max((f[3] for f in want), default=None)
 
 
-def test_names_and_tokens_do_not_depend_on_pieces(pieces, conversations):
-    for r in scan.rule_names(pieces, "cloud", "conv_id").collect():
+def test_names_and_tokens_match_the_model(texts, conversations):
+    for r in scan.rule_names(texts, "cloud", "conv_id").collect():
         assert r.names == model.present("cloud", whole(conversations[r.conv_id]))
-    for r in summary.token_usage(pieces, "simple", "conv_id").collect():
+    for r in summary.token_usage(texts, "simple", "conv_id").collect():
         assert r.prompt_tokens == len(whole(conversations[r.conv_id]).split())
-    for r in scan.mentions(pieces, "conv_id").collect():
+    for r in scan.mentions(texts, "conv_id").collect():
         text = whole(conversations[r.conv_id])
         want = [name for name, sign in (
             ("potential_openai_key", "sk-" in text and len(text) > 50),
@@ -116,6 +97,15 @@ def test_names_and_tokens_do_not_depend_on_pieces(pieces, conversations):
         assert r.names == want
 
 
-def test_exfiltration_refuses_pieces(pieces):
-    with pytest.raises(ValueError):
-        scan.scan(pieces, "advanced", with_context=True)
+def test_a_long_conversation_is_like_any_other(spark):
+    """Findings, decision, log row and masking of 12,000 messages, as of a few."""
+    said = ["ok thanks"] * 12_000
+    said[11_990], said[11_995] = "mail u2@example.org now.", letters(40) + " aws."
+    rows = [(1, t, m) for t, m in enumerate(said)]
+    df = concat_messages(spark.createDataFrame(rows, "conv_id int, turn int, text string"))
+    assert df.columns == ["conv_id", "text", "n_messages"] and df.count() == 1
+    found = resolve.resolve(scan.scan(df, "enhanced"))
+    masked = redact.redact(found).first().redacted
+    got = [(r.type, r.start_pos, r.end_pos) for r in scan.explode_findings(found, "conv_id").collect()]
+    assert sorted(got) == sorted((f[0], f[1], f[2]) for f in model.findings("enhanced", whole(said)))
+    assert "u2@example.org" not in masked and "<EMAIL" in masked

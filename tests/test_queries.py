@@ -7,9 +7,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from textwarden.plans import oracles
+from textwarden.plans import queries as plans
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
+QUERIES, ORACLES = plans.QUERIES, oracles.ORACLES
 
 
 @pytest.fixture(scope="module")

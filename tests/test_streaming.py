@@ -40,14 +40,15 @@ def test_stream_equals_batch(spark, build):
     assert rows(monitor.drain(build(stream(spark)), "s", "complete")) == rows(build(events(spark)))
 
 
-def test_rate_limit_against_definition(spark):
+@pytest.mark.parametrize("seconds", [60, 3600, 7200, 86400])
+def test_rate_limit_against_definition(spark, seconds):
     data = [(1, t) for t in (0, 10, 59, 60, 61, 3599, 3600, 3601, 3659, 3660, 7200)] * 2 + [(2, 3590), (2, 3610)]
     df = spark.createDataFrame(data, "user_id int, s int").select(
         "user_id", F.timestamp_seconds("s").alias("ts"))
     got = {(r.user_id, r.second): (r.requests, r.in_window, r.over_quota)
-           for r in monitor.rate_limit(df, quota=4).collect()}
+           for r in monitor.rate_limit(df, quota=4, seconds=seconds).collect()}
     for user, second in set(data):
-        inside = [1 for u, s in data if u == user and second - 60 <= s <= second]
+        inside = [1 for u, s in data if u == user and second - seconds <= s <= second]
         assert got[user, second] == (data.count((user, second)), len(inside), len(inside) > 4)
     assert len(got) == len(set(data))
 

@@ -52,13 +52,10 @@ def decide_names(named: DataFrame, profile: str | Profile, blocking_on: bool = T
 
 
 def decide_findings(scanned: DataFrame, profile: str | Profile, *keys: str, **options) -> DataFrame:
-    """Decision rows for profiles that report findings; works on pieces too."""
+    """Decision rows for profiles that report findings."""
     policy = profile_of(profile).policy
     rows = scanned.select(*keys, F.size("findings").alias("total_issues"),
                           is_blocked(policy, **options).alias("blocked"))
-    if "piece" in scanned.columns:
-        rows = rows.groupBy(*keys).agg(F.sum("total_issues").alias("total_issues"),
-                                       F.bool_or("blocked").alias("blocked"))
     return rows.select(
         *keys, F.when(F.col("blocked"), 400).otherwise(200).alias("status"), "blocked",
         F.when(F.col("blocked"), BLOCKED_ERROR).alias("error"),

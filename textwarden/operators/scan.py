@@ -1,15 +1,12 @@
 """Detection: turn a text column into rule names or findings.
 
 A text table has a key and a ``text`` column. Everything here is one narrow
-projection: no shuffle, no Python, one row in and one row out. Tables made by
-``sources.messages`` may hold a very long conversation as several consecutive
-pieces; they carry ``offset`` (position of the piece), ``lead`` and ``trail``
-(the characters around it), which are honoured when present.
+projection: no shuffle, no Python, one row in and one row out.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textwarden.functions.checks import (VALIDATORS, any_word_sql, chunks_sql, severity_sql,
@@ -52,12 +49,7 @@ def rule_names(texts: DataFrame, profile: str | Profile, *keys: str,
     present = F.expr("array_compact(array(" + ", ".join(
         f"CASE WHEN {matches_sql(text, r.pattern, prepared)} THEN {quote(r.name)} END"
         for r in profile.rules) + "))")
-    rows = prepared.add(texts).select(*keys, present.alias("names"))
-    if "piece" not in texts.columns:
-        return rows
-    order = F.array(*[F.lit(r.name) for r in profile.rules])
-    return rows.groupBy(*keys).agg(F.array_distinct(F.flatten(F.collect_set("names"))).alias("any")
-                                   ).select(*keys, F.array_intersect(order, "any").alias("names"))
+    return prepared.add(texts).select(*keys, present.alias("names"))
 
 
 def flag_texts(texts: DataFrame, profile: str | Profile, *keys: str,
@@ -67,10 +59,7 @@ def flag_texts(texts: DataFrame, profile: str | Profile, *keys: str,
     prepared = _prepared(profile, text)
     anything = F.expr("(" + " OR ".join(
         matches_sql(text, r.pattern, prepared) for r in profile.rules) + ")")
-    rows = prepared.add(texts).select(*keys, anything.alias("blocked"))
-    if "piece" not in texts.columns:
-        return rows
-    return rows.groupBy(*keys).agg(F.bool_or("blocked").alias("blocked"))
+    return prepared.add(texts).select(*keys, anything.alias("blocked"))
 
 
 def mentions(texts: DataFrame, *keys: str, text: str = "text") -> DataFrame:
@@ -80,9 +69,6 @@ def mentions(texts: DataFrame, *keys: str, text: str = "text") -> DataFrame:
              "password": f"contains(lower({text}), 'password')"}
     rows = texts.select(*keys, F.length(text).cast("long").alias("size"),
                         *[F.expr(sql).alias(sign) for sign, sql in signs.items()])
-    if "piece" in texts.columns:
-        rows = rows.groupBy(*keys).agg(F.sum("size").alias("size"),
-                                       *[F.bool_or(sign).alias(sign) for sign in signs])
     return rows.select(*keys, F.expr("""array_compact(array(
         CASE WHEN sk AND size > 50 THEN 'potential_openai_key' END,
         CASE WHEN at AND dot THEN 'potential_email' END,
@@ -117,18 +103,17 @@ def _accepts(profile: Profile) -> str:
         for check, orders in checks.items()) or "true"
 
 
-def rule_findings_sql(profile: Profile, prepared: Prepared, text: str, wide: str, shift: str,
-                      offset: str, prior: str) -> str:
+def rule_findings_sql(profile: Profile, prepared: Prepared, text: str) -> str:
     """All findings of a catalogue in one text.
 
     Rules are unrolled so that each regex is a constant (compiled once per task,
     not per row); what follows is shared by all rules. The confidence of a rule
     with required context words halves at every match without one near it and
-    stays reduced; ``prior`` counts such matches in earlier pieces of the text.
+    stays reduced.
     """
     found = ",\n".join(
         f"CASE WHEN {matches_sql(text, r.pattern, prepared)} THEN struct({i} AS ord, "
-        f"{gaps_and_hits(text, r.pattern)} AS cut, {chunks_sql(wide)} AS chunks) END"
+        f"{gaps_and_hits(text, r.pattern)} AS cut, {chunks_sql(text)} AS chunks) END"
         for i, r in enumerate(profile.rules))
     meta = f"get({_rule_table(profile)}, r.ord)"
     start, end = "acc.pos + x.gap", "acc.pos + x.gap + length(x.hit)"
@@ -136,14 +121,14 @@ def rule_findings_sql(profile: Profile, prepared: Prepared, text: str, wide: str
     state = {"pos": ("0", end)}
     confidence = "acc.confidence"
     if any(r.context_words for r in profile.rules):
-        near = window_sql("r.chunks", f"({start} + {shift})", f"({end} + {shift})",
+        near = window_sql("r.chunks", start, end,
                           REQUIRED_CONTEXT_MARGIN)
         confidence = (f"CASE WHEN size({meta}.words) = 0 THEN acc.confidence "
                       f"WHEN exists({meta}.words, w -> contains(lower({near}), w)) "
                       f"THEN acc.confidence ELSE acc.confidence * 0.5D END")
         state["confidence"] = (
             f"CASE WHEN size({meta}.words) = 0 THEN {meta}.confidence "
-            f"ELSE {meta}.confidence * power(0.5D, {prior}) END",
+            f"ELSE {meta}.confidence END",
             f"CASE WHEN {accepted} THEN {confidence} ELSE acc.confidence END")
     else:
         state["confidence"] = (f"{meta}.confidence", "acc.confidence")
@@ -156,44 +141,14 @@ def rule_findings_sql(profile: Profile, prepared: Prepared, text: str, wide: str
     built = finding_sql(
         source=str(FROM_RULES), rule_ord="r.ord", type=f"{meta}.type",
         description=f"{meta}.description", confidence="s.confidence",
-        start_pos=f"s.start_pos + {offset}", end_pos=f"s.end_pos + {offset}",
+        start_pos="s.start_pos", end_pos="s.end_pos",
         severity=f"{meta}.severity",
-        context=window_sql("r.chunks", f"(s.start_pos + {shift})", f"(s.end_pos + {shift})",
+        context=window_sql("r.chunks", "s.start_pos", "s.end_pos",
                            CONTEXT_MARGIN),
         detector=quote(profile.detector), entity_text=entity)
     return f"flatten(transform(array_compact(array({found})), r -> transform({spans}, s -> {built})))"
 
 
-def with_prior_misses(texts: DataFrame, profile: str | Profile, key: str) -> DataFrame:
-    """Carry the confidence decay from piece to piece of a long conversation:
-    ``prior_misses`` counts, per rule, the matches without a required word in the
-    earlier pieces. Whole texts pass unchanged."""
-    profile = profile_of(profile)
-    decaying = {i: r for i, r in enumerate(profile.rules) if r.context_words}
-    if "piece" not in texts.columns or not decaying:
-        return texts
-
-    def misses(rule: Rule) -> Column:
-        near = window_sql("chunks", "(s.start_pos + length(lead))", "(s.end_pos + length(lead))",
-                          REQUIRED_CONTEXT_MARGIN)
-        has_word = any_word_sql(f"lower({near})", rule.context_words)
-        valid = VALIDATORS.get(rule.validator, rule.validator or (lambda hit: "true"))("s.hit")
-        return F.expr(f"size(filter({match_spans_sql('text', rule.pattern)}, "
-                      f"s -> {valid} AND NOT {has_word}))")
-
-    counts = texts.where("lead <> '' OR trail <> ''").withColumn(
-        "chunks", F.expr(chunks_sql("concat(lead, text, trail)"))).select(
-        key, "piece", *[misses(r).alias(f"m{i}") for i, r in decaying.items()])
-    before = Window.partitionBy(key).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    carried = F.array(*[
-        F.coalesce(F.sum(f"m{i}").over(before), F.lit(0)) if i in decaying else F.lit(0).cast("long")
-        for i in range(len(profile.rules))])
-    return texts.join(counts.select(key, "piece", carried.alias("carried")), [key, "piece"], "left"
-                      ).withColumn("prior_misses", F.coalesce(
-                          "carried", F.array_repeat(F.lit(0).cast("long"), len(profile.rules)))
-                      ).drop("carried")
-
-
 def exfiltration_sql(text: str) -> str:
     """One finding over the whole text when it talks of taking data out."""
     lowered = f"lower({text})"
@@ -211,16 +166,8 @@ def scan(texts: DataFrame, profile: str | Profile, with_context: bool = False,
          text: str = "text") -> DataFrame:
     """Add ``findings``: every match of every rule, in rule order then position."""
     profile = profile_of(profile)
-    pieces = "lead" in texts.columns
-    if pieces and with_context:
-        raise ValueError("the exfiltration check needs whole texts, not pieces")
     prepared = _prepared(profile, text)
-    found = rule_findings_sql(
-        profile, prepared, text,
-        wide=f"concat(lead, {text}, trail)" if pieces else text,
-        shift="length(lead)" if pieces else "0",
-        offset="offset" if pieces else "0",
-        prior="get(prior_misses, r.ord)" if "prior_misses" in texts.columns else "0")
+    found = rule_findings_sql(profile, prepared, text)
     if with_context:
         found = f"concat({found}, {exfiltration_sql(text)})"
     return prepared.drop(prepared.add(texts).withColumn(

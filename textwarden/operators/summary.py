@@ -19,11 +19,7 @@ def _count(condition: str) -> Column:
 
 def summarise(scanned: DataFrame, profile: str | Profile, *keys: str) -> DataFrame:
     """One row per text with totals, severity and detector counts, the sorted
-    distinct types, the best confidence and the decision.
-
-    A projection for whole texts; pieces of long conversations are combined by
-    a grouping of one small row per piece.
-    """
+    distinct types, the best confidence and the decision."""
     profile = profile_of(profile)
     rows = scanned.select(
         *keys, F.size("findings").cast("long").alias("total_issues"),
@@ -33,13 +29,6 @@ def summarise(scanned: DataFrame, profile: str | Profile, *keys: str) -> DataFra
         F.expr("array_sort(array_distinct(findings.type))").alias("types"),
         F.array_max("findings.confidence").alias("max_confidence"),
         F.expr(f"exists(findings, f -> {blocking_sql(profile.policy)})").alias("should_block"))
-    if "piece" in scanned.columns:
-        counts = ["total_issues", *[s.lower() for s in SEVERITIES], "from_entities", "from_rules"]
-        rows = rows.groupBy(*keys).agg(
-            *[F.sum(c).alias(c) for c in counts],
-            F.array_sort(F.array_distinct(F.flatten(F.collect_set("types")))).alias("types"),
-            F.max("max_confidence").alias("max_confidence"),
-            F.bool_or("should_block").alias("should_block"))
     return rows.withColumn("clean", F.col("total_issues") == 0).withColumn(
         "issue_types", F.array_join("types", ",")).drop("types")
 
@@ -82,10 +71,8 @@ def scan_counters(summary: DataFrame, with_entities: bool = False) -> DataFrame:
 
 def token_usage(texts: DataFrame, profile: str | Profile, *keys: str) -> DataFrame:
     """Prompt tokens (white-space separated), the profile's fixed completion
-    tokens, and their sum. A piece ends with white space, so counts add up."""
+    tokens, and their sum."""
     rows = texts.select(*keys, tokens(F.col("text")).cast("long").alias("prompt_tokens"))
-    if "piece" in texts.columns:
-        rows = rows.groupBy(*keys).agg(F.sum("prompt_tokens").alias("prompt_tokens"))
     completion = F.lit(profile_of(profile).completion_tokens).cast("long")
     return rows.withColumn("completion_tokens", completion).withColumn(
         "total_tokens", F.col("prompt_tokens") + F.col("completion_tokens"))
@@ -95,8 +82,8 @@ def usage_cost(usage: DataFrame, by: list[str], tokens_column: str, price_per_1k
     """Tokens and cost with subtotals for every prefix of ``by`` and in total.
     The subtotals are made from the finest sums, not from the raw rows."""
     finest = usage.groupBy(*by).agg(
-        F.count("*").alias("n"), F.sum(F.col(tokens_column).cast("decimal(18,2)")).alias("amount"))
-    amount = F.sum("amount").cast("double")
+        F.count("*").alias("n"), F.sum(F.col(tokens_column).cast("double")).alias("amount"))
+    amount = F.round(F.sum("amount"), 4)
     return finest.rollup(*by).agg(
         F.sum("n").alias("requests"), amount.alias("tokens"),
         F.round(amount * price_per_1k / 1000, 8).alias("cost"))

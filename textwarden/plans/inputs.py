@@ -119,13 +119,13 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     message = "to_json(struct(role, text AS content))"
     quoted = "substring(to_json(struct(text AS t)), 6, length(to_json(struct(text AS t))) - 6)"
     body = f"""CASE kind
-        WHEN 0 THEN '{{"messages": ['
-        WHEN 1 THEN '{{"messages": []}}'
-        WHEN 2 THEN '{{"messages": [{{"role": "user"}}]}}'
-        WHEN 3 THEN '{{"messages": [{{"role": "user", "content": null}}]}}'
+        WHEN 0 THEN concat('{{"messages": [', {message})
+        WHEN 1 THEN concat('{{"messages": [], "draft": ', {message}, '}}')
+        WHEN 2 THEN concat('{{"messages": [{{"role": "user"}}, ', {message}, ']}}')
+        WHEN 3 THEN concat('{{"messages": [{{"role": "user", "content": null}}, ', {message}, ']}}')
         WHEN 4 THEN concat('{{"messages": [{{"role": "user", "content": [{{"type": "text", "text": ',
             {quoted}, '}}, "tail", {{"type": "image"}}]}}]}}')
-        WHEN 5 THEN '{{"messages": [{{"role": "user", "content": 5}}]}}'
+        WHEN 5 THEN concat('{{"messages": [{{"role": "user", "content": 5}}, ', {message}, ']}}')
         WHEN 6 THEN concat('{{"temperature": 2.5, "max_tokens": 0, "top_p": -0.1, "messages": [',
             {message}, ']}}')
         WHEN 7 THEN concat('{{"model": "m1", "temperature": 0.2, "max_tokens": 50, "top_p": 0.5, ',
@@ -160,7 +160,7 @@ def stream_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines, a comment line per message, and in some an end mark after turn 3."""
     return chats(spark, sf_dir).select(
         F.col("conv_id").alias("stream_id"), "turn",
-        F.posexplode(F.expr("""array(concat('data: ', substring(translate(text, '\\n', ' '), 1, 40)),
+        F.posexplode(F.expr("""array(concat('data: ', translate(text, '\\n', ' ')),
             ': keep-alive',
             CASE WHEN turn = 3 AND pmod(conv_id, 2) = 0 THEN 'data: [DONE]' ELSE '' END)"""))
         .alias("pos", "line")

@@ -169,8 +169,8 @@ FROM t LEFT JOIN {source} AS z ON z.id = t.id GROUP BY t.id"""
 REQUESTS = (f"{CHATS}, rq AS (SELECT conv_id * 1000 + turn AS request_id, "
             f"(((conv_id + turn) % {REQUEST_KINDS}) + {REQUEST_KINDS}) % {REQUEST_KINDS} AS kind, "
             f"text FROM c)")
-FLATTENED = ("CASE kind WHEN 1 THEN '' WHEN 2 THEN ' ' WHEN 3 THEN 'None ' "
-             "WHEN 4 THEN text || ' tail ' WHEN 5 THEN '5 ' WHEN 7 THEN text || ' ' || text || ' ' "
+FLATTENED = ("CASE kind WHEN 1 THEN '' WHEN 2 THEN ' ' || text || ' ' WHEN 3 THEN 'None ' || text || ' ' "
+             "WHEN 4 THEN text || ' tail ' WHEN 5 THEN '5 ' || text || ' ' WHEN 7 THEN text || ' ' || text || ' ' "
              "ELSE text || ' ' END")
 RESPONSES = (f"{CHATS}, rs AS (SELECT conv_id * 1000 + turn AS request_id, conv_id, "
              f"(((conv_id + turn) % 4) + 4) % 4 AS kind, text FROM c WHERE role = 'assistant')")
@@ -204,10 +204,9 @@ f AS (SELECT id, 0 AS source, 0 AS ord, type, descr, conf, 0 AS k, st, en, sev,
 {RESOLVE}"""
 
 
-_value = "value::DECIMAL(18,2)"
 RATES = (f"count(*) AS requests, count(*) FILTER (event_type = 'error') AS errors, "
          f"round(count(*) FILTER (event_type = 'error') * 100.0::DOUBLE / count(*), 4) "
-         f"AS error_rate_pct, round(sum({_value})::DOUBLE / count(*), 4) AS avg_response")
+         f"AS error_rate_pct, round(avg(value), 4) AS avg_response")
 
 
 def per_window(minutes: int) -> str:
@@ -236,7 +235,7 @@ ORACLES = {
         CASE WHEN kind = 0 THEN {_INVALID} END AS error FROM rq""",
     "validate_requests": f"""WITH {REQUESTS} SELECT request_id,
         CASE WHEN kind = 7 THEN 'm1' ELSE 'deepseek-chat' END AS model,
-        (CASE WHEN kind IN (0, 1) THEN 0 WHEN kind = 7 THEN 2 ELSE 1 END)::BIGINT AS n_messages,
+        (CASE WHEN kind IN (0, 1) THEN 0 WHEN kind IN (2, 3, 5, 7) THEN 2 ELSE 1 END)::BIGINT AS n_messages,
         (CASE kind WHEN 6 THEN 2.5 WHEN 7 THEN 0.2 ELSE 0.7 END)::DOUBLE AS temperature,
         (CASE kind WHEN 6 THEN 0 WHEN 7 THEN 50 ELSE 1000 END)::BIGINT AS max_tokens,
         (CASE kind WHEN 6 THEN -0.1 WHEN 7 THEN 0.5 ELSE 1.0 END)::DOUBLE AS top_p,
@@ -270,7 +269,7 @@ ORACLES = {
         (CASE kind WHEN 0 THEN 7 ELSE 0 END)::INT AS total_tokens FROM rs""",
     "sse_lines": f"""WITH {CHATS},
         l AS (SELECT conv_id AS stream_id, turn * 3 + pos AS seq, CASE pos
-            WHEN 0 THEN 'data: ' || substring(replace(text, chr(10), ' '), 1, 40)
+            WHEN 0 THEN 'data: ' || replace(text, chr(10), ' ')
             WHEN 1 THEN ': keep-alive'
             ELSE CASE WHEN turn = 3 AND conv_id % 2 = 0 THEN 'data: [DONE]' ELSE '' END END AS line
           FROM c, (VALUES (0), (1), (2)) p(pos)),
@@ -409,19 +408,19 @@ ORACLES = {
         string_split_regex(text, '\\s+'), lambda z: z <> '')) AS p FROM t)
         SELECT id AS conv_id, p AS prompt_tokens, 30::BIGINT AS completion_tokens,
           p + 30 AS total_tokens FROM n""",
-    "avg_scan_time": f"""WITH d AS (SELECT ts::DATE AS day, sum({_value})::DOUBLE AS total,
+    "avg_scan_time": f"""WITH d AS (SELECT ts::DATE AS day, sum(value) AS total,
         count(*) AS n FROM events GROUP BY 1)
         SELECT day::VARCHAR AS day, round(total / n, 2) AS avg_ms,
           round(sum(total) OVER w / sum(n) OVER w, 2) AS running_avg_ms FROM d
         WINDOW w AS (ORDER BY day ROWS UNBOUNDED PRECEDING)""",
     "usage_cost": f"""SELECT user_id, event_type, count(*) AS requests,
-        sum({_value})::DOUBLE AS tokens, round(sum({_value})::DOUBLE * 0.002 / 1000, 8) AS cost
+        round(sum(value), 4) AS tokens, round(round(sum(value), 4) * 0.002 / 1000, 8) AS cost
         FROM events GROUP BY ROLLUP (user_id, event_type)""",
     "ops_metrics": per_window(1),
     "stream_metrics": per_window(60),
     "stream_alerts": f"WITH {SLIDING}",
     "stream_sessions": f"WITH {SESSIONS}",
-    "stream_stats": f"""SELECT event_type, count(*) AS requests, sum({_value})::DOUBLE AS total_value
+    "stream_stats": f"""SELECT event_type, count(*) AS requests, round(sum(value), 4) AS total_value
         FROM events GROUP BY 1""",
     "stream_scan": f"""{resolved("enhanced", "t AS (SELECT doc_id AS id, text FROM documents)")}
         SELECT id AS doc_id, type, conf AS confidence, st AS start_pos, en AS end_pos FROM r""",

@@ -453,10 +453,9 @@ def token_usage(spark, sf_dir):
 def avg_scan_time(spark, sf_dir):
     """Mean time per day and the running mean up to it. Days are summed first, so
     the running pass sees one row per day."""
-    amount = F.col("value").cast("decimal(18,2)")
     daily = read_table(spark, sf_dir, "events", "ts", "value").groupBy(
-        F.to_date("ts").alias("day")).agg(F.sum(amount).cast("double").alias("total"),
-                                          F.count("*").alias("n"))
+        F.to_date("ts").alias("day")).agg(F.sum("value").alias("total"),
+                                          F.count("value").alias("n"))
     so_far = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return daily.select(
         F.col("day").cast("string").alias("day"), F.round(F.col("total") / F.col("n"), 2)

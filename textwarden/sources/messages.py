@@ -2,145 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textwarden.functions.checks import WHITE
-from textwarden.functions.spans import quote
-from textwarden.sources.tables import stored
-
-# A conversation with more messages than this is cut into pieces.
-MAX_MESSAGES = 10_000
-# Never more than this many conversations are treated as long, so the list of
-# them (one key each) is always small enough to send to every executor.
-MAX_LONG_KEYS = 1_000_000
-# Characters of context a piece carries from its neighbours.
-MARGIN = 50
-
-# A piece may only end after a message that no catalogue rule can match across.
-# Each condition describes an end that could lie inside a match. Only the last
-# characters are looked at where that is enough; a long blank end counts as open.
-_TAIL = 64
-_OPEN_ENDS = " OR ".join((
-    # numbers, assignments and their key words, parts of a connection string
-    "rlike(right(text, {n}), {end})".format(n=_TAIL, end=quote(
-        rf"(?iU)(?:[\d):=;]|(?:password|secret|key)[\"']?|server|host|source|data|database|initial"
-        rf"|catalog){WHITE}*\z|(?:^|{WHITE}{{40}}){WHITE}*\z")),
-    # only letters and blanks, or a key header: "BEGIN ... KEY" may continue
-    "NOT rlike(text, {0})".format(quote("(?iU)[^A-Za-z ]")),
-    "(contains(text, '-----') AND rlike(text, {0}))".format(
-        quote(r"(?iU)-----BEGIN[A-Za-z ]*\z")),
-    "(contains(text, ';') AND rlike(text, {0}))".format(
-        quote(rf"(?iU);{WHITE}*(?:database|initial)[^;]*\z"))))
-# A connection string reaches over any number of messages until a semicolon.
-# true: one may be open after the message, false: none is, null: as before it.
-_RUN = ("CASE WHEN contains(text, '=') AND rlike(text, " + quote(
-    rf"(?iU)(?:(?:server|host|source|database|catalog){WHITE}*=|^{WHITE}*=)[^;]*\z")
-    + ") THEN true WHEN contains(text, ';') THEN false END")
-
 
 def concat_messages(messages: DataFrame, separator: str = " ", key: str = "conv_id",
-                    order: str = "turn", text: str = "text",
-                    max_messages: int = MAX_MESSAGES, stretch: int = 256) -> DataFrame:
-    """One row ``(key, text, n_messages)`` per conversation; the separator
-    follows every message, and missing content counts as empty.
+                    order: str = "turn", text: str = "text") -> DataFrame:
+    """One row ``(key, text, n_messages)`` per conversation, however long; the
+    separator follows every message, and missing content counts as empty.
 
-    The usual plan is one shuffle by key. Whether a conversation is too long for
-    one row is found from the key column alone; only then the long ones are taken
-    out (before the shuffle) and delivered as consecutive pieces, with the extra
-    columns ``piece, offset, lead, trail``.
+    One shuffle by key, whose partitions adaptive execution sizes. A text is one
+    value, so a conversation must fit into a row (2 GB), as a document must.
     """
     rows = messages.select(key, F.col(order).alias("turn"),
                            F.concat(F.coalesce(text, F.lit("")), F.lit(separator)).alias("text"))
-    limit = max(max_messages, messages.count() // MAX_LONG_KEYS)
-    counts = messages.groupBy(key).count()
-    long_keys = counts.where(F.col("count") > limit).select(key)
-    # What follows is bound by the processors: keep every shuffle partition, also
-    # where their sizes alone would let them be merged.
-    width = int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if long_keys.isEmpty():
-        return _joined(rows.repartition(width, key), key)
-    long_keys = F.broadcast(stored(long_keys, "long-keys"))   # at most MAX_LONG_KEYS keys
-    short = _joined(rows.join(long_keys, key, "left_anti").repartition(width, key), key).select(
-        "*", F.lit(0).cast("long").alias("piece"), F.lit(0).cast("long").alias("offset"),
-        F.lit("").alias("lead"), F.lit("").alias("trail"))
-    return short.unionByName(_pieces(
-        rows.join(long_keys, key, "left_semi"), key, stretch, width))
-
-
-def _joined(rows: DataFrame, *keys: str) -> DataFrame:
-    return rows.groupBy(*keys).agg(
+    return rows.groupBy(key).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))),
                                  lambda m: m.text), "").alias("text"),
         F.count("*").cast("long").alias("n_messages"))
-
-
-def _pieces(rows: DataFrame, key: str, stretch: int, width: int) -> DataFrame:
-    """Cut long conversations at safe ends, about ``stretch`` turns apart.
-
-    Turns are handled in stretches, so no task sees a whole conversation; per
-    stretch one small row goes into the pass along the conversation.
-    """
-    rows = rows.withColumn("stretch", F.expr(f"turn div {stretch}"))
-    ends = rows.select(
-        key, "stretch", "turn", F.length("text").cast("long").alias("size"),
-        F.expr(f"NOT ({_OPEN_ENDS})").alias("closed_end"), F.expr(_RUN).alias("run"))
-    inside = Window.partitionBy(key, "stretch").orderBy("turn")
-    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
-    along = Window.partitionBy(key).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
-    ends = (ends.withColumn("run", F.last("run", ignorenulls=True).over(so_far))
-            .withColumn("start", F.sum("size").over(so_far) - F.col("size"))
-            .withColumn("end_if_no_run", F.lag("closed_end").over(inside))
-            .withColumn("run_before", F.lag("run").over(inside)))
-
-    # Where could a piece begin in this stretch: at its first message, or after
-    # the first message with a safe end? Twice: with and without a run carried in.
-    def first(cond, value):
-        return F.min(F.when(cond, value))
-
-    safe_plain = F.col("end_if_no_run") & ~F.coalesce("run_before", F.lit(False))
-    safe_carried = F.col("end_if_no_run") & ~F.coalesce("run_before", F.lit(True))
-    small = ends.groupBy(key, "stretch").agg(
-        F.sum("size").alias("size"), F.min("turn").alias("first_turn"),
-        F.max_by("closed_end", "turn").alias("closed_end"),
-        F.max_by("run", "turn").alias("run"),
-        first(safe_plain, F.col("turn")).alias("plain_turn"),
-        first(safe_plain, F.col("start")).alias("plain_start"),
-        first(safe_carried, F.col("turn")).alias("carried_turn"),
-        first(safe_carried, F.col("start")).alias("carried_start"))
-    small = (small.withColumn("base", F.coalesce(F.sum("size").over(along), F.lit(0)))
-             .withColumn("in_run", F.coalesce(F.last("run", ignorenulls=True).over(along),
-                                              F.lit(False)))
-             .withColumn("after_safe", F.coalesce(F.last("closed_end").over(along), F.lit(True))
-                         & ~F.col("in_run"))
-             .withColumn("begin", F.when(F.col("after_safe"), F.col("first_turn"))
-                         .when(F.col("in_run"), F.col("carried_turn"))
-                         .otherwise(F.col("plain_turn")))
-             .withColumn("offset", F.col("base") + F.when(F.col("after_safe"), 0)
-                         .when(F.col("in_run"), F.col("carried_start"))
-                         .otherwise(F.col("plain_start")))
-             .withColumn("own", F.when(F.col("begin").isNotNull(),
-                                       F.struct(F.col("stretch").alias("piece"), "offset")))
-             .withColumn("previous", F.last("own", ignorenulls=True).over(along))
-             .select(key, "stretch", "begin", "own", "previous"))
-    placed = (rows.join(small, [key, "stretch"])
-              .withColumn("at", F.when(F.col("turn") >= F.col("begin"), F.col("own"))
-                          .otherwise(F.col("previous")))
-              .select(key, F.col("at.piece").alias("piece"), F.col("at.offset").alias("offset"),
-                      "turn", "text"))
-    pieces = _joined(placed.repartition(width, key, "piece"), key, "piece", "offset")
-
-    order = Window.partitionBy(key).orderBy("piece")
-    def neighbours(column, first_row, last_row):
-        return F.array_join(F.collect_list(column).over(order.rowsBetween(first_row, last_row)), "")
-
-    # every piece has at least one character, so MARGIN neighbours are enough
-    edges = pieces.select(
-        key, "piece", F.substring("text", 1, MARGIN).alias("head"),
-        F.expr(f"right(text, {MARGIN})").alias("tail")).select(
-        key, "piece", neighbours("tail", -MARGIN, -1).alias("lead"),
-        neighbours("head", 1, MARGIN).alias("trail"))
-    return pieces.join(edges, [key, "piece"]).select(
-        key, "text", "n_messages", "piece", "offset",
-        F.expr(f"right(lead, {MARGIN})").alias("lead"),
-        F.substring("trail", 1, MARGIN).alias("trail"))

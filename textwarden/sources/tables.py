@@ -24,13 +24,15 @@ def spread(texts: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can reach, as the cluster names it. Only where
-    it names none (local runs) a folder of our own is set."""
-    folder = spark.conf.get(CHECKPOINT_DIR, None)
+    """The folder all executors can reach, as the cluster names it. Only a local
+    session that names none gets a folder of its own, once."""
+    context = spark.sparkContext
+    folder = spark.conf.get(CHECKPOINT_DIR, None) or context.getCheckpointDir()
     if not folder:
-        found = spark.sparkContext.getCheckpointDir()
-        folder = found or tempfile.mkdtemp(prefix="textwarden-")
-        spark.conf.set(CHECKPOINT_DIR, folder)
+        if context.master.partition("[")[0] != "local":
+            raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="textwarden-")
+        context.setCheckpointDir(folder)
     return folder
 
 

@@ -24,25 +24,33 @@ def use_utc(spark: SparkSession) -> None:
 
 
 def read_stream(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
-    """A parquet table of the folder as a stream of its files."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    rows = (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-            .parquet(folder))
+    """A parquet table of the folder (one file, or a folder of part files) as a stream."""
+    path = f"{folder}/{name}.parquet"
+    source = spark.readStream.schema(spark.read.parquet(path).schema)
+    if is_folder(spark, path):
+        rows = source.parquet(path)
+    else:  # a stream reads folders, so a single file is picked from its own
+        rows = source.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
     return rows.select(*columns) if columns else rows
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether a table is a folder of files, on any file system that Spark reads."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
+
+
 def with_event_time(events: DataFrame, ts: str = "ts") -> DataFrame:
     """Watermarks need a zoned timestamp."""
     return events.withColumn(ts, F.col(ts).cast("timestamp"))
 
 
 def _rates() -> list[Column]:
-    amount = F.col("value").cast("decimal(18,2)")
     return [F.count("*").alias("requests"),
             F.count_if(F.col("event_type") == "error").alias("errors"),
             F.round(F.count_if(F.col("event_type") == "error") * 100.0 / F.count("*"), 4)
             .alias("error_rate_pct"),
-            F.round(F.sum(amount).cast("double") / F.count("*"), 4).alias("avg_response")]
+            F.round(F.avg("value"), 4).alias("avg_response")]
 
 
 def metrics(events: DataFrame, every: str = "1 minute", slide: str | None = None) -> DataFrame:
@@ -77,26 +85,26 @@ def live_stats(events: DataFrame) -> DataFrame:
     """Counters over everything seen so far."""
     return events.groupBy("event_type").agg(
         F.count("*").alias("requests"),
-        F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("total_value"))
+        F.round(F.sum(F.col("value").cast("double")), 4).alias("total_value"))
 
 
-def rate_limit(events: DataFrame, quota: int, seconds: int = RATE_WINDOW_SECONDS,
-               hours: int = 1) -> DataFrame:
+def rate_limit(events: DataFrame, quota: int, seconds: int = RATE_WINDOW_SECONDS) -> DataFrame:
     """Requests of each user in the ``seconds`` before and including every
     second with requests, and whether that exceeds the quota.
 
-    Events are first counted per user and second. A busy user is split by hour;
-    the seconds that look back over the full hour are copied to the next one.
+    Events are first counted per user and second. A busy user is split into
+    stretches of time no shorter than the window; a second that the next stretch
+    looks back to is copied there.
     """
-    span = hours * 3600
+    span = max(3600, seconds)
     per_second = (events.groupBy("user_id", F.unix_seconds(F.col("ts").cast("timestamp"))
                                  .alias("second")).agg(F.count("*").alias("n")))
     own = F.floor(F.col("second") / span)
     copies = F.array_distinct(F.array(own, F.floor((F.col("second") + seconds) / span)))
-    rows = per_second.withColumn("hour", F.explode(copies))
-    recent = (Window.partitionBy("user_id", "hour").orderBy("second")
+    rows = per_second.withColumn("stretch", F.explode(copies))
+    recent = (Window.partitionBy("user_id", "stretch").orderBy("second")
               .rangeBetween(-seconds, Window.currentRow))
-    return (rows.withColumn("in_window", F.sum("n").over(recent)).where(F.col("hour") == own)
+    return (rows.withColumn("in_window", F.sum("n").over(recent)).where(F.col("stretch") == own)
             .select("user_id", "second", F.col("n").alias("requests"), "in_window",
                     (F.col("in_window") > quota).alias("over_quota")))
 
