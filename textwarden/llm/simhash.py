@@ -182,8 +182,8 @@ def _turned(name: str, by: int) -> F.col:
 def components(edges: DataFrame) -> DataFrame:
     """`v`, `root` of every vertex of `u`, `v` edges: equal roots mark a component.
 
-    Each vertex takes its smallest neighbour, that neighbour's choice, and so on; then edges are
-    contracted. Every round at least halves the vertices that still have edges.
+    Each vertex takes its smallest neighbour, that neighbour's choice, and so on to the end; then
+    edges are contracted. Every round at least halves the vertices that still have edges.
     """
     edges = cut_lineage(edges)
     both = edges.select(F.col("u").alias("v")).union(edges.select("v")).distinct()
@@ -191,9 +191,12 @@ def components(edges: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         ends = edges.union(edges.select("v", "u")).toDF("x", "y")
         up = cut_lineage(ends.groupBy("x").agg(F.least("x", F.min("y")).alias("to")))
-        for _ in range(2):
-            up = up.join(up.select(F.col("x").alias("to"), F.col("to").alias("then")), "to").select("x", F.col("then").alias("to"))
-        up = cut_lineage(up)
+        while True:  # to the end of each chain of choices, in steps that double
+            ends = up.select(F.col("x").alias("to"), F.col("to").alias("then"))
+            jumped = cut_lineage(up.join(ends, "to").select("x", "to", "then"))
+            up = jumped.select("x", F.col("then").alias("to"))
+            if jumped.where("to <> then").isEmpty():
+                break
         first, second = up.toDF("u", "a"), up.toDF("v", "b")
         edges = cut_lineage(edges.join(first, "u").join(second, "v").where("a <> b")
                             .select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
