@@ -6,7 +6,7 @@ from textwarden.operators import entities as ent
 from textwarden.operators import resolve, scan
 from textwarden.operators.redact import redact
 from textwarden.plans.inputs import VECTORS
-from textwarden.rules import ENTITY_TYPES_APP
+from textwarden.rules import ENTITY_TYPES_APP, PROFILES
 
 CASES = [
     ("thanks John", "PERSON", "thanks", .9, None),
@@ -86,6 +86,23 @@ def test_redaction_of_long_texts(spark):
     assert masked == unit.replace("a@b.org", "<EMAIL_ADDRESS>") * 20
 
 
+def test_switches_remove_detectors_from_the_plan(tables):
+    entities, texts = tables
+    both = {r.doc_id: r for r in ent.app_decisions(entities, texts).collect()}
+    assert both[1].issues[0].startswith("PII detected: PERSON") and both[1].status == 400 and both[7].status == 200
+    off = ent.app_decisions(entities, texts, pii_on=False)
+    assert "Join" not in off._jdf.queryExecution().executedPlan().toString() and off.where("blocked").count() == 0
+    assert ent.app_decisions(entities, texts, blocking_on=False).where("blocked").count() == 0
+
+
+def test_confidence_limit_and_added_validator(spark):
+    df = spark.createDataFrame([(1, "a@b.org and 123-45-6789")], "id int, text string")
+    found = scan.at_least(scan.scan(df, "simple"), 0.9).first().findings
+    assert [f.type for f in found] == ["ssn"]
+    profile = PROFILES["simple"].with_validators({"email": lambda hit: f"{hit} LIKE '%.com'"})
+    assert [f.type for f in scan.scan(df, profile).first().findings] == ["ssn"]
+
+
 def test_texts_with_and_without_stored_findings(spark):
     from textwarden.operators import summary
     texts = spark.createDataFrame([(1, "a@b.org a@c.org"), (2, "x")], "doc_id int, text string")

@@ -51,6 +51,16 @@ def test_defaults_and_ranges(spark):
     assert (rows[2].model, rows[2].stream) == ("m", True)
 
 
+def test_types_are_strict(spark):
+    good = [user("x")]
+    cases = [({"max_tokens": "abc"}, ["max_tokens"]), ({"max_tokens": 10.7}, ["max_tokens"]), ({"stream": "maybe"}, ["stream"]),
+             ({"model": 5}, ["model"]), ({"model": None}, ["model"]), ({"temperature": [1]}, ["temperature"]),
+             ({"temperature": None, "max_tokens": "10", "top_p": "0.5", "stream": "yes"}, []),
+             ({"max_tokens": 10.0, "stream": 0}, [])]
+    rows = requests.validate(parsed(spark, [body(messages=good, **f) for f, _ in cases])).orderBy("id").collect()
+    assert [r.reject_reason for r in rows] == [want for _, want in cases]
+
+
 def test_text_of_content(spark):
     mixed = [{"type": "text", "text": "a"}, "b", {"type": "image"}]
     bodies = [body(messages=[user("x"), user("y")]), body(messages=[{"role": "user"}]),
@@ -68,7 +78,7 @@ def test_responses(spark):
     bodies = [json.dumps({"id": "r1", "created": 5, "model": "m", "choices": [
         {"index": 2, "message": {"role": "tool", "content": "hi"}, "finish_reason": "stop"}],
         "usage": {"prompt_tokens": 1, "completion_tokens": 2, "total_tokens": 3}}),
-        json.dumps({"choices": [{}]}), "{}"]
+        json.dumps({"choices": [{}]}), "{}", "{bad", "[]", None]
     df = spark.createDataFrame(list(enumerate(bodies)), "request_id int, body string")
     out = responses.normalize_responses(df)
     rows = out.orderBy("request_id").collect()
@@ -78,10 +88,14 @@ def test_responses(spark):
     assert rows[1].choices[0].asDict(True) == {
         "index": 0, "message": {"role": "assistant", "content": ""}, "finish_reason": None}
     assert rows[2].choices == [] and rows[2].usage.total_tokens == 0
+    assert [(r.status, r.error) for r in rows] == [(200, None)] * 3 + [(500, "Internal error")] * 3
+    assert rows[3].id is None and rows[4].choices is None and rows[5].usage is None
+    out = out.where("status = 200")
     scans = spark.createDataFrame([(0, 2)], "request_id int, total_issues long")
     enriched = responses.enrich_responses(out, scans).orderBy("request_id").collect()
     assert enriched[0].stream_prefix == "[Security: 2 issues detected, request allowed] "
     assert [r.security_scan.issues_detected for r in enriched] == [2, 0, 0]
+    assert enriched[0].security_scan.scan_summary.total_issues == 2
 
 
 def test_stream_lines(spark):

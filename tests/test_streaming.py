@@ -35,9 +35,28 @@ def test_stream_scan_equals_batch(spark):
 
 @pytest.mark.parametrize("build", [
     lambda e: monitor.metrics(e, "1 hour"), lambda e: monitor.metrics(e, "1 hour", "30 minutes"),
-    monitor.sessions, monitor.live_stats])
+    monitor.sessions])
 def test_stream_equals_batch(spark, build):
-    assert rows(monitor.drain(build(stream(spark)), "s", "complete")) == rows(build(events(spark)))
+    assert rows(monitor.drain_windows(stream(spark), "s", build)) == rows(build(events(spark)))
+
+
+def test_live_stats_equal_batch(spark):
+    want = rows(monitor.live_stats(events(spark)))
+    assert rows(monitor.drain(monitor.live_stats(stream(spark)), "s", "complete")) == want
+
+
+def test_windows_over_batches_of_a_folder(spark, tmp_path):
+    """Four batches in the order of time; a row far behind the watermark is late and left out."""
+    for day in range(4):
+        df = spark.createDataFrame([(day, h, u) for h in range(0, 24, 3) for u in (1, 2)], "d int, h int, user_id long")
+        df.select(F.timestamp_seconds(F.col("d") * 86400 + F.col("h") * 3600).cast("timestamp_ntz").alias("ts"),
+                  "user_id").coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    late = spark.sql("SELECT TIMESTAMP_NTZ'1970-01-01 00:00:05' AS ts, 9L AS user_id")
+    late.coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    path = str(tmp_path / "events.parquet")
+    source = spark.readStream.schema("ts timestamp_ntz, user_id long").option("maxFilesPerTrigger", 1).parquet(path)
+    got = monitor.drain_windows(source, "folder", monitor.sessions)
+    assert got.where("user_id IN (1, 2)").count() == 64 and got.where("user_id = 9").count() == 0
 
 
 @pytest.mark.parametrize("seconds", [60, 3600, 7200, 86400])

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from textwarden.functions.checks import (any_word_sql, chunks_sql, cut_sql, severity_sql, strip_sql,
                                          window_sql)
 from textwarden.functions.spans import quote
+from textwarden.operators.policy import decide_names
 from textwarden.operators.resolve import resolve_table
 from textwarden.operators.scan import (CONTEXT_MARGIN, FINDING, FROM_ENTITIES, explode_findings,
-                                       finding_sql, profile_of, scan)
+                                       finding_sql, profile_of, rule_names, scan)
 from textwarden.rules import (DEVELOPMENT_ENTITIES, DEVELOPMENT_KEYWORDS, DEVELOPMENT_SUFFIXES,
-                              NOT_A_PERSON, PATH_MARKS, Profile)
+                              ENTITY_TYPES_APP, NOT_A_PERSON, PATH_MARKS, Profile)
 
 MIN_PERSON_SCORE = 0.7
 
@@ -77,6 +78,21 @@ def entity_labels(entities: DataFrame, types, prefix: str = "") -> DataFrame:
         .alias("label"))
 
 
+def app_decisions(entities: DataFrame, texts: DataFrame, pii_on: bool = True, secrets_on: bool = True,
+                  blocking_on: bool = True, key: str = "doc_id") -> DataFrame:
+    """Decision rows whose issues are entity labels, then names of secrets. A
+    detector that is off is not part of the plan."""
+    none = F.array().cast("array<string>")
+    rows = rule_names(texts, "minimal", key) if secrets_on else texts.select(key, none.alias("names"))
+    issues = F.transform("names", lambda n: F.concat(F.lit("Secret detected: "), n))
+    if pii_on:
+        labels = entity_labels(entities, ENTITY_TYPES_APP, "PII detected: ").groupBy(key).agg(
+            F.sort_array(F.collect_list(F.struct("start_pos", "end_pos", "label"))).alias("labels"))
+        rows = rows.join(labels, key, "left")
+        issues = F.concat(F.coalesce("labels.label", none), issues)
+    return decide_names(rows.select(key, issues.alias("names")), "cloud", blocking_on)
+
+
 def merged_findings(entities: DataFrame, texts: DataFrame, profile: str | Profile = "presidio",
                     key: str = "doc_id") -> DataFrame:
     """Entity and rule findings together, overlaps resolved. On equal starts the

@@ -174,6 +174,12 @@ def scan(texts: DataFrame, profile: str | Profile, with_context: bool = False,
         "findings", F.expr(f"cast({found} AS {FINDINGS})")))
 
 
+def at_least(scanned: DataFrame, confidence: float) -> DataFrame:
+    """Keep the findings of this confidence or more."""
+    return scanned.withColumn(
+        "findings", F.filter("findings", lambda f: f["confidence"] >= confidence))
+
+
 def explode_findings(scanned: DataFrame, *keys: str) -> DataFrame:
     """One row per finding. The outer form keeps the optimizer from evaluating
     the scan a second time for a non-empty check."""

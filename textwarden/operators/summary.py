@@ -69,6 +69,14 @@ def scan_counters(summary: DataFrame, with_entities: bool = False) -> DataFrame:
         F.count_if("should_block").alias("blocked_requests"))
 
 
+def block_rate(decisions: DataFrame, *by: str) -> DataFrame:
+    """Requests, blocked ones, and their share in percent."""
+    blocked = F.count_if("blocked")
+    return decisions.groupBy(*by).agg(
+        F.count("*").alias("requests"), blocked.alias("blocked"),
+        F.round(blocked * 100.0 / F.count("*"), 4).alias("block_rate_pct"))
+
+
 def token_usage(texts: DataFrame, profile: str | Profile, *keys: str) -> DataFrame:
     """Prompt tokens (white-space separated), the profile's fixed completion
     tokens, and their sum."""

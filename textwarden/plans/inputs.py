@@ -132,14 +132,14 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
             '"stream": true, "messages": [', {message}, ', ', {message}, ']}}')
         ELSE concat('{{"messages": [', {message}, ']}}') END"""
     return chats(spark, sf_dir).select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"),
+        F.concat_ws(":", "conv_id", "turn").alias("request_id"),
         F.expr(f"pmod(conv_id + turn, {REQUEST_KINDS})").alias("kind"), "role", "text"
     ).select("request_id", "kind", "text", F.expr(body).alias("body"))
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(request_id, kind, body)``: a stored response per assistant message,
-    some of them without id, usage, message or choices."""
+    some of them without id, usage, message or choices, some broken."""
     content = "to_json(struct('assistant' AS role, text AS content))"
     body = f"""CASE kind
         WHEN 0 THEN concat('{{"id": "r', conv_id, '", "object": "chat.completion", "created": 17, ',
@@ -147,11 +147,13 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
             ', "finish_reason": "stop"}}], "usage": {{"prompt_tokens": 3, "completion_tokens": 4, ',
             '"total_tokens": 7}}}}')
         WHEN 1 THEN concat('{{"choices": [{{"message": ', {content}, '}}]}}')
-        WHEN 2 THEN '{{"choices": [{{"finish_reason": "length"}}], "usage": {{"prompt_tokens": 9}}}}'
-        ELSE '{{}}' END"""
+        WHEN 2 THEN concat('{{"choices": [{{"finish_reason": "length", "draft": ', {content},
+            '}}], "usage": {{"prompt_tokens": 9}}}}')
+        WHEN 3 THEN concat('{{"draft": ', {content}, '}}')
+        ELSE concat('{{"choices": [{{"message": ', {content}) END"""
     return chats(spark, sf_dir).where("role = 'assistant'").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), "conv_id", "text",
-        F.expr("pmod(conv_id + turn, 4)").alias("kind")
+        F.concat_ws(":", "conv_id", "turn").alias("request_id"), "conv_id", "text",
+        F.expr("pmod(conv_id + turn, 5)").alias("kind")
     ).select("request_id", "kind", F.expr(body).alias("body"))
 
 

@@ -166,14 +166,14 @@ FROM t LEFT JOIN {source} AS z ON z.id = t.id GROUP BY t.id"""
 
 # ---- derived inputs -----------------------------------------------------------------------
 
-REQUESTS = (f"{CHATS}, rq AS (SELECT conv_id * 1000 + turn AS request_id, "
+REQUESTS = (f"{CHATS}, rq AS (SELECT conv_id || ':' || turn AS request_id, "
             f"(((conv_id + turn) % {REQUEST_KINDS}) + {REQUEST_KINDS}) % {REQUEST_KINDS} AS kind, "
             f"text FROM c)")
 FLATTENED = ("CASE kind WHEN 1 THEN '' WHEN 2 THEN ' ' || text || ' ' WHEN 3 THEN 'None ' || text || ' ' "
              "WHEN 4 THEN text || ' tail ' WHEN 5 THEN '5 ' || text || ' ' WHEN 7 THEN text || ' ' || text || ' ' "
              "ELSE text || ' ' END")
-RESPONSES = (f"{CHATS}, rs AS (SELECT conv_id * 1000 + turn AS request_id, conv_id, "
-             f"(((conv_id + turn) % 4) + 4) % 4 AS kind, text FROM c WHERE role = 'assistant')")
+RESPONSES = (f"{CHATS}, rs AS (SELECT conv_id || ':' || turn AS request_id, conv_id, "
+             f"(((conv_id + turn) % 5) + 5) % 5 AS kind, text FROM c WHERE role = 'assistant')")
 ENTITIES = span_rows([(i, kind, "", 0, "", type("P", (), {"regex": regex, "ignore_case": False}))
                       for i, (kind, regex, _) in enumerate(ENTITY_FEED)]) + (
     ",\ne AS (SELECT id, text, type AS entity_type, (50 + st % 10 * 5) / 100.0::DOUBLE AS score, "
@@ -255,7 +255,7 @@ ORACLES = {
         (CASE WHEN kind = 0 THEN 400 WHEN kind IN (3, 4, 5) THEN 500 ELSE 200 END)::INT AS status,
         CASE WHEN kind = 0 THEN {_INVALID} WHEN kind IN (3, 4, 5) THEN 'Internal error' END AS error,
         CASE WHEN kind NOT IN (0, 3, 4, 5) THEN length({FLATTENED}) END::BIGINT AS n_chars FROM rq""",
-    "normalize_responses": f"""WITH {RESPONSES} SELECT request_id,
+    "normalize_responses": f"""WITH {RESPONSES} SELECT request_id, 200::INT AS status, NULL::VARCHAR AS error,
         CASE WHEN kind = 0 THEN 'r' || conv_id ELSE 'resp-' || request_id END AS id,
         'chat.completion' AS object, (CASE WHEN kind = 0 THEN 17 ELSE 0 END)::BIGINT AS created,
         CASE WHEN kind = 0 THEN 'm1' ELSE 'deepseek-chat' END AS model,
@@ -266,7 +266,9 @@ ORACLES = {
         CASE kind WHEN 0 THEN 'stop' WHEN 2 THEN 'length' END AS finish_reason,
         (CASE kind WHEN 0 THEN 3 WHEN 2 THEN 9 ELSE 0 END)::INT AS prompt_tokens,
         (CASE kind WHEN 0 THEN 4 ELSE 0 END)::INT AS completion_tokens,
-        (CASE kind WHEN 0 THEN 7 ELSE 0 END)::INT AS total_tokens FROM rs""",
+        (CASE kind WHEN 0 THEN 7 ELSE 0 END)::INT AS total_tokens FROM rs WHERE kind <> 4
+        UNION ALL SELECT request_id, 500, 'Internal error', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL,
+          NULL, NULL, NULL, NULL FROM rs WHERE kind = 4""",
     "sse_lines": f"""WITH {CHATS},
         l AS (SELECT conv_id AS stream_id, turn * 3 + pos AS seq, CASE pos
             WHEN 0 THEN 'data: ' || replace(text, chr(10), ' ')
@@ -279,17 +281,18 @@ ORACLES = {
         SELECT stream_id, seq::BIGINT AS seq, line FROM z
         WHERE starts_with(line, 'data: ') AND (done IS NULL OR seq <= done)""",
     "enrich_responses": f"""WITH RECURSIVE {REQUESTS.replace('rq AS', 'rq0 AS')},
-        rs AS (SELECT conv_id * 1000 + turn AS request_id, conv_id,
-          (((conv_id + turn) % 4) + 4) % 4 AS kind FROM c WHERE role = 'assistant'),
+        rs AS (SELECT conv_id || ':' || turn AS request_id, conv_id,
+          (((conv_id + turn) % 5) + 5) % 5 AS kind FROM c WHERE role = 'assistant'),
         t AS (SELECT request_id AS id, {FLATTENED} AS text FROM rq0 WHERE kind <> 0),
         {findings("presidio")}, {RESOLVE},
-        n AS (SELECT id, count(*) AS n FROM r GROUP BY id)
+        n AS (SELECT t.id, count(r.id) AS n, coalesce(string_agg(DISTINCT r.type, ',' ORDER BY r.type), '') AS types
+          FROM t LEFT JOIN r ON r.id = t.id GROUP BY t.id)
         SELECT request_id,
           CASE WHEN kind = 0 THEN 'r' || conv_id ELSE 'resp-' || request_id END AS id,
           coalesce(n.n, 0)::BIGINT AS issues_detected, 'low' AS risk_level,
-          '3.0.0-presidio' AS gateway_version,
+          '3.0.0-presidio' AS gateway_version, n.types AS issue_types,
           '[Security: ' || coalesce(n.n, 0) || ' issues detected, request allowed] ' AS stream_prefix
-        FROM rs LEFT JOIN n ON n.id = rs.request_id""",
+        FROM rs LEFT JOIN n ON n.id = rs.request_id WHERE kind <> 4""",
     "request_log": f"""{resolved("enhanced", joined())}
         SELECT t.id AS conv_id, any_value(n_messages) AS n_messages,
           length(any_value(text)) AS content_length, count(type) AS issue_count,
@@ -315,6 +318,9 @@ ORACLES = {
     "custom_rule_scan": spans_query("advanced", PROFILES["advanced"].with_rules(CUSTOM_RULES)),
     "cards_luhn": f"""WITH {TEXTS}, {span_rows([(0, "c", "", 0, "", PATTERNS["card_grouped"])])}
         SELECT id AS doc_id, st AS start_pos, en AS end_pos, hit, {LUHN} AS valid FROM s""",
+    "udf_validator": f"""WITH {TEXTS}, {span_rows([(0, "p", "", 0, "", PATTERNS["phone"])])}
+        SELECT id AS doc_id, st AS start_pos, en AS end_pos, hit,
+          left(right(regexp_replace(hit, '[^0-9]', '', 'g'), 10), 1) NOT IN ('0', '1') AS valid FROM s""",
     "email_shape": f"""WITH {TEXTS}, {span_rows([(0, "e", "", 0, "", type(
         "P", (), {"regex": "[^ \n]*@[^ \n]*", "ignore_case": True}))])}
         SELECT id AS doc_id, st AS start_pos, en AS end_pos, hit,
@@ -350,6 +356,20 @@ ORACLES = {
         en AS end_pos, 'PII detected: ' || entity_type || ' (confidence: '
           || format('{{:.2f}}', score) || ')' AS label
         FROM e WHERE entity_type IN {in_list(ENTITY_TYPES_APP)}""",
+    "app_decisions": f"""WITH {TEXTS}, {ENTITIES},
+        l AS (SELECT id, list('PII detected: ' || entity_type || ' (confidence: ' || format('{{:.2f}}', score)
+          || ')' ORDER BY st, en, entity_type) AS labels
+          FROM e WHERE entity_type IN {in_list(ENTITY_TYPES_APP)} GROUP BY id),
+        n AS (SELECT id, {presence("minimal")} AS names FROM t),
+        i AS (SELECT n.id, list_concat(coalesce(labels, []), ['Secret detected: ' || x FOR x IN names])
+          AS issues FROM n LEFT JOIN l ON l.id = n.id)
+        SELECT id AS doc_id, (CASE WHEN len(issues) > 0 THEN 400 ELSE 200 END)::INT AS status,
+          len(issues) > 0 AS blocked, CASE WHEN len(issues) > 0 THEN {_BLOCKED} END AS error,
+          array_to_string(issues, ',') AS issues FROM i""",
+    "block_rate": f"""WITH t AS (SELECT lang, text FROM documents),
+        n AS (SELECT lang, len({presence("minimal")}) > 0 AS blocked FROM t)
+        SELECT lang, count(*) AS requests, count(*) FILTER (blocked) AS blocked,
+          round(count(*) FILTER (blocked) * 100.0 / count(*), 4) AS block_rate_pct FROM n GROUP BY lang""",
     "toggle_matrix": f"""WITH {TEXTS}, {ENTITIES},
         n AS (SELECT id, len({presence("minimal")}) AS secrets, (SELECT count(*) FROM e
           WHERE e.id = t.id AND entity_type IN {in_list(ENTITY_TYPES_APP)}) AS pii FROM t),
@@ -420,6 +440,8 @@ ORACLES = {
     "stream_metrics": per_window(60),
     "stream_alerts": f"WITH {SLIDING}",
     "stream_sessions": f"WITH {SESSIONS}",
+    "stream_rate_limit": """SELECT user_id, date_trunc('hour', ts) AS window_start, count(*) AS requests,
+        count(*) > 1 AS over_quota FROM events GROUP BY 1, 2""",
     "stream_stats": f"""SELECT event_type, count(*) AS requests, round(sum(value), 4) AS total_value
         FROM events GROUP BY 1""",
     "stream_scan": f"""{resolved("enhanced", "t AS (SELECT doc_id AS id, text FROM documents)")}

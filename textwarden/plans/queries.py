@@ -17,7 +17,7 @@ from textwarden.rules import (ENTITY_TYPES_ADVANCED, ENTITY_TYPES_APP, ENTITY_TY
                               HIGH, PATTERNS, PROFILES, Pattern, Rule)
 from textwarden.sources import audit, requests, responses
 from textwarden.sources.messages import concat_messages
-from textwarden.sources.tables import read_table
+from textwarden.sources.tables import read_table, spread
 from textwarden.streaming import monitor
 
 QUERIES = {}
@@ -93,7 +93,7 @@ def error_rows(spark, sf_dir):
 @query("normalize_responses")
 def normalize_responses(spark, sf_dir):
     return responses.normalize_responses(inputs.responses(spark, sf_dir)).select(
-        "request_id", "id", "object", "created", "model",
+        "request_id", "status", "error", "id", "object", "created", "model",
         F.size("choices").cast("long").alias("n_choices"),
         F.get("choices.index", F.lit(0)).alias("choice_index"),
         F.get("choices.message.role", F.lit(0)).alias("role"),
@@ -115,11 +115,12 @@ def enrich_responses(spark, sf_dir):
     scans = summary.summarise(resolve.resolve(scan.scan(texts, "presidio"), rank=True),
                               "presidio", "request_id")
     enriched = responses.enrich_responses(
-        responses.normalize_responses(inputs.responses(spark, sf_dir)), scans)
+        responses.normalize_responses(inputs.responses(spark, sf_dir)).where("status = 200"), scans)
     return enriched.select(
         "request_id", "id", F.col("security_scan.issues_detected").alias("issues_detected"),
         F.col("security_scan.risk_level").alias("risk_level"),
-        F.col("security_scan.gateway_version").alias("gateway_version"), "stream_prefix")
+        F.col("security_scan.gateway_version").alias("gateway_version"),
+        F.col("security_scan.scan_summary.issue_types").alias("issue_types"), "stream_prefix")
 
 
 @query("request_log")
@@ -305,13 +306,27 @@ def toggle_matrix(spark, sf_dir):
         "doc_id", F.size("names").alias("secrets"))
     both = secrets.join(pii, "doc_id", "left").select(
         "secrets", F.coalesce("pii", F.lit(0)).alias("pii"))
-    switches = F.explode(F.array(*[
-        F.struct(F.lit(p).alias("pii_on"), F.lit(s).alias("secrets_on"))
-        for p in (True, False) for s in (True, False)]))
-    issues = (F.when(F.col("on.pii_on"), F.col("pii")).otherwise(0)
-              + F.when(F.col("on.secrets_on"), F.col("secrets")).otherwise(0))
-    return both.withColumn("on", switches).groupBy("on.pii_on", "on.secrets_on").agg(
-        F.sum(issues).alias("issues"), F.count_if(issues > 0).alias("blocked"))
+    settings = [(p, s) for p in (True, False) for s in (True, False)]
+    totals = both.agg(*[
+        F.struct(F.lit(p).alias("pii_on"), F.lit(s).alias("secrets_on"), F.sum(n).alias("issues"),
+                 F.count_if(n > 0).alias("blocked")).alias(f"{p}_{s}")
+        for p, s in settings for n in [F.col("pii") * int(p) + F.col("secrets") * int(s)]])
+    return totals.select(F.explode(F.array(*[f"{p}_{s}" for p, s in settings])).alias("x")).select("x.*")
+
+
+@query("app_decisions")
+def app_decisions(spark, sf_dir):
+    """Decision rows of both detectors, entity labels first."""
+    texts = inputs.texts(spark, sf_dir)
+    return ent.app_decisions(inputs.entities(texts), texts).withColumn(
+        "issues", F.array_join("issues", ","))
+
+
+@query("block_rate")
+def block_rate(spark, sf_dir):
+    texts = spread(read_table(spark, sf_dir, "documents", "lang", "text"))
+    return summary.block_rate(
+        policy.decide_names(scan.rule_names(texts, "minimal", "lang"), "minimal"), "lang")
 
 
 @query("merged_findings")
@@ -494,21 +509,28 @@ def _event_stream(spark, sf_dir) -> DataFrame:
 
 @query("stream_metrics")
 def stream_metrics(spark, sf_dir):
-    return monitor.drain(monitor.metrics(_event_stream(spark, sf_dir), "1 hour"),
-                         "stream-metrics", "complete")
+    return monitor.drain_windows(_event_stream(spark, sf_dir), "stream-metrics",
+                                 lambda e: monitor.metrics(e, "1 hour"))
 
 
 @query("stream_alerts")
 def stream_alerts(spark, sf_dir):
-    windows = monitor.metrics(_event_stream(spark, sf_dir), "1 hour", "30 minutes")
-    return monitor.drain(monitor.alerts(windows, 25.0), "stream-alerts", "complete").select(
+    def windows(events: DataFrame) -> DataFrame:
+        return monitor.alerts(monitor.metrics(events, "1 hour", "30 minutes"), 25.0)
+
+    return monitor.drain_windows(_event_stream(spark, sf_dir), "stream-alerts", windows).select(
         "window_start", "requests", "errors", "alert")
 
 
 @query("stream_sessions")
 def stream_sessions(spark, sf_dir):
-    return monitor.drain(monitor.sessions(_event_stream(spark, sf_dir)),
-                         "stream-sessions", "complete")
+    return monitor.drain_windows(_event_stream(spark, sf_dir), "stream-sessions", monitor.sessions)
+
+
+@query("stream_rate_limit")
+def stream_rate_limit(spark, sf_dir):
+    return monitor.drain_windows(_event_stream(spark, sf_dir), "stream-rates",
+                                 lambda e: monitor.rate_limit_stream(e, quota=1, seconds=3600))
 
 
 @query("stream_stats")

@@ -58,8 +58,22 @@ def with_defaults(parsed: DataFrame) -> DataFrame:
         F.expr("coalesce(try_variant_get(request, '$.stream', 'boolean'), false)").alias("stream"))
 
 
+def _wrong_type(field: str, kind: str) -> Column:
+    """Whether a field holds what the strict schema cannot take as ``kind``. Text
+    that spells a number or a truth value is taken, and so is null (not for text)."""
+    found = f"schema_of_variant(try_variant_get(request, '$.{field}', 'variant'))"
+    text = f"try_variant_get(request, '$.{field}', 'string')"
+    number, simple = f"try_cast({text} AS double)", f"{found} IN ('VOID', 'BOOLEAN')"
+    good = {"text": f"{found} = 'STRING'",
+            "number": f"({simple} OR {number} IS NOT NULL)",
+            "integer": f"({simple} OR {number} = floor({number}))",
+            "truth": f"({simple} OR lower({text}) IN "
+                     "('1', '0', 'true', 'false', 't', 'f', 'yes', 'no', 'y', 'n', 'on', 'off'))"}[kind]
+    return F.expr(f"{found} IS NOT NULL AND NOT coalesce({good}, false)")
+
+
 def validate(parsed: DataFrame) -> DataFrame:
-    """The strict schema: ``reject_reason`` lists every violated constraint."""
+    """The strict schema: ``reject_reason`` lists every field that violates it."""
     def outside(column, limits):
         return ~F.col(column).between(*limits)
 
@@ -73,9 +87,13 @@ def validate(parsed: DataFrame) -> DataFrame:
         F.when(F.col("status") != 200, F.col("error")),
         F.when((F.col("status") == 200) & no_list, "messages"),
         F.when((F.col("status") == 200) & bad_message, "message"),
-        F.when(outside("temperature", TEMPERATURE_RANGE), "temperature"),
-        F.when(outside("max_tokens", MAX_TOKENS_RANGE), "max_tokens"),
-        F.when(outside("top_p", TOP_P_RANGE), "top_p"))))
+        F.when(_wrong_type("model", "text"), "model"),
+        F.when(_wrong_type("temperature", "number") | outside("temperature", TEMPERATURE_RANGE),
+               "temperature"),
+        F.when(_wrong_type("max_tokens", "integer") | outside("max_tokens", MAX_TOKENS_RANGE),
+               "max_tokens"),
+        F.when(_wrong_type("top_p", "number") | outside("top_p", TOP_P_RANGE), "top_p"),
+        F.when(_wrong_type("stream", "truth"), "stream"))))
 
 
 def reject_empty(parsed: DataFrame) -> DataFrame:

@@ -19,10 +19,20 @@ DATA_PREFIX, STREAM_END = "data: ", "data: [DONE]"
 def normalize_responses(responses: DataFrame, key: str = "request_id",
                         body: str = "body") -> DataFrame:
     """JSON responses to one fixed shape with defaults. An absent id is derived
-    from the key, so that a rerun gives the same rows."""
-    rows = responses.withColumn("r", F.from_json(body, RESPONSE))
+    from the key, so that a rerun gives the same rows. A body that is no JSON
+    object (or repeats a key) is an error row: ``status`` 500, nothing else."""
+    rows = responses.withColumn("r", F.from_json(body, RESPONSE)).withColumn(
+        "whole", F.coalesce(F.schema_of_variant(F.try_parse_json(body)).startswith("OBJECT"), F.lit(False)))
+    shaped = _with_defaults(rows, key)
+    return shaped.select(
+        key, F.when(F.col("whole"), 200).otherwise(500).alias("status"),
+        F.when(~F.col("whole"), "Internal error").alias("error"),
+        *[F.when(F.col("whole"), F.col(c)).alias(c) for c in shaped.columns if c not in (key, "whole")])
+
+
+def _with_defaults(rows: DataFrame, key: str) -> DataFrame:
     return rows.select(
-        key,
+        key, "whole",
         F.coalesce("r.id", F.concat(F.lit("resp-"), F.col(key).cast("string"))).alias("id"),
         F.coalesce("r.object", F.lit("chat.completion")).alias("object"),
         F.coalesce("r.created", F.lit(0)).alias("created"),
@@ -54,14 +64,16 @@ def sse_lines(lines: DataFrame, stream: str = "stream_id", seq: str = "seq",
 def enrich_responses(responses: DataFrame, scans: DataFrame, key: str = "request_id",
                      entities_active: bool = False) -> DataFrame:
     """Attach what the scan found to each response, and the line that opens a
-    streamed answer. ``scans`` has ``total_issues`` per key."""
-    joined = responses.join(scans.select(key, "total_issues"), key, "left")
+    streamed answer. ``scans`` has ``total_issues`` per key; its other columns
+    are kept in ``scan_summary``."""
+    found = F.struct(*[c for c in scans.columns if c != key]).alias("scan_summary")
+    joined = responses.join(scans.select(key, "total_issues", found), key, "left")
     issues = F.coalesce("total_issues", F.lit(0))
     return joined.withColumn("security_scan", F.struct(
         F.lit("Microsoft Presidio + Custom Patterns").alias("detection_engine"),
         F.lit(entities_active).alias("presidio_active"),
-        issues.alias("issues_detected"), F.lit("low").alias("risk_level"),
+        issues.alias("issues_detected"), F.lit("low").alias("risk_level"), "scan_summary",
         F.lit("3.0.0-presidio").alias("gateway_version"))).withColumn(
         "stream_prefix",
         F.format_string("[Security: %d issues detected, request allowed] ", issues)
-    ).drop("total_issues")
+    ).drop("total_issues", "scan_summary")

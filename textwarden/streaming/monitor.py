@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from textwarden.sources.tables import fresh_path, spread
 
 LATENESS = "1 hour"
+END = "9999-01-01 00:00:00"
 RATE_WINDOW_SECONDS = 60
 
 
@@ -133,9 +134,32 @@ def drain_batches(stream: DataFrame, label: str, work: Callable[[DataFrame], Dat
     return spark.read.parquet(f"{path}/rows").drop("batch")
 
 
+def drain_windows(events: DataFrame, label: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Run windows over all available events in append mode: a window is written
+    once, when the watermark has passed it, and its state goes then.
+
+    The input ends here, so a row of a far time, read after all others, closes
+    what is still open. Its own window is never written.
+    """
+    spark = events.sparkSession
+    path = fresh_path(spark, label)
+    ends, target = f"{path}/end", f"{path}/rows"
+    last = spark.range(1).select(*[
+        F.lit(END if f.name == "ts" else None).cast(f.dataType).alias(f.name) for f in events.schema])
+    last.limit(0).write.parquet(ends)
+    windows = build(events.unionByName(spark.readStream.schema(events.schema).parquet(ends)))
+    writer = (windows.writeStream.outputMode("append").format("parquet").option("path", target)
+              .option("checkpointLocation", f"{path}/state").trigger(availableNow=True))
+    writer.start().awaitTermination()
+    last.write.mode("append").parquet(ends)
+    writer.start().awaitTermination()
+    return spark.read.schema(windows.schema).parquet(target)
+
+
 def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
     """Run a stream over all available input and return its result table, kept
-    in the shared folder. In complete mode each batch replaces the result."""
+    in the shared folder. In complete mode the newest batch is the result; a repeated
+    batch replaces itself."""
     spark = stream.sparkSession
     path = fresh_path(spark, label)
     writer = stream.writeStream.outputMode(mode).option(
@@ -143,8 +167,11 @@ def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
     target = f"{path}/rows"
     if mode == "complete":
         writer = writer.foreachBatch(
-            lambda batch, _: batch.write.mode("overwrite").parquet(target))
+            lambda batch, n: batch.write.mode("overwrite").parquet(f"{target}/batch={n}"))
     else:
         writer = writer.format("parquet").option("path", target)
     writer.start().awaitTermination()
+    if mode == "complete":
+        rows = spark.read.parquet(target)
+        return rows.where(F.col("batch") == rows.agg(F.max("batch")).first()[0]).drop("batch")
     return spark.read.schema(stream.schema).parquet(target)
