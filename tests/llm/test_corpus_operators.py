@@ -111,6 +111,57 @@ def test_passages_find_planted_ones(spark):
     assert all((r.n_links > 0) == (d in linked) for d, r in rows.items())
 
 
+def found_passages(spark, texts):
+    return [tuple(r) for r in passages.passages(table(spark, {i: " ".join(w) for i, w in texts.items()})).collect()]
+
+
+def test_passages_link_every_two_holders(spark, monkeypatch):
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    texts, groups = {}, []
+    for size in (5, 40, 20):  # the second one is frequent, the third one too, with edits
+        passage = [rng.choice(vocabulary) for _ in range(80)]
+        group = range(len(texts), len(texts) + size)
+        for i in group:
+            own = list(passage)
+            if size == 20:
+                own[rng.randrange(10, 70)] = f"edit{i}"
+            texts[i] = [rng.choice(vocabulary) for _ in range(rng.randrange(50))] + own + [rng.choice(vocabulary) for _ in range(30)]
+        groups.append(group)
+    monkeypatch.setattr(passages, "BLOCK", 16)
+    for hot in (64, 10):
+        monkeypatch.setattr(passages, "HOT", hot)
+        links = {(a, b) for a, b, *_ in found_passages(spark, texts)}
+        assert links == {(a, b) for g in groups for a in g for b in g if a > b}
+
+
+def test_passages_at_later_places_and_short_ones(spark):
+    rng = random.Random(7)
+    word = lambda n: [f"w{rng.randrange(10 ** 6)}" for _ in range(n)]
+    passage, texts, want = word(60), {}, set()
+    texts[0] = word(20) + [w for k in range(0, 60, 10) for w in passage[k:k + 10] + word(40)] + passage + word(20)
+    texts[1] = word(10) + passage + word(30) + passage
+    for k in range(30, 44):
+        short = word(k)
+        texts[k * 2], texts[k * 2 + 1] = word(25) + short + word(25), word(11) + short
+        want.add((k * 2 + 1, k * 2, 11, 11 + k, 25, 25 + k))
+    rows = found_passages(spark, texts)
+    assert {r for r in rows if r[0] >= 60} == want
+    assert {r[2:] for r in rows if r[0] == 1} == {(10, 70, 320, 380), (100, 160, 320, 380)}
+
+
+def test_passages_compare_the_words_of_gaps(spark):
+    rng = random.Random(8)
+    word = lambda n: [f"w{rng.randrange(10 ** 6)}" for _ in range(n)]
+    runs = [word(12) for _ in range(12)]
+    form = {i: [w for r in runs for w in r + word(12)] for i in (0, 1)}  # half of the words are equal
+    passage = word(70)
+    edited = passage[:20] + ["x", "y"] + passage[22:40] + passage[41:52] + ["z"] + passage[52:]
+    rows = found_passages(spark, form | {2: passage, 3: edited})
+    assert [r for r in rows if r[0] < 2] == []
+    assert [r for r in rows if r[0] == 3] == [(3, 2, 0, len(edited), 0, 70)]
+
+
 def test_fenwick_chain_prefers_the_ascending_matches():
     pos = np.array([0, 8, 16, 24, 32, 40])
     there = np.array([100, 108, 3, 124, 132, 1])
