@@ -81,6 +81,15 @@ def test_simhash_against_all_pairs(spark):
     assert simhash.near_duplicates(table(spark, texts).limit(0)).collect() == []
 
 
+def test_representatives_of_null_and_shared_ids(spark):
+    rng = random.Random(9)
+    a, b, c, d, e = (" ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(50)) for _ in range(5))
+    rows = [(None, a), (None, a), (None, b), (1, c), (1, d), (2, d), (None, d), (3, e), (3, e), (4, e.upper())]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted(((r.doc_id, r.text) for r in simhash.representatives(df).collect()), key=str)
+    assert got == sorted([(None, a), (None, b), (1, c), (1, d), (3, e)], key=str)
+
+
 def test_chain_of_links_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "u long, v long")
     roots = {r.v: r.root for r in simhash.components(edges).collect()}

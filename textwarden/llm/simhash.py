@@ -218,7 +218,19 @@ def near_duplicates(docs: DataFrame, words: int = 4, seed: int = 42, max_bits: i
 
 
 def representatives(docs: DataFrame, words: int = 4, seed: int = 42, max_bits: int = 4) -> DataFrame:
-    """The rows of `docs` that stand for their component: one row of the smallest `doc_id`."""
-    keep = (near_duplicates(docs, words, seed, max_bits).where(F.col("doc_id") == F.col("component_id"))
-            .select("doc_id").distinct())
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One row of `docs` for each component: of the smallest `doc_id`, then of the least text hash.
+
+    Rows without an id come after all others. Rows that share an id stand for themselves: each one
+    belongs to the component of its own text, so an id can stay more than once.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    # equal texts share a fingerprint, so a text stands for its rows; the texts themselves are not shuffled
+    texts = cut_lineage(docs.groupBy(F.sha2(text, 256).alias("hash"), F.xxhash64(text).alias("doc_id")).agg(F.min(F.col("doc_id").cast("long")).alias("id")))
+    marked = (near_duplicates(docs.select(F.xxhash64(text).alias("doc_id"), text.alias("text")), words, seed, max_bits)
+              .groupBy("doc_id").agg(F.min("component_id").alias("component")))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash"))
+    keep = texts.join(marked, "doc_id").groupBy("component").agg(first.alias("kept")).select("kept.*")
+    keep = keep.select(F.col("id").alias("_id"), F.col("hash").alias("_hash"))
+    own = docs.withColumn("_own", F.sha2(text, 256)).withColumn("_key", F.col("doc_id").cast("long"))
+    return (own.join(keep, F.col("_own").eqNullSafe(F.col("_hash")) & F.col("_key").eqNullSafe(F.col("_id")), "left_semi")
+            .dropDuplicates(["_key", "_own"]).drop("_own", "_key"))
