@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textwarden.llm import bpe, chat, fingerprints, packing, passages, quality, repeats, secrets, simhash, toxicity
+from textwarden.llm import bpe, chat, collocations, fingerprints, packing, passages, quality, repeats, secrets, simhash, toxicity
 from textwarden.llm.common import table
 
 #: Production parameters.
@@ -54,6 +54,10 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.formatted_turns(table(spark, sf_dir, "conversations"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.phrases(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repeats": op1_repeats,
     "op2_toxicity": op2_toxicity,
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_secrets": op9_secrets,
     "op10_chat": op10_chat,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLES: dict[str, str] = {"op10_chat": chat.ORACLE_SQL}
