@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textwarden.llm.common import cut_lineage, flat, slices
+from textwarden.llm.common import cut_lineage, distinct, flat, slices
 
 #: What ends a piece, and what parts words (fixed values).
 BREAKS, BLANKS = b".,;:!?\x0a\x0b\x0c\x0d", b"\x20\x09"
@@ -90,13 +90,8 @@ class Words:
         if not len(self.start):
             self.id, self.hash = np.zeros(0, np.int32), np.zeros(0, np.uint64)
             return
-        bounds = np.empty(2 * len(self.start), np.int64)  # words and the gaps between them by turns
-        bounds[::2], bounds[1::2] = self.start, self.end
-        parts = pa.LargeBinaryArray.from_buffers(
-            pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
-        coded = parts.dictionary_encode()
-        self.id = coded.indices.to_numpy()[::2]
-        letters, at = flat(coded.dictionary)
+        self.id, names = distinct(data, self.start, self.end)
+        letters, at = flat(names)
         sums, inverse = _polynomials(letters.astype(np.uint64) + np.uint64(1))
         own = _mix((sums[at[1:]] - sums[at[:-1]]) * inverse[at[:-1]])
         self.hash = own[self.id]

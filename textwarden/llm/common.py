@@ -70,6 +70,24 @@ def slices(batches: Iterable[pa.RecordBatch], size: int = SLICE_BYTES,
             at = end
 
 
+def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """A number for each range of `data` (ascending, apart), equal for equal bytes, and the bytes of each number.
+
+    What lies between two ranges is numbered too, but given to none.
+    """
+    bounds = np.empty(2 * len(starts), np.int64)
+    bounds[::2], bounds[1::2] = starts, ends
+    if len(starts) > 1 and (ends[:-1] == starts[1:]).all():
+        bounds = np.append(starts, ends[-1]).astype(np.int64)
+    parts = pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), max(len(bounds) - 1, 0), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
+    coded = parts.dictionary_encode()
+    numbers = coded.indices.to_numpy(zero_copy_only=False)
+    numbers = numbers if len(bounds) == len(starts) + 1 else numbers[::2]
+    used, numbers = np.unique(numbers, return_inverse=True)
+    return numbers, coded.dictionary.take(pa.array(used))
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """All numbers of the ranges `start .. start + length - 1`, one range after another."""
     total = int(lengths.sum())

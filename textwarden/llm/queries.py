@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from textwarden.llm import bpe, chat, collocations, fingerprints, packing, passages, quality, repeats, secrets, simhash, toxicity
+from textwarden.llm import bpe, chat, collocations, fingerprints, negatives, packing, passages, prefixes, quality, repeats, secrets, simhash, toxicity
 from textwarden.llm.common import table
 
 #: Production parameters.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +56,16 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.formatted_turns(table(spark, sf_dir, "conversations"))
 
 
+def op11_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.report(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
+
+
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(negatives.quantised(rows.withColumn("label", moved)), "vec_id % 100 = 0")
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.phrases(table(spark, sf_dir, "documents"))
 
@@ -69,7 +81,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_secrets": op9_secrets,
     "op10_chat": op10_chat,
+    "op11_prefixes": op11_prefixes,
+    "op12_negatives": op12_negatives,
     "op13_collocations": op13_collocations,
 }
 
-ORACLES: dict[str, str] = {"op10_chat": chat.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op10_chat": chat.ORACLE_SQL, "op12_negatives": negatives.ORACLE_SQL}
