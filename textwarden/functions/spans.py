@@ -75,19 +75,25 @@ _FOLDING = ("\u017f", "\u0131", "\u0130")
 class Prepared:
     """Columns computed once per text and shared by the tests of all patterns."""
 
-    LOWERED, FOLDS = "_lowered", "_folds"
-
-    def __init__(self, patterns, text: str = "text"):
+    def __init__(self, patterns, text: str = "text", taken=()):
+        """``taken`` are the columns of the texts; the new ones get other names."""
         self.text = text
+        mark = "_"
+        while any(c.lower().startswith((f"{mark}lowered", f"{mark}folds", f"{mark}probe")) for c in taken):
+            mark += "_"
+        self.LOWERED, self.FOLDS = f"{mark}lowered", f"{mark}folds"
         used = [p.probe for p in patterns if p.probe]
-        self.probes = {p: f"_probe{i}" for i, p in enumerate(
+        self.probes = {p: f"{mark}probe{i}" for i, p in enumerate(
             sorted(p for p in set(used) if used.count(p) > 1))}
 
-    def add(self, texts: DataFrame) -> DataFrame:
+    def columns(self) -> dict[str, str]:
+        """The shared columns as SQL."""
         folds = " OR ".join(f"contains({self.text}, {quote(c)})" for c in _FOLDING)
-        return texts.withColumns({
-            self.LOWERED: F.lower(self.text), self.FOLDS: F.expr(folds),
-            **{name: F.expr(self._probe(probe)) for probe, name in self.probes.items()}})
+        return {self.LOWERED: f"lower({self.text})", self.FOLDS: f"({folds})",
+                **{name: self._probe(probe) for probe, name in self.probes.items()}}
+
+    def add(self, texts: DataFrame) -> DataFrame:
+        return texts.withColumns({name: F.expr(sql) for name, sql in self.columns().items()})
 
     def _probe(self, probe: str) -> str:
         return f"rlike({self.text}, {quote(jvm_regex(probe))})"

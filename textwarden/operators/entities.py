@@ -10,9 +10,9 @@ from textwarden.functions.checks import (any_word_sql, chunks_sql, cut_sql, seve
                                          window_sql)
 from textwarden.functions.spans import quote
 from textwarden.operators.policy import decide_names
-from textwarden.operators.resolve import resolve_table
-from textwarden.operators.scan import (CONTEXT_MARGIN, FINDING, FROM_ENTITIES, explode_findings,
-                                       finding_sql, profile_of, rule_names, scan)
+from textwarden.operators.resolve import survivors
+from textwarden.operators.scan import (CONTEXT_MARGIN, FINDING, FINDINGS, FROM_ENTITIES,
+                                       explode_findings, finding_sql, profile_of, rule_names, scan)
 from textwarden.rules import (DEVELOPMENT_ENTITIES, DEVELOPMENT_KEYWORDS, DEVELOPMENT_SUFFIXES,
                               ENTITY_TYPES_APP, NOT_A_PERSON, PATH_MARKS, Profile)
 
@@ -35,6 +35,53 @@ def is_development_entity(entity: str) -> str:
             f"OR {any_word_sql(entity, PATH_MARKS)})")
 
 
+def _filtered(profile: Profile) -> bool:
+    """``presidio`` also drops likely false positives."""
+    return profile.name == "presidio"
+
+
+def _kept_types(entities: DataFrame, profile: Profile) -> DataFrame:
+    chosen = select_types(entities, profile.entity_types)
+    if _filtered(profile):
+        chosen = chosen.where((F.col("entity_type") != "PERSON") | (F.col("score") >= MIN_PERSON_SCORE))
+    return chosen
+
+
+def _entity_text_sql(chunks: str, start: str, end: str) -> str:
+    return strip_sql(f"lower({cut_sql(chunks, start, f'({end} - {start})')})")
+
+
+def _real_sql(kind: str, entity: str, dev: str) -> str:
+    """Whether an entity is no likely false positive (SQL)."""
+    not_person = ", ".join(quote(w) for w in NOT_A_PERSON)
+    return (f"(length({entity}) > 1 AND NOT ({kind} = 'PERSON' AND {entity} IN ({not_person})) "
+            f"AND NOT ({dev} AND {is_development_entity(entity)}))")
+
+
+def _entity_finding_sql(entity: str, chunks: str, entity_text: str) -> str:
+    """The finding of an entity; ``entity`` is a prefix of its fields (SQL)."""
+    return finding_sql(
+        source=str(FROM_ENTITIES), rule_ord="0", type=f"lower({entity}entity_type)",
+        description=f"concat('Presidio detected ', {entity}entity_type)", confidence=f"{entity}score",
+        start_pos=f"{entity}start_pos", end_pos=f"{entity}end_pos", severity=severity_sql(f"{entity}score"),
+        context=window_sql(chunks, f"{entity}start_pos", f"{entity}end_pos", CONTEXT_MARGIN),
+        detector="'presidio'", entity_text=entity_text)
+
+
+def _external_sql(profile: Profile, text: str = "text", entities: str = "_entities") -> str:
+    """Findings of the entities packed in a text's row, in text order (SQL)."""
+    entity_text, kept = "''", "true"
+    if _filtered(profile):
+        entity_text = _entity_text_sql("t.chunks", "e.start_pos", "e.end_pos")
+        kept = _real_sql("x.e.entity_type", "x.entity_text", "t.dev")
+    dev = is_development_text(text) if _filtered(profile) else "false"
+    rows = (f"filter(transform(array_sort({entities}), e -> struct(e AS e, {entity_text} AS entity_text)), "
+            f"x -> {kept})")
+    found = f"transform({rows}, x -> {_entity_finding_sql('x.e.', 't.chunks', 'x.entity_text')})"
+    return (f"CASE WHEN {entities} IS NULL THEN cast(array() AS {FINDINGS}) ELSE cast(flatten(transform("
+            f"array(struct({chunks_sql(text)} AS chunks, {dev} AS dev)), t -> {found})) AS {FINDINGS}) END")
+
+
 def entity_findings(entities: DataFrame, texts: DataFrame, profile: str | Profile = "presidio",
                     key: str = "doc_id") -> DataFrame:
     """Entity rows as findings. ``presidio`` also drops likely false positives.
@@ -43,29 +90,15 @@ def entity_findings(entities: DataFrame, texts: DataFrame, profile: str | Profil
     text before it, and the text itself does not leave the join.
     """
     profile = profile_of(profile)
-    filtered = profile.name == "presidio"
-    chosen = select_types(entities, profile.entity_types)
-    if filtered:
-        chosen = chosen.where((F.col("entity_type") != "PERSON")
-                              | (F.col("score") >= MIN_PERSON_SCORE))
     sides = texts.select(key, F.expr(chunks_sql("text")).alias("chunks"), *(
-        [F.expr(is_development_text("text")).alias("dev")] if filtered else []))
-    rows = chosen.join(sides, key)
-    if filtered:
-        entity = strip_sql(f"lower({cut_sql('chunks', 'start_pos', '(end_pos - start_pos)')})")
-        not_person = ", ".join(quote(w) for w in NOT_A_PERSON)
-        rows = rows.withColumn("entity_text", F.expr(entity)).where(F.expr(
-            f"length(entity_text) > 1 AND NOT (entity_type = 'PERSON' "
-            f"AND entity_text IN ({not_person})) "
-            f"AND NOT (dev AND {is_development_entity('entity_text')})"))
+        [F.expr(is_development_text("text")).alias("dev")] if _filtered(profile) else []))
+    rows = _kept_types(entities, profile).join(sides, key)
+    if _filtered(profile):
+        rows = rows.withColumn("entity_text", F.expr(_entity_text_sql("chunks", "start_pos", "end_pos"))).where(
+            F.expr(_real_sql("entity_type", "entity_text", "dev")))
     else:
         rows = rows.withColumn("entity_text", F.lit(""))
-    found = finding_sql(
-        source=str(FROM_ENTITIES), rule_ord="0", type="lower(entity_type)",
-        description="concat('Presidio detected ', entity_type)", confidence="score",
-        start_pos="start_pos", end_pos="end_pos", severity=severity_sql("score"),
-        context=window_sql("chunks", "start_pos", "end_pos", CONTEXT_MARGIN),
-        detector="'presidio'", entity_text="entity_text")
+    found = _entity_finding_sql("", "chunks", "entity_text")
     return rows.select(key, F.expr(f"cast({found} AS {FINDING})").alias("f")).select(key, "f.*")
 
 
@@ -93,10 +126,24 @@ def app_decisions(entities: DataFrame, texts: DataFrame, pii_on: bool = True, se
     return decide_names(rows.select(key, issues.alias("names")), "cloud", blocking_on)
 
 
+def merged(entities: DataFrame, texts: DataFrame, profile: str | Profile = "presidio",
+           key: str = "doc_id") -> DataFrame:
+    """Texts with ``findings`` of entities and rules together, overlaps resolved. On equal
+    starts the order is external entities, then rules.
+
+    The entities of a text are packed into one row, equal ones once, and meet it in one join; the
+    text is scanned after it, and everything else happens in its row: one shuffle of the entities,
+    one of the texts, nothing stored. The fold over a long list works in blocks.
+    """
+    profile = profile_of(profile)
+    packed = _kept_types(entities, profile).groupBy(key).agg(F.collect_set(F.struct(
+        "start_pos", "end_pos", F.lower("entity_type").alias("type"), "entity_type", "score")).alias("_entities"))
+    found = scan(texts.join(packed, key, "left"), profile)
+    both = f"concat({_external_sql(profile)}, findings)"
+    return found.withColumn("findings", F.expr(survivors(both))).drop("_entities")
+
+
 def merged_findings(entities: DataFrame, texts: DataFrame, profile: str | Profile = "presidio",
                     key: str = "doc_id") -> DataFrame:
-    """Entity and rule findings together, overlaps resolved. On equal starts the
-    order is external entities, then rules."""
-    external = entity_findings(entities, texts, profile, key)
-    own = explode_findings(scan(texts.select(key, "text"), profile), key)
-    return resolve_table(external.unionByName(own), key)
+    """``merged``, one row per finding."""
+    return explode_findings(merged(entities, texts.select(key, "text"), profile, key), key)

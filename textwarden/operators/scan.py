@@ -6,7 +6,7 @@ projection: no shuffle, no Python, one row in and one row out.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textwarden.functions.checks import (VALIDATORS, any_word_sql, chunks_sql, severity_sql,
@@ -37,15 +37,15 @@ def finding_sql(**values: str) -> str:
     return "struct(" + ", ".join(f"{values[n]} AS {n}" for n in names) + ")"
 
 
-def _prepared(profile: Profile, text: str) -> Prepared:
-    return Prepared([r.pattern for r in profile.rules], text)
+def _prepared(profile: Profile, text: str, texts: DataFrame) -> Prepared:
+    return Prepared([r.pattern for r in profile.rules], text, texts.columns)
 
 
 def rule_names(texts: DataFrame, profile: str | Profile, *keys: str,
                text: str = "text") -> DataFrame:
     """``names`` per text: the rules that occur, in catalogue order."""
     profile = profile_of(profile)
-    prepared = _prepared(profile, text)
+    prepared = _prepared(profile, text, texts)
     present = F.expr("array_compact(array(" + ", ".join(
         f"CASE WHEN {matches_sql(text, r.pattern, prepared)} THEN {quote(r.name)} END"
         for r in profile.rules) + "))")
@@ -56,7 +56,7 @@ def flag_texts(texts: DataFrame, profile: str | Profile, *keys: str,
                text: str = "text") -> DataFrame:
     """``blocked`` per text: whether any rule occurs; stops at the first one."""
     profile = profile_of(profile)
-    prepared = _prepared(profile, text)
+    prepared = _prepared(profile, text, texts)
     anything = F.expr("(" + " OR ".join(
         matches_sql(text, r.pattern, prepared) for r in profile.rules) + ")")
     return prepared.add(texts).select(*keys, anything.alias("blocked"))
@@ -166,7 +166,7 @@ def scan(texts: DataFrame, profile: str | Profile, with_context: bool = False,
          text: str = "text") -> DataFrame:
     """Add ``findings``: every match of every rule, in rule order then position."""
     profile = profile_of(profile)
-    prepared = _prepared(profile, text)
+    prepared = _prepared(profile, text, texts)
     found = rule_findings_sql(profile, prepared, text)
     if with_context:
         found = f"concat({found}, {exfiltration_sql(text)})"
@@ -195,3 +195,24 @@ def split_texts(scanned: DataFrame, clean: bool, *columns) -> DataFrame:
     """
     first = scanned.select(*columns, F.posexplode_outer("findings.type").alias("_pos", "_type"))
     return first.where(F.col("_pos").isNull() if clean else F.col("_pos") == 0).drop("_pos", "_type")
+
+
+def register_scan(spark: SparkSession, profile: str | Profile, name: str, with_context: bool = False) -> None:
+    """Two SQL functions made of the same expressions as ``scan``. ``name(text)`` gives the array of
+    findings and becomes part of the projection: ``SELECT id, name(text) AS found FROM t``, then explode.
+    ``name_rows(text)`` is a table function, for ``FROM t, LATERAL name_rows(t.text) f``; Spark runs a
+    lateral query once for each different text and joins on it, so large tables take the first form."""
+    profile = profile_of(profile)
+    prepared = Prepared([r.pattern for r in profile.rules], "given")
+    shared = {"text": "given", **prepared.columns()}
+    prepared.text, prepared.LOWERED, prepared.FOLDS = "row.text", f"row.{prepared.LOWERED}", f"row.{prepared.FOLDS}"
+    prepared.probes = {probe: f"row.{column}" for probe, column in prepared.probes.items()}
+    found = rule_findings_sql(profile, prepared, "row.text")
+    if with_context:
+        found = f"concat({found}, {exfiltration_sql('row.text')})"
+    bound = ", ".join(f"{sql} AS {column}" for column, sql in shared.items())  # computed once for all rules
+    fields = ", ".join(f.replace(":", " ") for f in FINDING[len("struct<"):-1].split(","))
+    spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION {name}(given STRING) RETURNS {FINDINGS}
+        RETURN get(transform(array(struct({bound})), row -> cast({found} AS {FINDINGS})), 0)""")
+    spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION {name}_rows(given STRING) RETURNS TABLE ({fields})
+        RETURN SELECT inline(found) FROM (SELECT {name}(given) AS found)""")

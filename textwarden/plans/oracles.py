@@ -302,6 +302,12 @@ ORACLES = {
         FROM t LEFT JOIN r ON r.id = t.id GROUP BY t.id""",
     "audit_records": """SELECT strftime(ts, '%Y-%m-%d') AS date,
         strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS timestamp, event_id, event_type FROM events""",
+    "audit_trail": """SELECT CASE event_id % 2 WHEN 0 THEN 'even' ELSE 'odd' END AS batch, strftime(ts, '%Y-%m-%d') AS date,
+        strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS timestamp, event_id FROM events""",
+    "request_lines": f"""WITH {REQUESTS} SELECT request_id, CASE WHEN kind = 7 THEN 'm1' END AS model,
+          (CASE kind WHEN 1 THEN 0 WHEN 2 THEN 2 WHEN 3 THEN 2 WHEN 5 THEN 2 WHEN 7 THEN 2 ELSE 1 END)::BIGINT AS n
+        FROM rq WHERE kind <> 0
+        UNION ALL SELECT 'set aside', NULL, count(*) FROM rq WHERE kind = 0""",
     "rule_catalogue": f"WITH {TEXTS}, " + "n AS (" + " UNION ALL ".join(
         f"SELECT {q(k)} AS pattern, count(*) FILTER ({search(p)}) AS n_texts FROM t"
         for k, p in PATTERNS.items()) + "), r(profile, rule_ord, rule, pattern, confidence, severity) "
@@ -433,6 +439,10 @@ ORACLES = {
         SELECT day::VARCHAR AS day, round(total / n, 2) AS avg_ms,
           round(sum(total) OVER w / sum(n) OVER w, 2) AS running_avg_ms FROM d
         WINDOW w AS (ORDER BY day ROWS UNBOUNDED PRECEDING)""",
+    "running_scan_time": """WITH w AS (SELECT event_id, count(value) OVER o AS n,
+          sum(value::DECIMAL(18,4)) OVER o AS total FROM events
+          WINDOW o AS (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
+        SELECT event_id, n, total::DOUBLE / n AS running_mean FROM w""",
     "usage_cost": f"""SELECT user_id, event_type, count(*) AS requests,
         round(sum(value), 4) AS tokens, round(round(sum(value), 4) * 0.002 / 1000, 8) AS cost
         FROM events GROUP BY ROLLUP (user_id, event_type)""",
@@ -442,6 +452,13 @@ ORACLES = {
     "stream_sessions": f"WITH {SESSIONS}",
     "stream_rate_limit": """SELECT user_id, date_trunc('hour', ts) AS window_start, count(*) AS requests,
         count(*) > 1 AS over_quota FROM events GROUP BY 1, 2""",
+    "stream_late_events": """WITH passed AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM events WHERE event_id % 50 <> 0),
+        e AS (SELECT *, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end,
+          event_id % 50 = 0 AND window_end <= mark AS late FROM events, passed)
+        SELECT window_end, count(*) FILTER (NOT late) AS on_time, count(*) FILTER (late) AS late,
+          count(*) AS requests, count(*) FILTER (event_type = 'error') AS errors,
+          round(errors * 100.0 / requests, 4) AS error_rate_pct, round(avg(value), 4) AS avg_response
+        FROM e GROUP BY window_end""",
     "stream_stats": f"""SELECT event_type, count(*) AS requests, round(sum(value), 4) AS total_value
         FROM events GROUP BY 1""",
     "stream_scan": f"""{resolved("enhanced", "t AS (SELECT doc_id AS id, text FROM documents)")}
@@ -471,4 +488,9 @@ ORACLES["summary_advanced"] = summary("advanced", "doc_id")
 ORACLES["summary_enhanced"] = summary("enhanced", "conv_id", joined())
 ORACLES["summary_simple"] = summary("simple", "conv_id", joined())
 
+ORACLES["clean_texts_joined"], ORACLES["flagged_texts_joined"] = ORACLES["clean_texts"], ORACLES["flagged_texts"]
+ORACLES["scan_function"], ORACLES["observed_stats"] = ORACLES["spans_enhanced"], ORACLES["scan_stats"]
+ORACLES["stream_quota_sliding"] = ORACLES["rate_limit"]
+ORACLES["stream_enriched_responses"] = ORACLES["enrich_responses"]
+
 ORACLES = {name: ORACLES[name] for name in QUERIES if name in ORACLES}

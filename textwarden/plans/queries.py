@@ -15,10 +15,10 @@ from textwarden.operators.redact import redact
 from textwarden.plans import inputs
 from textwarden.rules import (ENTITY_TYPES_ADVANCED, ENTITY_TYPES_APP, ENTITY_TYPES_PRESIDIO,
                               HIGH, PATTERNS, PROFILES, Pattern, Rule)
-from textwarden.sources import audit, requests, responses
+from textwarden.sources import audit, lines, requests, responses
 from textwarden.sources.messages import concat_messages
-from textwarden.sources.tables import read_table, spread
-from textwarden.streaming import monitor
+from textwarden.sources.tables import bucketed, fresh_path, read_table, spread
+from textwarden.streaming import monitor, stateful
 
 QUERIES = {}
 
@@ -107,20 +107,24 @@ def sse_lines(spark, sf_dir):
     return responses.sse_lines(inputs.stream_lines(spark, sf_dir))
 
 
+ENRICHED = ["request_id", "id", "security_scan.issues_detected", "security_scan.risk_level",
+            "security_scan.gateway_version", "security_scan.scan_summary.issue_types", "stream_prefix"]
+
+
+def request_scans(requests_df: DataFrame, *times: str) -> DataFrame:
+    """What the scan of each served request found; a narrow pass, batch or stream."""
+    parsed = requests.parse_requests(requests_df)
+    served = monitor.timed_filter(parsed, "status = 200", *times) if times else requests.valid_requests(parsed)
+    texts = requests.request_texts(served, multimodal=True).select("request_id", *times, "text")
+    return summary.summarise(resolve.resolve(scan.scan(texts, "presidio"), rank=True),
+                             "presidio", "request_id", *times)
+
+
 @query("enrich_responses")
 def enrich_responses(spark, sf_dir):
-    parsed = requests.parse_requests(inputs.requests(spark, sf_dir))
-    texts = requests.request_texts(requests.valid_requests(parsed), multimodal=True).select(
-        "request_id", "text")
-    scans = summary.summarise(resolve.resolve(scan.scan(texts, "presidio"), rank=True),
-                              "presidio", "request_id")
-    enriched = responses.enrich_responses(
-        responses.normalize_responses(inputs.responses(spark, sf_dir)).where("status = 200"), scans)
-    return enriched.select(
-        "request_id", "id", F.col("security_scan.issues_detected").alias("issues_detected"),
-        F.col("security_scan.risk_level").alias("risk_level"),
-        F.col("security_scan.gateway_version").alias("gateway_version"),
-        F.col("security_scan.scan_summary.issue_types").alias("issue_types"), "stream_prefix")
+    served = responses.normalize_responses(inputs.responses(spark, sf_dir)).where("status = 200")
+    return responses.enrich_responses(
+        served, request_scans(inputs.requests(spark, sf_dir))).select(*ENRICHED)
 
 
 @query("request_log")
@@ -142,6 +146,41 @@ def audit_records(spark, sf_dir):
         F.get_json_object("record", "$.event_type").alias("event_type"))
 
 
+@query("audit_trail")
+def audit_trail(spark, sf_dir):
+    """The audit records of all events through the sink, in two batches; one of them comes twice, and
+    before it a write that never got to its commit."""
+    monitor.use_utc(spark)
+    events = read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value")
+    path = fresh_path(spark, "audit")
+
+    def records(odd: int) -> DataFrame:
+        return audit.audit_records(events.where(f"event_id % 2 = {odd}"), "ts", "event_id", "event_type")
+
+    records(0).write.partitionBy("date").parquet(f"{path}/records/batch=even/attempt=lost")
+    for odd, batch in ((0, "even"), (1, "odd"), (0, "even")):
+        audit.append_audit(records(odd), path, batch)
+    return audit.read_audit(spark, path).select(
+        "batch", F.col("date").cast("string").alias("date"),
+        F.get_json_object("record", "$.timestamp").alias("timestamp"),
+        F.get_json_object("record", "$.event_id").cast("long").alias("event_id"))
+
+
+@query("request_lines")
+def request_lines(spark, sf_dir):
+    """Requests through a folder of JSON lines, some of them broken: the good ones, and how many lines
+    were set aside at a place of their own."""
+    path = fresh_path(spark, "lines")
+    named = F.when(F.col("kind") == 0, F.col("body")).otherwise(
+        F.concat(F.lit('{"request_id": "'), "request_id", F.lit('", '), F.expr("substring(body, 2)")))
+    inputs.requests(spark, sf_dir).select(named).write.text(path)
+    parsed = lines.parse_lines(lines.lines(spark, path), "request_id string, model string, messages array<variant>")
+    good = lines.good_lines(parsed).select("request_id", "model", F.size("messages").cast("long").alias("n"))
+    places = lines.quarantine(parsed).agg(F.count_distinct("file", "line_number").alias("n"))
+    return good.unionByName(places.select(F.lit("set aside").alias("request_id"),
+                                          F.lit(None).cast("string").alias("model"), "n"))
+
+
 # ---- detection ----------------------------------------------------------------------------
 
 @query("presence_cloud", profile="cloud")
@@ -162,6 +201,16 @@ def spans(spark, sf_dir, profile):
         "doc_id", *FINDING_COLUMNS)
 
 
+@query("scan_function")
+def scan_function(spark, sf_dir):
+    """``spans_enhanced`` by the SQL function."""
+    scan.register_scan(spark, "enhanced", "findings_of")
+    inputs.texts(spark, sf_dir).createOrReplaceTempView("scanned_texts")
+    return spark.sql(f"""SELECT doc_id, {", ".join("f." + c for c in FINDING_COLUMNS)}
+        FROM (SELECT doc_id, findings_of(text) AS found FROM scanned_texts) LATERAL VIEW OUTER explode(found) v AS f
+        WHERE f.type IS NOT NULL""")
+
+
 @query("rule_catalogue")
 def rule_catalogue(spark, sf_dir):
     """All rule rows of all profiles with the number of texts their pattern is in;
@@ -347,6 +396,17 @@ def by_findings(spark, sf_dir, clean):
                             F.length("text").cast("long").alias("n_chars"))
 
 
+@query("clean_texts_joined", clean=True)
+@query("flagged_texts_joined", clean=False)
+def by_stored_findings(spark, sf_dir, clean):
+    """Texts without (with) rows in a stored table of findings. Both tables are stored in buckets of the
+    key, so the join moves neither."""
+    sizes = inputs.texts(spark, sf_dir).select("doc_id", F.length("text").cast("long").alias("n_chars"))
+    found = scan.explode_findings(scanned(spark, sf_dir, "presidio"), "doc_id").select("doc_id", "type", "start_pos")
+    choose = summary.texts_without if clean else summary.texts_with
+    return choose(bucketed(sizes, "sizes", "doc_id"), bucketed(found, "findings", "doc_id"))
+
+
 # ---- resolution, ranking, policy ----------------------------------------------------------
 
 @query("dedupe_presidio", profile="presidio")
@@ -437,6 +497,13 @@ def scan_stats(spark, sf_dir):
         summary.summarise(resolved(spark, sf_dir, "presidio"), "presidio", "doc_id"))
 
 
+@query("observed_stats")
+def observed_stats(spark, sf_dir):
+    """``scan_stats``, counted while the summaries are stored."""
+    rows = summary.summarise(resolved(spark, sf_dir, "presidio"), "presidio", "doc_id")
+    return summary.store_and_count(rows, "summaries")[1]
+
+
 @query("severity_breakdown")
 def severity_breakdown(spark, sf_dir):
     found = scan.explode_findings(resolved(spark, sf_dir, "enhanced"), "doc_id")
@@ -447,9 +514,9 @@ def severity_breakdown(spark, sf_dir):
 @query("detector_breakdown")
 def detector_breakdown(spark, sf_dir):
     texts = inputs.texts(spark, sf_dir)
-    return ent.merged_findings(inputs.entities(texts), texts).agg(
-        F.count_if(F.col("detector") == "presidio").alias("presidio"),
-        F.count_if(F.col("detector") == "custom_regex").alias("custom_regex"))
+    rows = ent.merged(inputs.entities(texts), texts)
+    return rows.agg(*[F.expr(f"coalesce(sum(size(filter(findings, f -> f.detector = '{d}'))), 0)").alias(d)
+                      for d in ("presidio", "custom_regex")])
 
 
 @query("issue_types")
@@ -478,6 +545,13 @@ def avg_scan_time(spark, sf_dir):
         F.round(F.sum("total").over(so_far) / F.sum("n").over(so_far), 2).alias("running_avg_ms"))
 
 
+@query("running_scan_time")
+def running_scan_time(spark, sf_dir):
+    """The mean time after each scan."""
+    events = read_table(spark, sf_dir, "events", "event_id", "ts", "value")
+    return summary.running_mean(events, "value", "ts", "event_id").select("event_id", "n", "running_mean")
+
+
 @query("usage_cost")
 def usage_cost(spark, sf_dir):
     events = read_table(spark, sf_dir, "events", "user_id", "event_type", "value")
@@ -533,6 +607,55 @@ def stream_rate_limit(spark, sf_dir):
                                  lambda e: monitor.rate_limit_stream(e, quota=1, seconds=3600))
 
 
+@query("stream_quota_sliding")
+def stream_quota_sliding(spark, sf_dir):
+    """``rate_limit`` of the events as a stream, second by second."""
+    with stateful.own_state(spark):
+        return monitor.drain_windows(_event_stream(spark, sf_dir), "stream-quota",
+                                     lambda e: stateful.sliding_quota(e, quota=1, seconds=3600))
+
+
+@query("stream_late_events")
+def stream_late_events(spark, sf_dir):
+    """Hourly windows of all events, of which every 50th comes after all others."""
+    monitor.use_utc(spark)
+    events = read_table(spark, sf_dir, "events", "event_id", "ts", "event_type", "value")
+    path = fresh_path(spark, "arriving")
+    events.where("event_id % 50 <> 0").write.parquet(path)
+    source = spark.readStream.schema(events.schema).parquet(path)
+    with stateful.own_state(spark):
+        rows = monitor.drain_to_end(
+            {"ts": source}, "stream-late", lambda e: stateful.accounted_windows(e, "1 hour"),
+            [lambda: events.where("event_id % 50 = 0").write.mode("append").parquet(path)])
+    return stateful.corrected(rows)
+
+
+@query("stream_enriched_responses")
+def stream_enriched_responses(spark, sf_dir):
+    """``enrich_responses`` of the same requests and responses, both as streams with times."""
+    monitor.use_utc(spark)
+    second = F.expr("1700000000 + 60 * cast(split_part(request_id, ':', 1) AS bigint) "
+                    "+ cast(split_part(request_id, ':', 2) AS bigint)")
+
+    def landed(rows: DataFrame, time: str) -> DataFrame:
+        rows = rows.withColumn(time, F.timestamp_seconds(second))
+        path = fresh_path(spark, time)
+        rows.write.parquet(path)
+        return spark.readStream.schema(rows.schema).parquet(path)
+
+    served = landed(inputs.responses(spark, sf_dir).select("request_id", "body"), "responded_at")
+    asked = landed(inputs.requests(spark, sf_dir).select("request_id", "body"), "scanned_at")
+
+    def enriched(served: DataFrame, asked: DataFrame) -> DataFrame:
+        served = served.withWatermark("responded_at", monitor.LATENESS)
+        shaped = monitor.timed_filter(
+            responses.normalize_responses(served, "request_id", "body", "responded_at"), "status = 200", "responded_at")
+        scans = request_scans(asked.withWatermark("scanned_at", monitor.LATENESS), "scanned_at")
+        return responses.enrich_response_stream(shaped, scans).select(*ENRICHED)
+
+    return monitor.drain_to_end({"responded_at": served, "scanned_at": asked}, "stream-enriched", enriched)
+
+
 @query("stream_stats")
 def stream_stats(spark, sf_dir):
     return monitor.drain(monitor.live_stats(_event_stream(spark, sf_dir)),

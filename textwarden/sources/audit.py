@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -24,14 +27,47 @@ def audit_records(rows: DataFrame, timestamp: str, *fields: str) -> DataFrame:
                        F.to_json(F.struct(stamp.alias("timestamp"), *fields)).alias("record"))
 
 
-def append_audit(records: DataFrame, path: str, enabled: bool = True) -> None:
-    if enabled:
-        records.write.mode("append").partitionBy("date").parquet(path)
+def append_audit(records: DataFrame, path: str, batch: str, enabled: bool = True) -> bool:
+    """Add one batch of records to the trail at ``path``, wholly or not at all; whether it was added.
+
+    The records are written to a folder of their own first. A small commit file that names it makes
+    them visible, and it is put in place by a rename, last: a write that dies before that leaves
+    nothing to see, and a batch that has a commit is not added again.
+    """
+    if not enabled:
+        return False
+    spark = records.sparkSession
+    fs, commit = _place(spark, f"{path}/commits/{batch}.json")
+    if fs.exists(commit):
+        return False
+    attempt = uuid.uuid4().hex
+    records.write.partitionBy("date").parquet(f"{path}/records/batch={batch}/attempt={attempt}")
+    _, draft = _place(spark, f"{path}/drafts/{attempt}.json")
+    out = fs.create(draft)
+    try:
+        out.write(bytearray(json.dumps({"batch": batch, "attempt": attempt}).encode()))
+    finally:
+        out.close()
+    fs.mkdirs(commit.getParent())
+    return fs.rename(draft, commit)
+
+
+def read_audit(spark: SparkSession, path: str) -> DataFrame:
+    """The records of all batches that were committed: ``batch, date, record``. Other files are not read:
+    the commits prune the folders."""
+    commits = spark.read.schema("batch string, attempt string").json(f"{path}/commits")
+    records = spark.read.schema("record string, batch string, attempt string, date date").parquet(f"{path}/records")
+    return records.join(commits, ["batch", "attempt"]).select("batch", "date", "record")
 
 
 def audit_batch(path: str):
-    """A ``foreachBatch`` writer that may be repeated: a batch replaces itself."""
+    """A ``foreachBatch`` writer that may be repeated: a batch is added once."""
     def write(records: DataFrame, batch_id: int) -> None:
-        (records.write.mode("overwrite").partitionBy("date")
-         .parquet(f"{path}/batch={batch_id}"))
+        append_audit(records, path, str(batch_id))
     return write
+
+
+def _place(spark: SparkSession, path: str):
+    """A path and its file system, as Spark sees them."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where

@@ -46,3 +46,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, label: str, key: str, buckets: int | None = None) -> DataFrame:
+    """Write a table once, dealt by ``key`` into sorted buckets (as many as the session's shuffle
+    partitions), and read it back. Tables with the same key and buckets are joined and grouped by it
+    without a shuffle."""
+    spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = fresh_path(spark, label)
+    name = path.rpartition("/")[2].replace("-", "_")
+    (df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).sortBy(key)
+     .option("path", path).saveAsTable(name))
+    return spark.table(name)

@@ -7,10 +7,11 @@ event is a failed request and ``value`` its response time.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textwarden.sources.tables import fresh_path, spread
 
@@ -46,6 +47,12 @@ def with_event_time(events: DataFrame, ts: str = "ts") -> DataFrame:
     return events.withColumn(ts, F.col(ts).cast("timestamp"))
 
 
+def timed_filter(rows: DataFrame, condition: str, time: str) -> DataFrame:
+    """Rows with a time that fulfil ``condition`` (SQL). Rows that it drops still move the watermark: a
+    plain filter is pushed below the watermark, one that needs the time itself is not."""
+    return rows.where(f"CASE WHEN {time} IS NOT NULL THEN {condition} END")
+
+
 def _rates() -> list[Column]:
     return [F.count("*").alias("requests"),
             F.count_if(F.col("event_type") == "error").alias("errors"),
@@ -120,14 +127,15 @@ def rate_limit_stream(events: DataFrame, quota: int, seconds: int = RATE_WINDOW_
                        "requests", (F.col("requests") > quota).alias("over_quota"))
 
 
-def drain_batches(stream: DataFrame, label: str, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def drain_batches(stream: DataFrame, label: str, work: Callable[[DataFrame], DataFrame],
+                  spreading: bool = True) -> DataFrame:
     """Run ``work`` on every batch of a stream and return all results. A batch of
     few files is spread over the cores first; a repeated batch replaces itself."""
     spark = stream.sparkSession
     path = fresh_path(spark, label)
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        work(spread(batch)).write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
+        work(spread(batch) if spreading else batch).write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
 
     (stream.writeStream.option("checkpointLocation", f"{path}/state").foreachBatch(run)
      .trigger(availableNow=True).start().awaitTermination())
@@ -136,24 +144,47 @@ def drain_batches(stream: DataFrame, label: str, work: Callable[[DataFrame], Dat
 
 def drain_windows(events: DataFrame, label: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Run windows over all available events in append mode: a window is written
-    once, when the watermark has passed it, and its state goes then.
+    once, when the watermark has passed it, and its state goes then."""
+    return drain_to_end({"ts": events}, label, build)
+
 
-    The input ends here, so a row of a far time, read after all others, closes
-    what is still open. Its own window is never written.
+def drain_to_end(streams: dict[str, DataFrame], label: str, build: Callable[..., DataFrame],
+                 arrivals: Iterable[Callable[[], None]] = ()) -> DataFrame:
+    """Run ``build`` over all available rows of streams (by their time columns) in append mode, in one
+    start, and return the result table, kept in the shared folder.
+
+    ``arrivals`` add more input one after another, each after all before it is done. Then the input
+    ends: a row of a far time in every stream closes what is still open. What that row itself opens is
+    never written.
     """
-    spark = events.sparkSession
+    spark = next(iter(streams.values())).sparkSession
     path = fresh_path(spark, label)
-    ends, target = f"{path}/end", f"{path}/rows"
-    last = spark.range(1).select(*[
-        F.lit(END if f.name == "ts" else None).cast(f.dataType).alias(f.name) for f in events.schema])
-    last.limit(0).write.parquet(ends)
-    windows = build(events.unionByName(spark.readStream.schema(events.schema).parquet(ends)))
-    writer = (windows.writeStream.outputMode("append").format("parquet").option("path", target)
-              .option("checkpointLocation", f"{path}/state").trigger(availableNow=True))
-    writer.start().awaitTermination()
-    last.write.mode("append").parquet(ends)
-    writer.start().awaitTermination()
-    return spark.read.schema(windows.schema).parquet(target)
+    ends, ended = {}, []
+    for i, (time, stream) in enumerate(streams.items()):
+        folder = f"{path}/end-{i}"
+        ends[folder] = spark.range(1).select(*[
+            F.lit(END if f.name == time else _nothing(f.dataType)).cast(f.dataType).alias(f.name) for f in stream.schema])
+        ends[folder].limit(0).write.parquet(folder)
+        ended.append(stream.unionByName(spark.readStream.schema(stream.schema).parquet(folder)))
+    rows = build(*ended)
+    query = (rows.writeStream.outputMode("append").format("parquet").option("path", f"{path}/rows")
+             .option("checkpointLocation", f"{path}/state").start())
+    try:
+        query.processAllAvailable()
+        for arrive in arrivals:
+            arrive()
+            query.processAllAvailable()
+        for folder, last in ends.items():
+            last.write.mode("append").parquet(folder)
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return spark.read.schema(rows.schema).parquet(f"{path}/rows")
+
+
+def _nothing(kind: T.DataType) -> str | int | None:
+    """An empty value; joins drop null keys before they look at times."""
+    return "" if isinstance(kind, T.StringType) else 0 if isinstance(kind, T.NumericType) else None
 
 
 def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
