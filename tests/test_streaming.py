@@ -81,7 +81,7 @@ def test_rate_limit_stream(spark):
 def event_folder(spark, path, batches):
     """One file for each batch of (user, second) pairs, in the order of arrival."""
     for batch in batches:
-        df = spark.createDataFrame(batch, "user_id long, s double")
+        df = spark.createDataFrame([(u, float(t)) for u, t in batch], "user_id long, s double")
         df.select("user_id", F.timestamp_seconds("s").cast("timestamp_ntz").alias("ts"), F.lit("click").alias("event_type"),
                   F.col("s").alias("value")).coalesce(1).write.mode("append").parquet(path)
     return spark.read.parquet(path)
