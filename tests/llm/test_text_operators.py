@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import public_tokenizers
@@ -41,6 +42,24 @@ def test_bpe_equals_the_library(spark, texts):
     assert all(back[i] == (t or "") for i, t in enumerate(texts))
 
 
+def test_bpe_of_words_that_collide_under_polynomials(spark):
+    """Two words that are equal under any polynomial modulo 2**64, and words longer than a segment."""
+    library = Tokenizer.from_file(PATH)
+    t = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    u = t.translate(str.maketrans("ab", "ba"))
+    texts = [f"{t} x\n{u} {t} {u}", u, t, "\u00e9" * 3000 + " " * 5000 + "=" * 4100, "antidisestablishmentarianism" * 300]
+    got = {r.doc_id: (r.ids, r.text) for r in bpe.encode(table(spark, texts), PATH).join(
+        bpe.decode(bpe.encode(table(spark, texts), PATH), PATH), "doc_id").collect()}
+    assert all(got[i] == (library.encode(t, add_special_tokens=False).ids, t) for i, t in enumerate(texts))
+
+
+def test_pieces_have_the_library_s_ids(spark, texts):
+    library = Tokenizer.from_file(PATH)
+    for r in packing.pack(packing.pieces(table(spark, texts), PATH, size=64), size=64).collect():
+        ids = [*library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids, 2][r.start:r.start + r.length]
+        assert r.ids_crc32 == zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids))
+
+
 def test_packing_is_gapless_and_tight(spark, texts):
     library = Tokenizer.from_file(PATH)
     rows = packing.pack(packing.pieces(table(spark, texts), PATH, size=64), size=64).collect()

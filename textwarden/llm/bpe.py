@@ -1,12 +1,13 @@
 """BPE encoding and decoding with the backtracking method.
 
 Text is cut into words as the public byte-level tokenizers cut it. A word is encoded from left
-to right: at each place the longest token that matches there is tried (found with an automaton
-over all tokens), shorter ones follow. A token is taken if it is compatible with the one before
+to right: at each place the longest token that matches there is tried, shorter ones follow. All
+longest matches of a word come from one walk of an Aho-Corasick automaton over the reversed tokens,
+from right to left: its failure links make the walk linear, however long tokens are. A token is taken if it is compatible with the one before
 it, that is if merging the two tokens' bytes alone would give just these two; with no candidate
 left the last token is given up again. Places found hopeless are remembered, so the work is
-linear in the word. Many words are encoded side by side in numpy arrays; frequent words come
-from a table of fixed size.
+linear in the word. Many words are encoded side by side in numpy arrays; short words that came before
+are looked up by their bytes in a table of bounded size.
 
 Null texts count as empty, empty texts have no tokens. A text of any length is one unit of
 work: it is never cut. The string of a special token in a text becomes its id.
@@ -26,7 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from textwarden.llm.common import documents, flat, ranges, slices
+from textwarden.llm.common import distinct, documents, flat, ranges, slices
 
 #: How the public byte-level tokenizers split text into words (fixed value).
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -40,8 +41,10 @@ NEW_LETTERS = [(0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0
 NEW_NUMBERS = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79),
                (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]
 _NONE = np.iinfo(np.int64).max
-_TABLE_BITS = 20
-_POOL = 1 << 22
+#: Ids and words that the table of words holds at most, and the longest word in it.
+_POOL, _WORDS, KEPT_WORD = 1 << 22, 1 << 19, 64
+#: Long words are walked in segments of so many bytes.
+_SEGMENT = 1024
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -66,6 +69,59 @@ def char_classes() -> np.ndarray:
     return out
 
 
+class Automaton:
+    """Aho-Corasick automaton over byte strings of several kinds.
+
+    `found[kind][state]` is the longest string of the kind that ends in the state, -1 if none does.
+    """
+
+    def __init__(self, *kinds: dict[bytes, int]):
+        self.states: dict[int, int] = {}
+        parent, depth = [0], [0]
+        own: list[dict[int, int]] = [{} for _ in kinds]
+        for strings, ends in zip(kinds, own, strict=True):
+            for string, i in sorted(strings.items()):
+                state = 0
+                for b in string:
+                    nxt = self.states.get(state << 8 | b)
+                    if nxt is None:
+                        nxt = self.states[state << 8 | b] = len(parent)
+                        parent.append(state << 8 | b)
+                        depth.append(depth[state] + 1)
+                    state = nxt
+                ends[state] = i
+        fail, found = [0] * len(parent), [[-1] * len(parent) for _ in kinds]
+        for state in sorted(range(1, len(parent)), key=depth.__getitem__):
+            above, b = parent[state] >> 8, parent[state] & 255
+            if above:
+                back = fail[above]
+                while back and back << 8 | b not in self.states:
+                    back = fail[back]
+                fail[state] = self.states.get(back << 8 | b, 0)
+            for ends, at in zip(own, found, strict=True):
+                at[state] = ends.get(state, at[fail[state]])
+        self.fail, self.found = np.array(fail, np.int32), [np.array(x, np.int32) for x in found]
+        self.shorter = [{i: at[fail[state]] for state, i in ends.items()} for ends, at in zip(own, found, strict=True)]
+        self.longest = max(depth)
+        keys = np.fromiter(self.states, np.int64, len(self.states))
+        order = np.argsort(keys)
+        self._edges, self._to = keys[order], np.fromiter(self.states.values(), np.int32, len(keys))[order]
+
+    def step(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The states after one more byte each."""
+        out, at = state.astype(np.int64), np.arange(len(state))
+        byte = byte.astype(np.int64)
+        while len(at):
+            key = out[at] << 8 | byte[at]
+            place = np.minimum(np.searchsorted(self._edges, key), len(self._edges) - 1)
+            hit = self._edges[place] == key
+            stop = ~hit & (out[at] == 0)
+            out[at[hit]] = self._to[place[hit]]
+            at = at[~(hit | stop)]
+            out[at] = self.fail[out[at]]
+        return out
+
+
 class Vocabulary:
     """Tokens, their automaton, their merges, and the offset table for decoding."""
 
@@ -114,48 +170,31 @@ class Vocabulary:
         return out
 
     def _automaton(self, ids: dict[bytes, int], n: int) -> None:
-        """Edges of the trie of all tokens; a state's token is the longest match that ends in it."""
-        states: dict[tuple[int, int], int] = {}
-        token, shorter = [-1], np.full(n, -1, np.int32)
-        for word, i in sorted(ids.items()):
-            state, best = 0, -1
-            for b in word:
-                if token[state] >= 0:
-                    best = token[state]
-                nxt = states.get((state, b))
-                if nxt is None:
-                    nxt = states[state, b] = len(token)
-                    token.append(-1)
-                state = nxt
-            token[state], shorter[i] = i, best
-        edges = np.array([s << 8 | b for s, b in states], np.int64)
-        order = np.argsort(edges)
-        self._edges, self._to = edges[order], np.array(list(states.values()), np.int32)[order]
-        self._first = np.full(256, -1, np.int32)
-        for (s, b), to in states.items():
-            if not s:
-                self._first[b] = to
-        self._token, self._shorter = np.array(token, np.int32), shorter
-
-    def _go(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
-        key = state.astype(np.int64) << 8 | byte
-        at = np.minimum(np.searchsorted(self._edges, key), len(self._edges) - 1)
-        return np.where(self._edges[at] == key, self._to[at], -1)
-
-    def longest(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The longest token that starts at each place of `data` and ends by `ends`."""
+        """Over the reversed tokens: what ends in a state is the longest token that starts at a place."""
+        self._tokens = Automaton({word[::-1]: i for word, i in ids.items()})
+        self._shorter = np.full(n, -1, np.int32)
+        self._shorter[list(self._tokens.shorter[0])] = list(self._tokens.shorter[0].values())
+
+    def longest(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The longest token that starts at each place of each word (ranges of `data`) and ends in it.
+
+        A long word is walked in segments side by side, each from as far right of it as tokens reach.
+        """
         found = np.full(len(data), -1, np.int32)
-        at = np.arange(len(data))
-        state, place = self._first[data], at
-        while len(at):
-            live = state >= 0
-            at, place, state = at[live], place[live], state[live]
-            token = self._token[state]
-            found[at[token >= 0]] = token[token >= 0]
-            place = place + 1
-            live = place < ends[at]
-            at, place, state = at[live], place[live], state[live]
-            state = self._go(state, data[place])
+        pieces = -(-(ends - starts) // _SEGMENT)
+        word = np.repeat(np.arange(len(starts)), pieces)
+        first = starts[word] + ranges(np.zeros(len(starts), np.int64), pieces) * _SEGMENT
+        last = np.minimum(first + _SEGMENT, ends[word])
+        top = np.minimum(last + self._tokens.longest, ends[word])
+        order = np.argsort(first - top, kind="stable")
+        first, last, top = first[order], last[order], top[order]
+        size, state = first - top, np.zeros(len(first), np.int64)
+        for k in range(int(-size[0]) if len(size) else 0):
+            m = int(np.searchsorted(size, -k))
+            at = top[:m] - 1 - k
+            state = self._tokens.step(state[:m], data[at])
+            own = at < last[:m]
+            found[at[own]] = self._tokens.found[0][state[own]]
         return found
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -200,7 +239,7 @@ class Vocabulary:
         base = np.cumsum(length) - length
         text = data[ranges(starts, length)]
         word_end = base + length
-        first = self.longest(text, np.repeat(word_end, length))
+        first = self.longest(text, base, word_end)
         dead = np.zeros(len(text) + 1, bool)
         taken = np.full(len(text) + 1, -1, np.int32)  # the token that starts at a place
         before = np.full(len(text) + 1, -1, np.int32)  # the token that ends at a place
@@ -254,10 +293,8 @@ class Vocabulary:
         return np.concatenate(out)[by].astype(np.uint16 if len(self.length) <= 65536 else np.int32), counts
 
     def forget(self) -> None:
-        """Empty the table of frequent words."""
-        self._keys = np.zeros(1 << _TABLE_BITS, np.uint64)
-        self._at = np.zeros(1 << _TABLE_BITS, np.int64)
-        self._n = np.zeros(1 << _TABLE_BITS, np.int32)
+        """Empty the table of words."""
+        self._words: dict[bytes, tuple[int, int]] = {}
         self._pool, self._used = np.zeros(1 << 16, np.uint16 if len(self.length) <= 65536 else np.int32), 0
 
     def _keep(self, ids: np.ndarray) -> int:
@@ -269,28 +306,25 @@ class Vocabulary:
 
     def encode_flat(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts in `data`, one text after another, and the place of each text in them."""
-        if self._used > _POOL:
+        if self._used > _POOL or len(self._words) > _WORDS:
             self.forget()
         starts, specials = word_starts(data, offsets, tuple(self.special))
         if not len(starts):
             return self._pool[:0].copy(), np.zeros(len(offsets), np.int64)
-        ends = np.append(starts[1:], len(data))
-        key = _keys_of(data, starts, ends)
-        slot = (key >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
-        at, count = self._at[slot], self._n[slot].astype(np.int64)
-        miss = np.flatnonzero(self._keys[slot] != key)
-        if len(miss):
-            new, which, where = np.unique(key[miss], return_index=True, return_inverse=True)
-            which = miss[which]
-            ids, counts = self.encode_words(data, starts[which], ends[which])
+        numbers, words = distinct(data, starts, np.append(starts[1:], len(data)))
+        names = words.to_pylist()
+        new = [i for i, x in enumerate(names) if x not in self._words]
+        own: dict[bytes, tuple[int, int]] = {}
+        if new:
+            text, ends = flat(words.take(pa.array(new)))
+            ids, counts = self.encode_words(text, ends[:-1], ends[1:])
             places = self._keep(ids) + np.cumsum(counts) - counts
-            at[miss], count[miss] = places[where], counts[where]
-            put = (new >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
-            put, only = np.unique(put, return_index=True)
-            self._keys[put], self._at[put], self._n[put] = new[only], places[only], counts[only]
+            own = {names[i]: at for i, at in zip(new, zip(places.tolist(), counts.tolist(), strict=True), strict=True)}
+            self._words.update((x, at) for x, at in own.items() if len(x) <= KEPT_WORD)
+        places = np.array([own.get(x) or self._words[x] for x in names], np.int64)[numbers]
+        at, count = places[:, 0], places[:, 1]
         if specials:
             index = np.searchsorted(starts, np.array([s for s, _ in specials]))
-            at = at.copy()
             place = self._keep(np.array([self.special[s] for _, s in specials], self._pool.dtype))
             at[index], count[index] = place + np.arange(len(specials)), 1
         ids = self._pool[ranges(at, count)]
@@ -306,30 +340,6 @@ def _slots(pair: np.ndarray, n: int) -> np.ndarray:
     return ((pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) & (n - 1)
 
 
-def _keys_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each word from running sums of its bytes' random numbers times powers."""
-    powers, inverses, numbers = _powers(1 << int(max(len(data), 1)).bit_length())
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(numbers[data] * powers[:len(data)], out=sums[1:])
-    key = (sums[ends] - sums[starts]) * inverses[starts]
-    key ^= key >> np.uint64(29)
-    key = key * np.uint64(0xBF58476D1CE4E5B9) + (ends - starts).astype(np.uint64)
-    key ^= key >> np.uint64(32)
-    return key * np.uint64(0x94D049BB133111EB) | np.uint64(1)
-
-
-@lru_cache(2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    numbers = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
-    base = 0x9E3779B97F4A7C15
-    out = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        p = np.ones(n, np.uint64)
-        p[1:] = np.uint64(b)
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1], numbers
-
-
 def word_starts(data: np.ndarray, offsets: np.ndarray, specials: tuple[bytes, ...] = ()) -> tuple[np.ndarray, list]:
     """Where the words of all texts in `data` start, and (start, string) of the special tokens."""
     n = len(data)

@@ -1,14 +1,14 @@
 """Frequent phrases that are more than their parts, found by Rabin-Karp fingerprints.
 
-Each task hashes the words of a slice of texts with prefix polynomials, and every n-gram as a
-difference of two prefixes over the words' numbers. Equal n-grams of a slice are counted before
-the shuffle and keep a pointer to one occurrence. Fingerprints meet in buckets of bounded size;
-the pointers of those that are frequent go back to their texts, and the phrases that are read
-there are counted by their words. So no two phrases are mixed up whatever the hash does.
-
-Phrases of three and more words are looked for in a second pass, only where all pairs of
-neighbours are frequent. That is tested with bitmaps of at most `MAP_BITS` bits together, however
-many pairs there are: they let some rare phrases through and never stop a frequent one.
+Texts are packed into compressed slices first, which all passes read. Each task hashes the words of
+a slice with prefix polynomials, and every n-gram as a difference of two prefixes over the words'
+numbers. Equal n-grams of a slice are counted before the shuffle; fingerprints meet in buckets of bounded size. A first pass counts words and pairs. The
+second sends fingerprints with a pointer to one occurrence in the slice, for words and pairs that
+were frequent and longer phrases whose neighbours all were. That is tested with bitmaps of at most
+`MAP_BITS` bits together, however many pairs there are: they let some rare phrases through and
+never stop a frequent one. The pointers of frequent fingerprints go back to their slices, and the
+phrases that are read there are counted by their words. So no two phrases are mixed up whatever
+the hash does.
 
 Null texts are empty, a null language is `und`. Repeated rows count as often as they occur. Empty
 tables and texts give no rows. Ties are ordered as `phrases` says. Other columns stay behind. A
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,14 +31,18 @@ from textwarden.llm.common import cut_lineage, distinct, flat, slices
 
 #: What ends a piece, and what parts words (fixed values).
 BREAKS, BLANKS = b".,;:!?\x0a\x0b\x0c\x0d", b"\x20\x09"
-#: Text whose n-grams are counted at a time, and text that a bucket of fingerprints stands for.
-SLICE_BYTES, BUCKET_BYTES = 3 << 20, 12 << 20
+#: Text whose n-grams are counted at a time, text that a bucket of fingerprints stands for, and text in
+#: which one task reads phrases.
+SLICE_BYTES, BUCKET_BYTES, READ_BYTES = 5 << 20, 12 << 20, 48 << 20
+#: Bits of a fingerprint; more bits mean fewer rare phrases that are read in vain, results are the same.
+PRINT_BITS = 48
 #: The bitmaps of frequent pairs hold at most so many bits together (64 MB are broadcast at most).
 MAP_BITS = 1 << 29
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_ENTRY = np.dtype([("print", "<u8"), ("count", "<u4"), ("n", "u1"), ("doc", "<u4"), ("offset", "<u4"), ("length", "<u4")])
-_POINTER = np.dtype([("n", "u1"), ("offset", "<u4"), ("length", "<u4"), ("count", "<u4")])
+_COUNT = np.dtype([("print", "<u8"), ("count", "<u4")])
+_ENTRY = np.dtype([("print", "<u8"), ("count", "<u4"), ("n", "u1"), ("at", "<u4"), ("length", "<u4")])
+_POINTER = np.dtype([("n", "u1"), ("at", "<u4"), ("length", "<u4"), ("count", "<u4")])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _KIND = np.zeros(256, np.uint8)
@@ -102,7 +107,8 @@ class Words:
         for n in sizes:
             at = np.arange(max(len(self.start) - n + 1, 0))
             at = at[self.piece[at] == self.piece[at + n - 1]]
-            yield n, at, _mix((sums[at + n] - sums[at]) * inverse[at] + salt[self.doc[at]] * np.uint64(2 * n + 1))
+            whole = _mix((sums[at + n] - sums[at]) * inverse[at] + salt[self.doc[at]] * np.uint64(2 * n + 1))
+            yield n, at, whole >> np.uint64(64 - PRINT_BITS)
 
 
 def _salts(langs: list[str]) -> np.ndarray:
@@ -111,11 +117,11 @@ def _salts(langs: list[str]) -> np.ndarray:
 
 
 def _bucket(prints: np.ndarray, buckets: int) -> np.ndarray:
-    return ((prints >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    return ((prints >> np.uint64(PRINT_BITS - 32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-class PairMap:
-    """Bitmaps, one for each bucket of fingerprints, of the pairs that are frequent."""
+class PrintMap:
+    """Bitmaps, one for each bucket of fingerprints, of the words and pairs that are frequent."""
 
     def __init__(self, maps: dict[int, bytes], buckets: int):
         sizes = np.array([max(len(maps.get(b, b"")), 8) for b in range(buckets)], np.int64)
@@ -127,7 +133,7 @@ class PairMap:
     def build(prints: np.ndarray, buckets: int) -> bytes:
         bits = min(1 << max(6, int(16 * len(prints)).bit_length()), max(64, 1 << (MAP_BITS // buckets).bit_length() - 1))
         out = np.zeros(bits, np.uint8)
-        for place in PairMap._places(prints, np.uint64(bits - 1)):
+        for place in PrintMap._places(prints, np.uint64(bits - 1)):
             out[place] = 1
         return np.packbits(out, bitorder="little").tobytes()
 
@@ -144,7 +150,7 @@ class PairMap:
         return out
 
 
-def _count(words: Words, n: int, at: np.ndarray, prints: np.ndarray, lang: np.ndarray, begin: np.ndarray) -> np.ndarray:
+def _count(words: Words, n: int, at: np.ndarray, prints: np.ndarray, lang: np.ndarray) -> np.ndarray:
     """One record for each different n-gram; equal fingerprints of different words stay apart."""
     found = []
     while len(at):
@@ -160,125 +166,179 @@ def _count(words: Words, n: int, at: np.ndarray, prints: np.ndarray, lang: np.nd
             same &= words.id[place + k] == words.id[like + k]
         rows = np.zeros(len(first), _ENTRY)
         rows["print"], rows["count"], rows["n"] = ordered[first], np.add.reduceat(same.astype(np.int64), first), n
-        rows["doc"] = words.doc[lead]
-        rows["offset"] = words.start[lead] - begin[words.doc[lead]]
+        rows["at"] = words.start[lead]
         rows["length"] = words.end[lead + n - 1] - words.start[lead]
         found.append(rows)
         at, prints = place[~same], ordered[~same]
     return np.concatenate(found) if found else np.zeros(0, _ENTRY)
 
 
-def _tally(docs: DataFrame, sizes: tuple[int, ...], buckets: int, pairs: object = None) -> DataFrame:
-    """Records of the n-grams of each slice, squeezed, by bucket; words of each language beside."""
+def _in_buckets(rows: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    bucket = _bucket(rows["print"], buckets)
+    order = np.lexsort((rows["print"], bucket))
+    rows = rows[order]
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    yield from ((b, rows[cuts[b]:cuts[b + 1]]) for b in np.flatnonzero(np.diff(cuts)).tolist())
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """Slices of texts, ASCII letters in lower case, each compressed in one row with a number of its own."""
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("size", pa.int64()), ("texts", pa.binary()),
+                        ("offsets", pa.binary()), ("langs", pa.list_(pa.string())), ("codes", pa.binary())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = PairMap(pairs.value, buckets) if pairs is not None else None
+        number = TaskContext.get().partitionId() << 32
         for batch in slices(batches, SLICE_BYTES):
             raw, offsets = flat(batch.column(batch.schema.get_field_index("text")))
-            langs = batch.column(batch.schema.get_field_index("lang")).to_pylist()
-            keys = np.frombuffer(b"".join(batch.column(batch.schema.get_field_index("key")).to_pylist()), "V16")
-            codes = {x: i for i, x in enumerate(dict.fromkeys(langs))}
-            lang, salt = np.array([codes[x] for x in langs]), _salts(langs)
-            words = Words(_LOWER[raw], offsets)
-            if known is not None:
-                (_, two, prints), = words.prints((2,), salt)
-                good = np.zeros(len(words.start) + max(sizes), bool)
-                good[two] = known.holds(prints)
+            langs = batch.column(batch.schema.get_field_index("lang")).dictionary_encode()
+            codes = langs.indices.to_numpy().astype("<i4")
+            yield pa.RecordBatch.from_pylist([{
+                "id": number, "n": batch.num_rows, "size": len(raw),
+                "texts": pa.compress(_LOWER[raw].tobytes(), codec="zstd", asbytes=True),
+                "offsets": _squeeze(offsets.astype("<i8")), "langs": langs.dictionary.to_pylist(),
+                "codes": _squeeze(codes)}], schema=schema)
+            number += 1
+
+    return docs.mapInArrow(run, "id long, n int, size long, texts binary, offsets binary, langs array<string>, codes binary")
+
+
+def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
+    """The bytes of a slice, the places of its texts, its languages, and the language of each text."""
+    data = np.frombuffer(pa.decompress(row["texts"], decompressed_size=row["size"], codec="zstd", asbytes=True), np.uint8)
+    offsets = _spread(row["offsets"], row["n"] + 1, np.dtype("<i8"))
+    return data, offsets, row["langs"], _spread(row["codes"], row["n"], np.dtype("<i4"))
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Words, list[str], np.ndarray, np.ndarray]]:
+    """Of each slice its number, its words, its languages, the language and the salt of each text."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1).to_pylist()[0]
+            data, offsets, langs, codes = _unpacked(row)
+            yield row["id"], Words(data, offsets), langs, codes, _salts(langs)[codes]
+
+
+def _tally(packed: DataFrame, buckets: int) -> DataFrame:
+    """By bucket, the counts of the words and pairs of each slice; the words of each language beside."""
+    schema = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("rows", pa.binary()), ("lang", pa.string()), ("words", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, words, langs, codes, salt in _slices(batches):
             found = []
-            for n, at, prints in words.prints(sizes, salt):
-                if known is not None:
-                    keep = np.logical_and.reduce([good[at + k] for k in range(n - 1)])
-                    at, prints = at[keep], prints[keep]
-                found.append(_count(words, n, at, prints, lang, offsets))
-            rows = np.concatenate(found)
-            bucket = _bucket(rows["print"], buckets)
-            order = np.lexsort((rows["print"], bucket))
-            rows, bucket = rows[order], bucket[order]
-            tally = np.bincount(lang[words.doc], minlength=len(codes))
-            cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-            out = []
-            for b in range(buckets):
-                part = rows[cuts[b]:cuts[b + 1]]
-                if len(part):
-                    used, at = np.unique(part["doc"], return_inverse=True)
-                    part["doc"] = at
-                    out.append((b, len(part), _squeeze(part), keys[used].tobytes(), None, None))
-            out += [(int(salt[lang == i][0] % np.uint64(buckets)), 0, None, None, x, int(tally[i]))
-                    for x, i in codes.items() if 1 in sizes]
-            yield pa.RecordBatch.from_pylist(
-                [dict(zip(("bucket", "n", "entries", "docs", "lang", "words"), x, strict=True)) for x in out],
-                schema=pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("entries", pa.binary()),
-                                  ("docs", pa.binary()), ("lang", pa.string()), ("words", pa.int64())]))
-
-    return docs.select("key", "lang", "text").mapInArrow(
-        run, "bucket int, n int, entries binary, docs binary, lang string, words long")
-
-
-def _frequent(tallies: DataFrame, least: int, buckets: int) -> DataFrame:
-    """By text, pointers to the n-grams with frequent fingerprints; maps of pairs; words of languages."""
+            for _, _, prints in words.prints((1, 2), salt):
+                values, counts = np.unique(prints, return_counts=True)
+                rows = np.empty(len(values), _COUNT)
+                rows["print"], rows["count"] = values, counts
+                found.append(rows)
+            out = [(b, len(rows), _squeeze(rows), None, None) for b, rows in _in_buckets(np.concatenate(found), buckets)]
+            tally = np.bincount(codes[words.doc], minlength=len(langs))
+            out += [(int(x % np.uint64(buckets)), 0, None, lang, int(n)) for x, lang, n in zip(_salts(langs), langs, tally, strict=True)]
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, x, strict=True)) for x in out], schema=schema)
+
+    return packed.mapInArrow(run, "bucket int, n int, rows binary, lang string, words long")
+
+
+def _joined(rows: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows by fingerprint, where each fingerprint starts, and whether it is frequent."""
+    rows = rows[np.argsort(rows["print"], kind="stable")]
+    first = np.flatnonzero(np.concatenate([[True], rows["print"][1:] != rows["print"][:-1]]))
+    return rows, first, np.add.reduceat(rows["count"].astype(np.int64), first) >= least
+
+
+def _maps(tallies: DataFrame, least: int, buckets: int) -> DataFrame:
+    """The map of the frequent fingerprints of each bucket; the words of each language beside."""
+    schema = pa.schema([("bucket", pa.int32()), ("map", pa.binary()), ("lang", pa.string()), ("words", pa.int64())])
+
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        out = []
         words: Counter = Counter()
         for x, n in zip(table["lang"].to_pylist(), table["words"].to_pylist(), strict=True):
             if x is not None:
                 words[x] += n
-        out += [(None, None, None, None, None, x, n) for x, n in words.items()]
-        table = table.filter(pa.compute.greater(table["n"], 0))
-        parts = [_spread(x, n, _ENTRY) for x, n in zip(table["entries"].to_pylist(), table["n"].to_pylist(), strict=True)]
+        out = [(None, None, x, n) for x, n in words.items()]
+        parts = [_spread(x, n, _COUNT) for x, n in zip(table["rows"].to_pylist(), table["n"].to_pylist(), strict=True) if n]
         if parts:
-            docs = [np.frombuffer(x, "V16") for x in table["docs"].to_pylist()]
-            shift = np.cumsum([0, *map(len, docs)])
-            rows, docs = np.concatenate(parts), np.concatenate(docs)
-            rows["doc"] += np.repeat(shift[:-1], list(map(len, parts))).astype(np.uint32)
-            del parts
-            rows = rows[np.argsort(rows["print"], kind="stable")]
-            first = np.flatnonzero(np.concatenate([[True], rows["print"][1:] != rows["print"][:-1]]))
-            sizes = np.diff(np.append(first, len(rows)))
-            rows = rows[np.repeat(np.add.reduceat(rows["count"].astype(np.int64), first) >= least, sizes)]
-            pairs = np.unique(rows["print"][rows["n"] == 2])
-            if len(pairs):
-                out.append((None, None, None, key[0].as_py(), PairMap.build(pairs, buckets), None, None))
-            rows = rows[np.argsort(rows["doc"], kind="stable")]
-            used, first = np.unique(rows["doc"], return_index=True)
-            pointers = np.empty(len(rows), _POINTER)
-            for name in _POINTER.names:
-                pointers[name] = rows[name]
-            for doc, a, b in zip(used, first, np.append(first[1:], len(rows)), strict=True):
-                out.append((docs[doc].tobytes(), int(b - a), _squeeze(pointers[a:b]), None, None, None, None))
-        return pa.Table.from_pylist(
-            [dict(zip(("key", "n", "pointers", "bucket", "map", "lang", "words"), x, strict=True)) for x in out],
-            schema=pa.schema([("key", pa.binary()), ("n", pa.int32()), ("pointers", pa.binary()), ("bucket", pa.int32()),
-                              ("map", pa.binary()), ("lang", pa.string()), ("words", pa.int64())]))
-
-    return tallies.groupBy("bucket").applyInArrow(
-        run, "key binary, n int, pointers binary, bucket int, map binary, lang string, words long")
-
-
-def _read(docs: DataFrame, pointers: DataFrame) -> DataFrame:
-    """The phrases that pointers show, read in their texts, with partial counts."""
+            rows, first, often = _joined(np.concatenate(parts), least)
+            if often.any():
+                out.append((key[0].as_py(), PrintMap.build(rows["print"][first[often]], buckets), None, None))
+        return pa.Table.from_pylist([dict(zip(schema.names, x, strict=True)) for x in out], schema=schema)
+
+    return tallies.groupBy("bucket").applyInArrow(run, "bucket int, map binary, lang string, words long")
+
+
+def _pointers(packed: DataFrame, longest: int, buckets: int, maps: object) -> DataFrame:
+    """By bucket, the n-grams of each slice that may be frequent: fingerprints, counts, pointers."""
+    schema = pa.schema([("bucket", pa.int32()), ("id", pa.int64()), ("n", pa.int32()), ("rows", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = PrintMap(maps.value, buckets)
+        for number, words, _, codes, salt in _slices(batches):
+            pair = np.zeros(len(words.start) + longest, bool)
+            found = []
+            for n, at, prints in words.prints(tuple(range(1, longest + 1)), salt):
+                if n <= 2:
+                    keep = known.holds(prints)
+                    if n == 2:
+                        pair[at] = keep
+                else:
+                    keep = np.logical_and.reduce([pair[at + k] for k in range(n - 1)])
+                found.append(_count(words, n, at[keep], prints[keep], codes))
+            out = [(b, number, len(rows), _squeeze(rows)) for b, rows in _in_buckets(np.concatenate(found), buckets)]
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, x, strict=True)) for x in out], schema=schema)
+
+    return packed.mapInArrow(run, "bucket int, id long, n int, rows binary")
+
+
+def _frequent(tallies: DataFrame, least: int) -> DataFrame:
+    """By slice, the pointers to its n-grams with frequent fingerprints."""
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("pointers", pa.binary())])
+
+    def run(_: tuple, table: pa.Table) -> pa.Table:
+        ids, sizes = table["id"].to_numpy(), table["n"].to_numpy()
+        rows = np.concatenate([_spread(x, n, _ENTRY) for x, n in zip(table["rows"].to_pylist(), sizes, strict=True)])
+        order = np.argsort(rows["print"], kind="stable")
+        rows, first, often = _joined(rows, least)
+        keep = np.repeat(often, np.diff(np.append(first, len(rows))))
+        rows, source = rows[keep], np.repeat(np.arange(len(ids)), sizes)[order[keep]]
+        order = np.lexsort((rows["at"], source))
+        rows, source = rows[order], source[order]
+        pointers = np.empty(len(rows), _POINTER)
+        for name in _POINTER.names:
+            pointers[name] = rows[name]
+        used, first = np.unique(source, return_index=True)
+        ends = np.append(first[1:], len(rows))
+        return pa.Table.from_arrays([pa.array(ids[used]), pa.array(ends - first, pa.int32()), pa.array(
+            [_squeeze(pointers[a:b]) for a, b in zip(first, ends, strict=True)], pa.binary())], schema=schema)
+
+    return tallies.groupBy("bucket").applyInArrow(run, "id long, n int, pointers binary")
+
+
+def _read(packed: DataFrame, pointers: DataFrame, tasks: int) -> DataFrame:
+    """The phrases that pointers show, read in their slices, with partial counts. Few tasks with many
+    slices each leave few partial counts of a phrase to be shuffled."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: Counter = Counter()
-            for lang, text, parts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                raw = _LOWER[np.frombuffer(text.encode(), np.uint8)].tobytes()
-                for part in parts:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                data, offsets, langs, codes = _unpacked(row)
+                raw = data.tobytes()
+                found: Counter = Counter()
+                for part in row["parts"]:
                     rows = _spread(part["pointers"], part["n"], _POINTER)
-                    for n, a, length, count in rows.tolist():
-                        phrase = raw[a:a + length]
-                        if n > 1:
-                            phrase = b" ".join(phrase.replace(b"\t", b" ").split(b" "))
-                            while b"  " in phrase:
-                                phrase = phrase.replace(b"  ", b" ")
-                        found[lang, n, phrase] += count
-            keys = list(found)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()),
-                 pa.array([k[2] for k in keys], pa.binary()).cast(pa.string()), pa.array(list(found.values()), pa.int64())],
-                ["lang", "n_words", "phrase", "part"])
-
-    texts = docs.groupBy("key", "lang").agg(F.first("text").alias("text"))
-    wanted = pointers.groupBy("key").agg(F.collect_list(F.struct("n", "pointers")).alias("parts"))
-    return texts.join(wanted, "key").select("lang", "text", "parts").mapInArrow(
-        run, "lang string, n_words int, phrase string, part long")
+                    at = rows["at"].astype(np.int64)
+                    lang = codes[np.searchsorted(offsets, at, "right") - 1]
+                    for code, n, a, b, count in zip(lang.tolist(), rows["n"].tolist(), at.tolist(),
+                                                    (at + rows["length"]).tolist(), rows["count"].tolist(), strict=True):
+                        phrase = raw[a:b]
+                        if n > 1 and phrase.count(b" ") != n - 1 or b"\t" in phrase:
+                            phrase = b" ".join(x for x in phrase.replace(b"\t", b" ").split(b" ") if x)
+                        found[code, n, phrase] += count
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([langs[c] for c, _, _ in found], pa.string()), pa.array([n for _, n, _ in found], pa.int32()),
+                     pa.array([x for _, _, x in found], pa.binary()).cast(pa.string()), pa.array(list(found.values()), pa.int64())],
+                    ["lang", "n_words", "phrase", "part"])
+
+    wanted = pointers.repartition(tasks, "id").groupBy("id").agg(F.collect_list(F.struct("n", "pointers")).alias("parts"))
+    return packed.repartition(tasks, "id").join(wanted, "id").mapInArrow(run, "lang string, n_words int, phrase string, part long")
 
 
 def counts(documents: DataFrame, least: int = 30, longest: int = 4) -> tuple[DataFrame, DataFrame]:
@@ -286,17 +346,15 @@ def counts(documents: DataFrame, least: int = 30, longest: int = 4) -> tuple[Dat
     (`lang, n_words, phrase, f`), and the number of words of each language (`lang, n`)."""
     docs = documents.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
                             F.col("text").cast("string").alias("text")).where("octet_length(text) > 0")
-    docs = docs.withColumn("key", F.expr("unhex(left(sha2(concat(octet_length(lang), ' ', lang, text), 256), 32))"))
-    context = documents.sparkSession.sparkContext
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    packed = cut_lineage(_packed(docs))
+    size = packed.agg(F.sum("size")).first()[0] or 0
     buckets = max(-(-size // BUCKET_BYTES), 1)
-    found = cut_lineage(_frequent(_tally(docs, (1, 2)[:longest], buckets), least, buckets))
-    pointers = found.where("key IS NOT NULL")
-    if longest > 2:
-        maps = {r.bucket: bytes(r.map) for r in found.where("map IS NOT NULL").select("bucket", "map").collect()}
-        tallies = _tally(docs, tuple(range(3, longest + 1)), buckets, context.broadcast(maps))
-        pointers = pointers.unionByName(_frequent(tallies, least, buckets).where("key IS NOT NULL"))
-    phrases = (_read(docs, pointers.select("key", "n", "pointers")).groupBy("lang", "n_words", "phrase")
+    found = cut_lineage(_maps(_tally(packed, buckets), least, buckets))
+    maps = {r.bucket: bytes(r.map) for r in found.where("map IS NOT NULL").select("bucket", "map").collect()}
+    context = documents.sparkSession.sparkContext
+    pointers = _frequent(_pointers(packed, longest, buckets, context.broadcast(maps)), least)
+    tasks = max(-(-size // READ_BYTES), context.defaultParallelism)
+    phrases = (_read(packed, pointers, tasks).groupBy("lang", "n_words", "phrase")
                .agg(F.sum("part").alias("f")).where(F.col("f") >= least))
     return cut_lineage(phrases), found.where("lang IS NOT NULL").groupBy("lang").agg(F.sum("words").alias("n"))
 

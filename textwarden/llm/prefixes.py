@@ -36,8 +36,8 @@ from textwarden.llm.common import distinct, documents, flat, ranges, slices
 #: How the vocabulary writes the end of a word, and endings that are words of their own (fixed values).
 MARK = b"</w>"
 ENDINGS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
-#: Words walked side by side at least; longer ones go on alone. Longest word kept, and counts kept.
-FEW, KEPT_WORD, KEPT_COUNTS = 8, 64, 1 << 22
+#: Words walked side by side at least; longer ones go on alone. Counts kept.
+FEW, KEPT_COUNTS = 8, 1 << 22
 DOTTED_I, DOT = 0x130, 0x307
 #: Lower case that the tokenizers know and Python 3.13 does not (fixed values: first, last, lower case of the first).
 NEW_CASES = [(0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF),
@@ -58,43 +58,16 @@ class Vocabulary(bpe.Vocabulary):
     """Tokens as bytes, with or without the mark, the merges, and an automaton of what can end at a place."""
 
     def _automaton(self, ids: dict[bytes, int], n: int) -> None:
-        self._states: dict[int, int] = {}
-        parent, depth, plain, ending = [0], [0], [-1], [-1]
-        self.size = np.zeros(n, np.int32)
-        for word, i in sorted(ids.items()):
+        bodies: tuple[dict[bytes, int], dict[bytes, int]] = ({}, {})  # without the mark and with it
+        self.size, self._shorter = np.zeros(n, np.int32), np.full(n, -1, np.int32)
+        for word, i in ids.items():
             ends = word.endswith(MARK) and word != MARK
             body = word[:-len(MARK)] if ends else word
-            self.size[i] = len(body)
-            state = 0
-            for b in body:
-                nxt = self._states.get(state << 8 | b)
-                if nxt is None:
-                    nxt = self._states[state << 8 | b] = len(parent)
-                    parent.append(state << 8 | b)
-                    depth.append(depth[state] + 1)
-                    plain.append(-1)
-                    ending.append(-1)
-                state = nxt
-            (ending if ends else plain)[state] = i
-        fail = [0] * len(parent)
-        shorter = np.full(n, -1, np.int32)
-        for state in sorted(range(1, len(parent)), key=depth.__getitem__):
-            above, b = parent[state] >> 8, parent[state] & 255
-            if above:
-                back = fail[above]
-                while back and back << 8 | b not in self._states:
-                    back = fail[back]
-                fail[state] = self._states.get(back << 8 | b, 0)
-            for found in (plain, ending):  # a state that is no token has the longest one that ends there
-                if found[state] < 0:
-                    found[state] = found[fail[state]]
-                else:
-                    shorter[found[state]] = found[fail[state]]
-        self._fail, self._shorter = np.array(fail, np.int32), shorter
-        self._plain, self._ending = np.array(plain, np.int32), np.array(ending, np.int32)
-        keys = np.fromiter(self._states, np.int64, len(self._states))
-        order = np.argsort(keys)
-        self._edges, self._to = keys[order], np.fromiter(self._states.values(), np.int32, len(keys))[order]
+            bodies[ends][body], self.size[i] = i, len(body)
+        self._tokens = bpe.Automaton(*bodies)
+        for shorter in self._tokens.shorter:
+            self._shorter[list(shorter)] = list(shorter.values())
+        self._plain, self._ending = self._tokens.found
         self._known: dict[tuple[int, int], bool] = {}
 
     def forget(self) -> None:
@@ -102,19 +75,6 @@ class Vocabulary(bpe.Vocabulary):
         self._words: dict[bytes, tuple[int, int]] = {}
         self._pool, self._used = np.zeros(1 << 16, np.int32), 0
 
-    def _step(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
-        out, at = state.astype(np.int64), np.arange(len(state))
-        byte = byte.astype(np.int64)
-        while len(at):
-            key = out[at] << 8 | byte[at]
-            place = np.minimum(np.searchsorted(self._edges, key), len(self._edges) - 1)
-            hit = self._edges[place] == key
-            stop = ~hit & (out[at] == 0)
-            out[at[hit]] = self._to[place[hit]]
-            at = at[~(hit | stop)]
-            out[at] = self._fail[out[at]]
-        return out
-
     def _last_tokens(self, found: np.ndarray, at: np.ndarray, k: int, last: np.ndarray,
                      counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of words at their byte `k`: the token that ends there and the count of the prefix."""
@@ -144,12 +104,12 @@ class Vocabulary(bpe.Vocabulary):
         state = np.zeros(len(sizes), np.int64)
         for k in range(int(sizes.max(initial=0))):
             m = int(np.searchsorted(ordered, -k))
-            if m < FEW and k > KEPT_WORD:
+            if m < FEW and k > bpe.KEPT_WORD:
                 for i in range(m):
                     self._walk_on(data, int(base[i]), k, int(-ordered[i]), int(state[i]), ends, last, counts, out)
                 break
             at = base[:m] + k
-            state = self._step(state[:m], data[at])
+            state = self._tokens.step(state[:m], data[at])
             last[at], counts[at] = self._last_tokens(self._plain[state], at, k, last, counts)
             stop = ends[at]
             out[at[stop]] = self._last_tokens(self._ending[state[stop]], at[stop], k, last, counts)[1]
@@ -159,6 +119,7 @@ class Vocabulary(bpe.Vocabulary):
                  last: np.ndarray, counts: np.ndarray, out: np.ndarray) -> None:
         """The rest of one long word."""
         text, known, sizes = data[base:base + size].tobytes(), self._known, self.size
+        states, fail = self._tokens.states, self._tokens.fail
         own, count = last[base:base + k].tolist(), counts[base:base + k].tolist()
         stops = ends[base:base + size].tolist()
 
@@ -176,9 +137,9 @@ class Vocabulary(bpe.Vocabulary):
                 token = int(self._shorter[token])
 
         for k in range(k, size):  # noqa: B020, PLR1704
-            while state and state << 8 | text[k] not in self._states:
-                state = int(self._fail[state])
-            state = self._states.get(state << 8 | text[k], 0)
+            while state and state << 8 | text[k] not in states:
+                state = int(fail[state])
+            state = states.get(state << 8 | text[k], 0)
             if stops[k]:
                 out[base + k] = find(int(self._ending[state]))[1]
             token, n = find(int(self._plain[state]))
@@ -205,7 +166,7 @@ class Vocabulary(bpe.Vocabulary):
             self._pool[self._used:self._used + len(counts)] = counts
             sizes = np.diff(places).tolist()
             own = {x: (a, n) for x, a, n in zip(new, (places[:-1] + self._used).tolist(), sizes, strict=True)}
-            self._words.update((x, at) for x, at in own.items() if len(x) <= KEPT_WORD)
+            self._words.update((x, at) for x, at in own.items() if len(x) <= bpe.KEPT_WORD)
             self._used += len(counts)
         found = [own.get(x) or self._words[x] for x in names]
         return np.array([a for a, _ in found], np.int64), np.array([n for _, n in found], np.int64)

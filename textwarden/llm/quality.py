@@ -171,5 +171,5 @@ def judge(docs: DataFrame, labels: DataFrame, least: float = 0.5, sample: int =
     model = train(docs, labels, sample)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     good = F.lit(True) if model is None else F.col("score") >= least
-    return (measured(docs, model).drop("features").withColumn("base_failed", failed)
-            .withColumn("kept", ~F.col("base_failed") & good))
+    return (measured(docs, model).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & good)
+            .select("doc_id", *COUNTS, "base_failed", "kept", "score"))
