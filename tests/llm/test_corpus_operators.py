@@ -216,3 +216,58 @@ def test_chat_folds_events(spark):
         "conv_id long, seq long, kind string, target long, role string, text string")
     assert [(r.conv_id, r.at, r.role, r.text) for r in chat.fold(events).orderBy("conv_id", "at").collect()] == [
         (1, 1, "user", "hello"), (1, 2, "assistant", "xy"), (2, 0, "", "alone")]
+
+
+def brute_fingerprint(text):
+    """The part of a fingerprint for equality, and the number of runs, from sums of Python numbers."""
+    sums, runs = [0] * fingerprints.WORDS, 0
+    for line in text.split("\n"):
+        for k in range(fingerprints.WORDS // 2):
+            seed = xxhash.xxh64_intdigest(k.to_bytes(4, "little"), 42)
+            h = xxhash.xxh64_intdigest(line.encode(), seed)
+            sums[2 * k] += h & 0xFFFFFFFF
+            sums[2 * k + 1] += h >> 32
+        runs += -(-len(line.split()) // 4)
+    return "".join(f"{x % (1 << 32):08x}" for x in [*sums, runs])
+
+
+def brute_likeness(text, other):
+    def signed(t):
+        out = [0] * 64
+        for line in t.split("\n"):
+            words = line.split()
+            for i in range(0, len(words), 4):
+                seed = xxhash.xxh64_intdigest(" ".join(words[i:i + 4]).encode(), 42)
+                h = xxhash.xxh64_intdigest(b"unit", seed)
+                for j in range(64):
+                    out[j % 32 + (32 if j >= 32 else 0)] += 1 if h >> j & 1 else -1
+        return out
+    if brute_fingerprint(text) == brute_fingerprint(other):
+        return 1.0
+    a, b = signed(text), signed(other)
+    both = sum(x * x + y * y for x, y in zip(a, b, strict=True))
+    return 0.0 if not both else min(1.0, max(0.0, 2 * sum(x * y for x, y in zip(a, b, strict=True)) / both))
+
+
+def test_fingerprints_of_ids_of_any_kind(spark, monkeypatch):
+    """Hashed and far ids, null ids, one id of many documents, repeated rows: against plain Python."""
+    monkeypatch.setattr(fingerprints, "BLOCK", 4)
+    monkeypatch.setattr(fingerprints, "QUANTILES", 8)
+    rng = random.Random(9)
+    for ids in ([0, 1 << 62], [-(1 << 63), (1 << 63) - 1, 0, None], [*range(40), 1 << 40], [5] * 60 + [None] * 30 + [1, 9],
+                [xxhash.xxh64_intdigest(str(i)) - (1 << 63) for i in range(80)], [3]):
+        rows = [(i, rng.choice([f"text {k} of some words\nand a line {k % 3}", "", None, "é" * 7, f"w{k}"])) for k, i in enumerate(ids)]
+        rows += rows[:2] if len(rows) > 3 else []
+        df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, block int").repartition(3)
+        got = fingerprints.edited_neighbours(df).collect()
+        tie = lambda t: xxhash.xxh64_intdigest(t.encode(), 42)
+        ordered = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0,
+                                                                         (tie(r[1]) + (1 << 63)) % (1 << 64)))
+        want = []
+        for (i, t), (_, following) in zip(ordered, ordered[1:] + ordered[:1], strict=True):
+            edited = t[:len(t) - len(t) // 2] + following[:len(t) // 2]
+            want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), brute_fingerprint(t), brute_fingerprint(edited),
+                         round(brute_likeness(t, edited), 9), round(brute_likeness(t, following), 9)))
+        assert sorted(map(repr, want)) == sorted(repr((
+            r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint[:72], r.edited_fingerprint[:72],
+            round(r.near_edited, 9), round(r.near_next, 9))) for r in got)

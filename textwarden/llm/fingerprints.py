@@ -10,7 +10,7 @@ Null texts count as empty; an empty text is one empty paragraph. Repeated rows a
 give a row. Documents follow one another by ascending id (null ids first, equal ids by text),
 the last is followed by the first; a single document follows itself. An empty table gives an
 empty result. Further columns stay behind. Texts are taken whole. All work is DataFrame
-expressions; documents are dealt once, in blocks of neighbouring ids.
+expressions; documents are dealt once, in blocks of neighbours, whatever their ids look like.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from textwarden.llm.common import documents
 
-#: Documents that a block of neighbouring ids holds on average.
-BLOCK = 1024
+#: Documents that a block of neighbours holds on average, and quantiles of the ids between which blocks are cut.
+BLOCK, QUANTILES = 1024, 256
 #: 32-bit words of the part for equality, and counters of the part for likeness.
 WORDS, COUNTERS = 8, 64
 _MASK = 0xFFFFFFFF
@@ -36,7 +36,7 @@ def sums(texts: DataFrame, keys: list[str], text: str = "value", carry: tuple[st
     first = F.coalesce("at", F.lit(0)) == 0
     aggregates = []
     for k in range(WORDS // 2):
-        value = F.when(first, F.xxhash64("line", F.lit(k)))
+        value = F.when(first, F.xxhash64(F.lit(k), "line"))
         aggregates += [F.coalesce(F.sum(value.bitwiseAND(F.lit(_MASK))), F.lit(0)).alias(f"w{2 * k}"),
                        F.coalesce(F.sum(F.shiftrightunsigned(value, 32)), F.lit(0)).alias(f"w{2 * k + 1}")]
     lanes = F.lit(0x0000000100000001)
@@ -76,28 +76,53 @@ def likeness(a: Column, b: Column) -> Column:
             .otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), shared / both))))
 
 
+def in_blocks(docs: DataFrame) -> DataFrame:
+    """`docs` with a `tie` (a hash of the text) and blocks: `zone` and `block` in it, in the order of ids, then ties.
+
+    Quantiles cut the ids into zones: each quantile is one of its own, and so is what lies between two of
+    them, and null ids. A zone of one id is cut by ties, which are spread evenly, the others by ids.
+    So neither far ids nor an id of many documents make a large block.
+    """
+    shares = [i / (QUANTILES - 1) for i in range(QUANTILES)]
+    found = docs.agg(F.percentile_approx("doc_id", shares, 10_000), F.min("doc_id"), F.max("doc_id")).first()
+    cuts = sorted({*(found[0] or ()), *found[1:]} - {None})
+    bounds = "cast(array({}) AS array<bigint>)".format(", ".join(f"bigint('{x}')" for x in cuts))
+    less, own = f"size(filter({bounds}, b -> b < doc_id))", f"array_contains({bounds}, doc_id)"
+    zone = f"CASE WHEN doc_id IS NULL THEN 0 ELSE 1 + 2 * {less} + int({own}) END"
+    zoned = docs.withColumn("tie", F.xxhash64("text")).withColumn("zone", F.expr(zone))
+    sizes = {r.zone: r["count"] for r in zoned.groupBy("zone").count().collect()}  # at most 2 QUANTILES + 1
+    pieces = F.expr(f"map({', '.join(f'{z}, {-(-n // BLOCK)}' for z, n in sizes.items())})") if sizes else F.create_map(F.lit(0), F.lit(1))
+    by_tie = F.col("tie") / F.lit(2.0 ** 64) + 0.5
+    low, high = (F.expr(f"double(get({bounds}, int(zone / 2) - {k}))") for k in (1, 0))
+    by_id = (F.col("doc_id").cast("double") - low) / (high - low)
+    part = F.when(F.col("zone") % 2 == 0, by_tie).otherwise(by_id)
+    block = F.floor(F.least(F.greatest(part, F.lit(0.0)), F.lit(1 - 2.0 ** -40)) * F.element_at(pieces, F.col("zone")))
+    return zoned.withColumn("block", block)
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """`block`, `row` (together unique), `doc_id`, `text`, `next`: each document with the text that follows."""
-    known = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*"), F.count("doc_id")).first()
-    low, high, rows, ids = known
-    low, high = low or 0, high or 0
-    step = max(1, (high - low + 1) * BLOCK // max(rows, 1))
-    block = F.coalesce(F.floor((F.col("doc_id") - F.lit(low)) / F.lit(step)), F.lit(-1)).cast("long")
-    blocked = docs.withColumn("block", block).withColumn("tie", F.xxhash64("text"))
+    blocked = in_blocks(docs)
     place = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))), "tie")
-    firsts = blocked.groupBy("block").agg(F.min_by("text", place).alias("text"))
-    numbers = blocked.select("block").distinct()
-    order = Window.orderBy("block")  # one small number for each block
-    last = numbers.agg(F.max("block").alias("last"))
-    before = (numbers.withColumn("before", F.lag("block").over(order)).crossJoin(F.broadcast(last))
-              .select("block", F.coalesce("before", "last").alias("before")))
-    guests = firsts.join(before, "block").select(
-        F.lit(None).cast("long").alias("doc_id"), "text", F.col("before").alias("block"),
-        F.lit(0).cast("long").alias("tie"), F.lit(True).alias("guest"))
+    firsts = blocked.groupBy("zone", "block").agg(F.min_by("text", place).alias("text"))
+    numbers = blocked.select("zone", "block").distinct()
+    ends = {r.zone: r.last for r in numbers.groupBy("zone").agg(F.max("block").alias("last")).orderBy("zone").collect()}
+    zones = list(ends)  # one for each quantile and gap, at most
+    before = F.expr("map({})".format(", ".join(  # the last block of the zone before; of the first zone, of the last
+        f"{z}, named_struct('zone', {zones[i - 1]}, 'block', {ends[zones[i - 1]]}L)" for i, z in enumerate(zones)))
+        if zones else "map(0, named_struct('zone', 0, 'block', 0L))")
+    inner = F.lag("block").over(Window.partitionBy("zone").orderBy("block"))
+    links = numbers.withColumn("inner", inner).withColumn(
+        "to", F.when(F.col("inner").isNotNull(), F.struct("zone", F.col("inner").alias("block"))).otherwise(
+            F.element_at(before, F.col("zone"))))
+    guests = firsts.join(links, ["zone", "block"]).select(
+        F.lit(None).cast("long").alias("doc_id"), "text", F.lit(0).cast("long").alias("tie"),
+        "to.zone", "to.block", F.lit(True).alias("guest"))
     everyone = blocked.withColumn("guest", F.lit(False)).unionByName(guests)
-    turn = Window.partitionBy("block").orderBy("guest", F.col("doc_id").asc_nulls_first(), "tie")
+    turn = Window.partitionBy("zone", "block").orderBy("guest", F.col("doc_id").asc_nulls_first(), "tie")
     return (everyone.withColumn("next", F.lead("text").over(turn)).withColumn("row", F.row_number().over(turn))
-            .where(~F.col("guest")).select("block", "row", "doc_id", "text", "next"))
+            .where(~F.col("guest"))
+            .select((F.col("zone").cast("long") * (1 << 48) + F.col("block")).alias("block"), "row", "doc_id", "text", "next"))
 
 
 def edited_neighbours(docs: DataFrame) -> DataFrame:
