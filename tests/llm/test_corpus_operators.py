@@ -208,6 +208,25 @@ def test_chat_round_trip(spark):
     assert got[want.columns.tolist()].to_dict() == want.to_dict()
 
 
+def test_helper_columns_do_not_clash(spark):
+    """Operators that keep all columns, on tables that have columns of their helpers' names."""
+    names = "_doc _key _hash _own _id _kept_hash _kept_id __doc key root".split()
+    said = "a passage that is long enough to be taken out of one of two texts, as it stands in both of them, word by word"
+    df = spark.createDataFrame([(i, f"{said} {i}", *range(len(names))) for i in range(3)],
+                               "doc_id long, text string, " + ", ".join(f"{n} int" for n in names)).repartition(2)
+    for out in (repeats.remove(df), simhash.representatives(df)):
+        assert out.columns == df.columns and all(tuple(r)[2:] == tuple(range(len(names))) for r in out.collect())
+
+
+def test_turns_pass_through_every_kind_of_event(spark):
+    rows = [(1, 2, "assistant", "odd"), (1, 1, "user", "é🙂<x"), (1, 2, "assistant", "odd"), (1, None, None, None), (None, 1, "assistant", "")]
+    events = chat.turn_events(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert {r.kind for r in events.select("kind").distinct().collect()} == set(chat.KINDS)
+    got = sorted(((r.conv_id is None, r.at, r.role, r.text) for r in chat.fold(events).collect()))
+    assert got == [(False, 1, "", ""), (False, 2, "user", "é🙂<x"), (False, 3, "assistant", "odd"),
+                   (False, 4, "assistant", "odd"), (True, 1, "assistant", "")]
+
+
 def test_chat_folds_events(spark):
     events = spark.createDataFrame(
         [(1, 1, "message", None, "user", "h<i\\"), (1, 2, "message", None, "assistant", ""), (1, 3, "delta", None, None, "ab"),

@@ -102,9 +102,27 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def turn_events(conversations: DataFrame) -> DataFrame:
-    """Each row of a table of turns as the event that opens a message with its text."""
-    return conversations.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"),
-                                F.lit(None).cast("long").alias("target"), "role", "text")
+    """The rows of a table of turns as the events that a log would hold of them.
+
+    An assistant's turn is streamed in deltas, after a first answer that is regenerated; any other turn is
+    sent unfinished and then edited. Rows are taken by turn, role and text, and null turns first; equal
+    rows are turns of their own.
+    """
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), role, text)
+    rows = conversations.select("conv_id", F.row_number().over(order).cast("long").alias("place"), role.alias("role"), text.alias("text"))
+    half = F.floor(F.char_length("text") / 2).cast("int")
+    first, rest = F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.char_length("text"))
+
+    def event(kind: str, said: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), said.alias("text"))
+
+    streamed = [event("message", F.lit("")), event("delta", rest), event("regenerate", F.lit("")), event("delta", first), event("delta", rest)]
+    sent = [event("message", first), event("edit", F.col("text"))]
+    events = F.when(F.col("role") == "assistant", F.array(*streamed)).otherwise(F.array(*sent))
+    return (rows.select("conv_id", "place", "role", F.posexplode(events).alias("step", "event"))
+            .select("conv_id", (F.col("place") * len(streamed) + F.col("step")).alias("seq"), "event.kind",
+                    F.lit(None).cast("long").alias("target"), "role", "event.text"))
 
 
 def probe(spark: SparkSession) -> DataFrame:

@@ -41,6 +41,14 @@ def documents(docs: DataFrame, *extra: str) -> DataFrame:
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *extra)
 
 
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """Names for helper columns that differ from all that are taken."""
+    used, mark = {c.lower() for c in taken}, "_"
+    while any(mark + n in used for n in names):
+        mark += "_"
+    return [mark + n for n in names]
+
+
 def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """All values of a text column as one run of bytes, and the offset of each value in it."""
     if isinstance(column, pa.ChunkedArray):

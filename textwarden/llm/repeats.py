@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from textwarden.llm.common import documents, flat, ranges, slices
+from textwarden.llm.common import documents, flat, fresh, ranges, slices
 
 LENGTH, KMER = 100, 16
 #: Text of a slice and of a batch, stretches of a bucket, text of a group of documents, and an index, in bytes.
@@ -398,16 +398,17 @@ def _apply(docs: DataFrame, length: int, schema: str | StructType, each) -> Data
     """`each` (Arrow table of rows of `docs`, their texts in bytes, their removed runs), by groups of documents."""
     plain = documents(docs).select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), F.col("text").cast("binary").alias("text"))
     removals, groups = _removals(plain, length)
-    keyed = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)))
-    keyed = keyed.withColumn("_key", -1 - F.pmod(F.shiftrightunsigned(_times(F.col("_doc")), 31), F.lit(groups)))
+    doc, group = fresh(docs.columns, "doc", "key")
+    keyed = docs.withColumn(doc, F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)))
+    keyed = keyed.withColumn(group, -1 - F.pmod(F.shiftrightunsigned(_times(F.col(doc)), 31), F.lit(groups)))
 
     def run(_: tuple, texts: pa.Table, found: pa.Table) -> pa.Table:
         runs, none = _cover(found.column("blob").to_pylist(), length), np.zeros((0, 2), np.int64)
         raw = [t or b"" for t in texts.column("text").cast(pa.binary()).to_pylist()]
-        own = [runs.get((d, zlib.crc32(t)), none) for d, t in zip(texts.column("_doc").to_pylist(), raw, strict=True)]
-        return each(texts.drop_columns(["_doc", "_key"]), raw, own)
+        own = [runs.get((d, zlib.crc32(t)), none) for d, t in zip(texts.column(doc).to_pylist(), raw, strict=True)]
+        return each(texts.drop_columns([doc, group]), raw, own)
 
-    return keyed.groupBy("_key").cogroup(removals.groupBy("key")).applyInArrow(run, schema)
+    return keyed.groupBy(group).cogroup(removals.groupBy("key")).applyInArrow(run, schema)
 
 
 def _times(doc: F.col) -> F.col:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textwarden.llm.common import cut_lineage, documents, slices
+from textwarden.llm.common import cut_lineage, documents, fresh, slices
 
 #: Fingerprints that a bucket should hold, and pairs of nodes that are followed at a time.
 BUCKET = 1 << 15
@@ -230,7 +230,8 @@ def representatives(docs: DataFrame, words: int = 4, seed: int = 42, max_bits: i
               .groupBy("doc_id").agg(F.min("component_id").alias("component")))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash"))
     keep = texts.join(marked, "doc_id").groupBy("component").agg(first.alias("kept")).select("kept.*")
-    keep = keep.select(F.col("id").alias("_id"), F.col("hash").alias("_hash"))
-    own = docs.withColumn("_own", F.sha2(text, 256)).withColumn("_key", F.col("doc_id").cast("long"))
-    return (own.join(keep, F.col("_own").eqNullSafe(F.col("_hash")) & F.col("_key").eqNullSafe(F.col("_id")), "left_semi")
-            .dropDuplicates(["_key", "_own"]).drop("_own", "_key"))
+    a, b, c, d = fresh(docs.columns, "hash", "key", "kept_hash", "kept_id")
+    keep = keep.select(F.col("id").alias(d), F.col("hash").alias(c))
+    own = docs.withColumn(a, F.sha2(text, 256)).withColumn(b, F.col("doc_id").cast("long"))
+    return (own.join(keep, F.col(a).eqNullSafe(F.col(c)) & F.col(b).eqNullSafe(F.col(d)), "left_semi")
+            .dropDuplicates([a, b]).drop(a, b))
