@@ -166,14 +166,40 @@ FROM t LEFT JOIN {source} AS z ON z.id = t.id GROUP BY t.id"""
 
 # ---- derived inputs -----------------------------------------------------------------------
 
-REQUESTS = (f"{CHATS}, rq AS (SELECT conv_id || ':' || turn AS request_id, "
-            f"(((conv_id + turn) % {REQUEST_KINDS}) + {REQUEST_KINDS}) % {REQUEST_KINDS} AS kind, "
-            f"text FROM c)")
-FLATTENED = ("CASE kind WHEN 1 THEN '' WHEN 2 THEN ' ' || text || ' ' WHEN 3 THEN 'None ' || text || ' ' "
-             "WHEN 4 THEN text || ' tail ' WHEN 5 THEN '5 ' || text || ' ' WHEN 7 THEN text || ' ' || text || ' ' "
-             "ELSE text || ' ' END")
-RESPONSES = (f"{CHATS}, rs AS (SELECT conv_id || ':' || turn AS request_id, conv_id, "
-             f"(((conv_id + turn) % 5) + 5) % 5 AS kind, text FROM c WHERE role = 'assistant')")
+_message = "json_object('role', role, 'content', text)::VARCHAR"
+_body = f"""CASE kind WHEN 0 THEN '{{"messages": [' || m WHEN 1 THEN '{{"messages": [], "draft": ' || m || '}}'
+  WHEN 2 THEN '{{"messages": [{{"role": "user"}}, ' || m || ']}}'
+  WHEN 3 THEN '{{"messages": [{{"role": "user", "content": null}}, ' || m || ']}}'
+  WHEN 4 THEN '{{"messages": [{{"role": "user", "content": [{{"type": "text", "text": ' || to_json(text)::VARCHAR
+    || '}}, "tail", {{"type": "image"}}]}}]}}'
+  WHEN 5 THEN '{{"messages": [{{"role": "user", "content": 5}}, ' || m || ']}}'
+  WHEN 6 THEN '{{"temperature": 2.5, "max_tokens": 0, "top_p": -0.1, "messages": [' || m || ']}}'
+  WHEN 7 THEN '{{"model": "m1", "temperature": 0.2, "max_tokens": 50, "top_p": 0.5, "stream": true, "messages": ['
+    || m || ', ' || m || ']}}' ELSE '{{"messages": [' || m || ']}}' END"""
+# The bodies again, and what DuckDB reads in them: `request` is null where the body is no JSON.
+REQUESTS = (f"{CHATS}, rq AS (SELECT request_id, kind, text, body, CASE WHEN json_valid(body) THEN body::JSON END AS request "
+            f"FROM (SELECT *, {_body} AS body FROM (SELECT conv_id || ':' || turn AS request_id, "
+            f"(((conv_id + turn) % {REQUEST_KINDS}) + {REQUEST_KINDS}) % {REQUEST_KINDS} AS kind, text, {_message} AS m FROM c)))")
+_messages = "json_extract(request, '$.messages[*]')"
+FLATTENED = f"""array_to_string(list_transform({_messages}, lambda x: CASE coalesce(json_type(x, '$.content'), 'absent')
+  WHEN 'absent' THEN ' ' WHEN 'NULL' THEN 'None ' WHEN 'ARRAY' THEN array_to_string(list_transform(
+    json_extract(x, '$.content[*]'), lambda y: CASE json_type(y) WHEN 'VARCHAR' THEN (y->>'$') || ' '
+      WHEN 'OBJECT' THEN coalesce((y->>'$.text') || ' ', '') ELSE '' END), '')
+  ELSE (x->>'$.content') || ' ' END), '')"""
+_all_text = f"""len(list_filter({_messages}, lambda x: coalesce(json_type(x, '$.content'), 'VARCHAR') <> 'VARCHAR')) = 0"""
+_joined_text = f"array_to_string(list_transform({_messages}, lambda x: coalesce(x->>'$.content', '') || ' '), '')"
+_bad_message = f"""len(list_filter({_messages}, lambda x: coalesce(json_type(x, '$.role'), '') <> 'VARCHAR'
+  OR coalesce(json_type(x, '$.content'), '') <> 'VARCHAR')) > 0"""
+_answer = "json_object('role', 'assistant', 'content', text)::VARCHAR"
+_reply = f"""CASE kind WHEN 0 THEN '{{"id": "r' || conv_id || '", "object": "chat.completion", "created": 17, "model": "m1",
+    "choices": [{{"index": 1, "message": ' || m || ', "finish_reason": "stop"}}],
+    "usage": {{"prompt_tokens": 3, "completion_tokens": 4, "total_tokens": 7}}}}'
+  WHEN 1 THEN '{{"choices": [{{"message": ' || m || '}}]}}'
+  WHEN 2 THEN '{{"choices": [{{"finish_reason": "length", "draft": ' || m || '}}], "usage": {{"prompt_tokens": 9}}}}'
+  WHEN 3 THEN '{{"draft": ' || m || '}}' ELSE '{{"choices": [{{"message": ' || m END"""
+RESPONSES = (f"{CHATS}, rs AS (SELECT request_id, CASE WHEN json_valid(body) THEN body::JSON END AS r FROM ("
+             f"SELECT *, {_reply} AS body FROM (SELECT conv_id || ':' || turn AS request_id, conv_id, "
+             f"(((conv_id + turn) % 5) + 5) % 5 AS kind, {_answer} AS m FROM c WHERE role = 'assistant')))")
 ENTITIES = span_rows([(i, kind, "", 0, "", type("P", (), {"regex": regex, "ignore_case": False}))
                       for i, (kind, regex, _) in enumerate(ENTITY_FEED)]) + (
     ",\ne AS (SELECT id, text, type AS entity_type, (50 + st % 10 * 5) / 100.0::DOUBLE AS score, "
@@ -231,44 +257,44 @@ _BLOCKED = "'Request blocked due to security policy violations'"
 
 ORACLES = {
     "parse_requests": f"""WITH {REQUESTS} SELECT request_id,
-        (CASE WHEN kind = 0 THEN 400 ELSE 200 END)::INT AS status,
-        CASE WHEN kind = 0 THEN {_INVALID} END AS error FROM rq""",
-    "validate_requests": f"""WITH {REQUESTS} SELECT request_id,
-        CASE WHEN kind = 7 THEN 'm1' ELSE 'deepseek-chat' END AS model,
-        (CASE WHEN kind IN (0, 1) THEN 0 WHEN kind IN (2, 3, 5, 7) THEN 2 ELSE 1 END)::BIGINT AS n_messages,
-        (CASE kind WHEN 6 THEN 2.5 WHEN 7 THEN 0.2 ELSE 0.7 END)::DOUBLE AS temperature,
-        (CASE kind WHEN 6 THEN 0 WHEN 7 THEN 50 ELSE 1000 END)::BIGINT AS max_tokens,
-        (CASE kind WHEN 6 THEN -0.1 WHEN 7 THEN 0.5 ELSE 1.0 END)::DOUBLE AS top_p,
-        kind = 7 AS stream,
-        CASE kind WHEN 0 THEN {_INVALID} WHEN 6 THEN 'temperature,max_tokens,top_p'
-          WHEN 2 THEN 'message' WHEN 3 THEN 'message' WHEN 4 THEN 'message' WHEN 5 THEN 'message'
-          ELSE '' END AS reject_reason FROM rq""",
+        (CASE WHEN request IS NULL THEN 400 ELSE 200 END)::INT AS status,
+        CASE WHEN request IS NULL THEN {_INVALID} END AS error FROM rq""",
+    "validate_requests": f"""WITH {REQUESTS}, v AS (SELECT request_id, request,
+          coalesce(request->>'$.model', 'deepseek-chat') AS model, coalesce(len({_messages}), 0)::BIGINT AS n_messages,
+          coalesce((request->>'$.temperature')::DOUBLE, 0.7) AS temperature,
+          coalesce((request->>'$.max_tokens')::BIGINT, 1000) AS max_tokens,
+          coalesce((request->>'$.top_p')::DOUBLE, 1.0) AS top_p,
+          coalesce((request->>'$.stream')::BOOLEAN, false) AS stream, {_bad_message} AS bad FROM rq)
+        SELECT * EXCLUDE (request, bad), array_to_string(list_filter([CASE WHEN request IS NULL THEN {_INVALID} END,
+          CASE WHEN bad THEN 'message' END, CASE WHEN temperature NOT BETWEEN 0 AND 2 THEN 'temperature' END,
+          CASE WHEN max_tokens NOT BETWEEN 1 AND 4000 THEN 'max_tokens' END,
+          CASE WHEN top_p NOT BETWEEN 0 AND 1 THEN 'top_p' END], lambda z: z IS NOT NULL), ',') AS reject_reason FROM v""",
     "reject_empty": f"""WITH {REQUESTS} SELECT request_id,
-        (CASE WHEN kind IN (0, 1) THEN 400 ELSE 200 END)::INT AS status,
-        CASE kind WHEN 0 THEN {_INVALID} WHEN 1 THEN 'No messages provided' END AS error FROM rq""",
+        (CASE WHEN request IS NULL OR len({_messages}) = 0 THEN 400 ELSE 200 END)::INT AS status,
+        CASE WHEN request IS NULL THEN {_INVALID} WHEN len({_messages}) = 0 THEN 'No messages provided' END AS error FROM rq""",
     "concat_messages_space": f"""WITH {joined()} SELECT id AS conv_id, n_messages, text FROM t""",
     "concat_messages_newline": f"""WITH {joined('chr(10)')}
         SELECT id AS conv_id, n_messages, text FROM t""",
     "flatten_multimodal": f"""WITH {REQUESTS} SELECT request_id, {FLATTENED} AS text
-        FROM rq WHERE kind <> 0""",
+        FROM rq WHERE request IS NOT NULL""",
     "error_rows": f"""WITH {REQUESTS} SELECT request_id,
-        (CASE WHEN kind = 0 THEN 400 WHEN kind IN (3, 4, 5) THEN 500 ELSE 200 END)::INT AS status,
-        CASE WHEN kind = 0 THEN {_INVALID} WHEN kind IN (3, 4, 5) THEN 'Internal error' END AS error,
-        CASE WHEN kind NOT IN (0, 3, 4, 5) THEN length({FLATTENED}) END::BIGINT AS n_chars FROM rq""",
-    "normalize_responses": f"""WITH {RESPONSES} SELECT request_id, 200::INT AS status, NULL::VARCHAR AS error,
-        CASE WHEN kind = 0 THEN 'r' || conv_id ELSE 'resp-' || request_id END AS id,
-        'chat.completion' AS object, (CASE WHEN kind = 0 THEN 17 ELSE 0 END)::BIGINT AS created,
-        CASE WHEN kind = 0 THEN 'm1' ELSE 'deepseek-chat' END AS model,
-        (CASE WHEN kind = 3 THEN 0 ELSE 1 END)::BIGINT AS n_choices,
-        (CASE kind WHEN 0 THEN 1 WHEN 3 THEN NULL ELSE 0 END)::INT AS choice_index,
-        CASE WHEN kind <> 3 THEN 'assistant' END AS role,
-        CASE WHEN kind IN (0, 1) THEN text WHEN kind = 2 THEN '' END AS content,
-        CASE kind WHEN 0 THEN 'stop' WHEN 2 THEN 'length' END AS finish_reason,
-        (CASE kind WHEN 0 THEN 3 WHEN 2 THEN 9 ELSE 0 END)::INT AS prompt_tokens,
-        (CASE kind WHEN 0 THEN 4 ELSE 0 END)::INT AS completion_tokens,
-        (CASE kind WHEN 0 THEN 7 ELSE 0 END)::INT AS total_tokens FROM rs WHERE kind <> 4
+        (CASE WHEN request IS NULL THEN 400 WHEN NOT {_all_text} THEN 500 ELSE 200 END)::INT AS status,
+        CASE WHEN request IS NULL THEN {_INVALID} WHEN NOT {_all_text} THEN 'Internal error' END AS error,
+        CASE WHEN request IS NOT NULL AND {_all_text} THEN length({_joined_text}) END::BIGINT AS n_chars FROM rq""",
+    "normalize_responses": f"""WITH {RESPONSES}, n AS (SELECT *, json_extract(r, '$.choices[0]') AS f FROM rs)
+        SELECT request_id, 200::INT AS status, NULL::VARCHAR AS error,
+          coalesce(r->>'$.id', 'resp-' || request_id) AS id, coalesce(r->>'$.object', 'chat.completion') AS object,
+          coalesce((r->>'$.created')::BIGINT, 0) AS created, coalesce(r->>'$.model', 'deepseek-chat') AS model,
+          coalesce(len(json_extract(r, '$.choices[*]')), 0)::BIGINT AS n_choices,
+          CASE WHEN f IS NOT NULL THEN coalesce((f->>'$.index')::INT, 0) END AS choice_index,
+          CASE WHEN f IS NOT NULL THEN coalesce(f->>'$.message.role', 'assistant') END AS role,
+          CASE WHEN f IS NOT NULL THEN coalesce(f->>'$.message.content', '') END AS content,
+          f->>'$.finish_reason' AS finish_reason,
+          coalesce((r->>'$.usage.prompt_tokens')::INT, 0) AS prompt_tokens,
+          coalesce((r->>'$.usage.completion_tokens')::INT, 0) AS completion_tokens,
+          coalesce((r->>'$.usage.total_tokens')::INT, 0) AS total_tokens FROM n WHERE r IS NOT NULL
         UNION ALL SELECT request_id, 500, 'Internal error', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL,
-          NULL, NULL, NULL, NULL FROM rs WHERE kind = 4""",
+          NULL, NULL, NULL, NULL FROM rs WHERE r IS NULL""",
     "sse_lines": f"""WITH {CHATS},
         l AS (SELECT conv_id AS stream_id, turn * 3 + pos AS seq, CASE pos
             WHEN 0 THEN 'data: ' || replace(text, chr(10), ' ')
@@ -280,19 +306,16 @@ ORACLES = {
           OVER (PARTITION BY stream_id) AS done FROM n)
         SELECT stream_id, seq::BIGINT AS seq, line FROM z
         WHERE starts_with(line, 'data: ') AND (done IS NULL OR seq <= done)""",
-    "enrich_responses": f"""WITH RECURSIVE {REQUESTS.replace('rq AS', 'rq0 AS')},
-        rs AS (SELECT conv_id || ':' || turn AS request_id, conv_id,
-          (((conv_id + turn) % 5) + 5) % 5 AS kind FROM c WHERE role = 'assistant'),
-        t AS (SELECT request_id AS id, {FLATTENED} AS text FROM rq0 WHERE kind <> 0),
-        {findings("presidio")}, {RESOLVE},
-        n AS (SELECT t.id, count(r.id) AS n, coalesce(string_agg(DISTINCT r.type, ',' ORDER BY r.type), '') AS types
-          FROM t LEFT JOIN r ON r.id = t.id GROUP BY t.id)
-        SELECT request_id,
-          CASE WHEN kind = 0 THEN 'r' || conv_id ELSE 'resp-' || request_id END AS id,
+    "enrich_responses": f"""WITH RECURSIVE {REQUESTS}, rs{RESPONSES.partition(", rs")[2]},
+        t AS (SELECT request_id AS id, {FLATTENED} AS text FROM rq WHERE request IS NOT NULL),
+        {findings("presidio")}, {RESOLVE.replace("r AS (SELECT", "resolved AS (SELECT")},
+        n AS (SELECT t.id, count(z.id) AS n, coalesce(string_agg(DISTINCT z.type, ',' ORDER BY z.type), '') AS types
+          FROM t LEFT JOIN resolved z ON z.id = t.id GROUP BY t.id)
+        SELECT request_id, coalesce(rs.r->>'$.id', 'resp-' || request_id) AS id,
           coalesce(n.n, 0)::BIGINT AS issues_detected, 'low' AS risk_level,
           '3.0.0-presidio' AS gateway_version, n.types AS issue_types,
           '[Security: ' || coalesce(n.n, 0) || ' issues detected, request allowed] ' AS stream_prefix
-        FROM rs LEFT JOIN n ON n.id = rs.request_id WHERE kind <> 4""",
+        FROM rs LEFT JOIN n ON n.id = rs.request_id WHERE rs.r IS NOT NULL""",
     "request_log": f"""{resolved("enhanced", joined())}
         SELECT t.id AS conv_id, any_value(n_messages) AS n_messages,
           length(any_value(text)) AS content_length, count(type) AS issue_count,
@@ -304,10 +327,9 @@ ORACLES = {
         strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS timestamp, event_id, event_type FROM events""",
     "audit_trail": """SELECT CASE event_id % 2 WHEN 0 THEN 'even' ELSE 'odd' END AS batch, strftime(ts, '%Y-%m-%d') AS date,
         strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS timestamp, event_id FROM events""",
-    "request_lines": f"""WITH {REQUESTS} SELECT request_id, CASE WHEN kind = 7 THEN 'm1' END AS model,
-          (CASE kind WHEN 1 THEN 0 WHEN 2 THEN 2 WHEN 3 THEN 2 WHEN 5 THEN 2 WHEN 7 THEN 2 ELSE 1 END)::BIGINT AS n
-        FROM rq WHERE kind <> 0
-        UNION ALL SELECT 'set aside', NULL, count(*) FROM rq WHERE kind = 0""",
+    "request_lines": f"""WITH {REQUESTS} SELECT request_id, request->>'$.model' AS model, len({_messages})::BIGINT AS n
+        FROM rq WHERE request IS NOT NULL
+        UNION ALL SELECT 'set aside', NULL, count(*) FROM rq WHERE request IS NULL""",
     "rule_catalogue": f"WITH {TEXTS}, " + "n AS (" + " UNION ALL ".join(
         f"SELECT {q(k)} AS pattern, count(*) FILTER ({search(p)}) AS n_texts FROM t"
         for k, p in PATTERNS.items()) + "), r(profile, rule_ord, rule, pattern, confidence, severity) "
