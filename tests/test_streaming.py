@@ -93,8 +93,9 @@ def in_order(spark, path):
 
 
 @pytest.mark.parametrize("seconds", [60, 3600, 7200])
-def test_sliding_quota_equals_batch(spark, tmp_path, seconds):
+def test_sliding_quota_equals_batch(spark, tmp_path, monkeypatch, seconds):
     """Bursts over borders of stretches, a busy user, and events that come out of order within the lateness."""
+    monkeypatch.setattr(stateful, "STRETCH_SECONDS", 3600)
     path = str(tmp_path / "events")
     early = [(1, t) for t in (0, 10, 59, 60, 61, 3599, 3600.5, 3601)] + [(2, t / 7) for t in range(200)]
     mixed = [(1, t) for t in (3590, 3659, 3660, 7200, 4000, 10800)] + [(3, 7199), (3, 7201), (None, 5)]

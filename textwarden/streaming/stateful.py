@@ -20,8 +20,10 @@ from textwarden.streaming.monitor import LATENESS, RATE_WINDOW_SECONDS, with_eve
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-# Rows of a window are dealt to so many keys, so that one busy window is not one task.
-SHARDS = 16
+# Rows of a window are dealt to so many keys, so that one busy window is not one task; a busy stream takes more.
+SHARDS = 4
+# A key holds so many seconds of a user at most: each key costs a few calls, each second a row.
+STRETCH_SECONDS = 30 * 86400
 
 
 @contextmanager
@@ -90,7 +92,7 @@ def sliding_quota(events: DataFrame, quota: int, seconds: int = RATE_WINDOW_SECO
     stretch looks back to goes to both. Events may come out of order up to ``lateness``; a row is
     written when the watermark passes its second and never changes.
     """
-    span = max(3600, seconds)
+    span = max(STRETCH_SECONDS, seconds)
     counted = (with_event_time(events).withWatermark("ts", lateness)
                .groupBy("user_id", F.window("ts", "1 second").alias("w")).agg(F.count("*").alias("n"))
                .select("user_id", F.unix_seconds("w.start").alias("second"), "n"))
@@ -137,7 +139,8 @@ class AccountedWindows(StatefulProcessor):
         pass
 
 
-def accounted_windows(events: DataFrame, every: str = "1 minute", lateness: str = LATENESS) -> DataFrame:
+def accounted_windows(events: DataFrame, every: str = "1 minute", lateness: str = LATENESS,
+                      shards: int = SHARDS) -> DataFrame:
     """Every event of a stream, in a window's sums or as a late row of its own.
 
     Rows with ``late`` false are sums over the events that came before the watermark passed the end of
@@ -149,7 +152,7 @@ def accounted_windows(events: DataFrame, every: str = "1 minute", lateness: str
     marked = timed.withWatermark("ts", lateness).withColumn("w", F.window("ts", every))
     # times as numbers: a column that is tied to the watermark would lose its late rows on the way
     keyed = marked.select(
-        F.unix_millis("w.end").alias("end_ms"), F.expr(f"pmod(xxhash64(row), {SHARDS})").alias("shard"),
+        F.unix_millis("w.end").alias("end_ms"), F.expr(f"pmod(xxhash64(row), {shards})").alias("shard"),
         "event_type", F.col("value").cast("double").alias("value"), "row")
     return (keyed.groupBy("shard", "end_ms").transformWithStateInPandas(
         AccountedWindows(),
