@@ -33,7 +33,7 @@ from textwarden.llm.common import cut_lineage, distinct, flat, slices
 BREAKS, BLANKS = b".,;:!?\x0a\x0b\x0c\x0d", b"\x20\x09"
 #: Text whose n-grams are counted at a time, text that a bucket of fingerprints stands for, and text in
 #: which one task reads phrases.
-SLICE_BYTES, BUCKET_BYTES, READ_BYTES = 5 << 20, 12 << 20, 48 << 20
+SLICE_BYTES, BUCKET_BYTES, READ_BYTES = 5 << 20, 12 << 20, 128 << 20
 #: Bits of a fingerprint; more bits mean fewer rare phrases that are read in vain, results are the same.
 PRINT_BITS = 48
 #: The bitmaps of frequent pairs hold at most so many bits together (64 MB are broadcast at most).
@@ -41,8 +41,9 @@ MAP_BITS = 1 << 29
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _COUNT = np.dtype([("print", "<u8"), ("count", "<u4")])
-_ENTRY = np.dtype([("print", "<u8"), ("count", "<u4"), ("n", "u1"), ("at", "<u4"), ("length", "<u4")])
-_POINTER = np.dtype([("n", "u1"), ("at", "<u4"), ("length", "<u4"), ("count", "<u4")])
+_ENTRY = np.dtype([("print", "<u8"), ("count", "<u4"), ("n", "u1"), ("at", "<u4")])
+#: A phrase of `n` words in a slice, by the number of its first word there.
+_POINTER = np.dtype([("n", "u1"), ("at", "<u4"), ("count", "<u4")])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _KIND = np.zeros(256, np.uint8)
@@ -78,20 +79,23 @@ def _polynomials(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sums, powers(_INVERSE)
 
 
+def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of the texts in `data` start and end."""
+    word = _KIND[data] == 0
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    before = np.concatenate([[False], word[:-1]])
+    after = np.concatenate([word[1:], [False]])
+    return np.flatnonzero(word & (~before | edge[:-1])), np.flatnonzero(word & (~after | edge[1:])) + 1
+
+
 class Words:
     """The words of the texts in `data`: places, pieces, exact numbers within the slice, hashes."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        kind = _KIND[data]
-        word = kind == 0
-        edge = np.zeros(len(data) + 1, bool)
-        edge[offsets] = True
-        before = np.concatenate([[False], word[:-1]])
-        after = np.concatenate([word[1:], [False]])
-        self.start = np.flatnonzero(word & (~before | edge[:-1]))
-        self.end = np.flatnonzero(word & (~after | edge[1:])) + 1
+        self.start, self.end = word_bounds(data, offsets)
         self.doc = np.searchsorted(offsets, self.start, "right") - 1
-        self.piece = np.cumsum(kind == 2)[self.start] + self.doc
+        self.piece = np.cumsum(_KIND[data] == 2)[self.start] + self.doc
         if not len(self.start):
             self.id, self.hash = np.zeros(0, np.int32), np.zeros(0, np.uint64)
             return
@@ -166,8 +170,7 @@ def _count(words: Words, n: int, at: np.ndarray, prints: np.ndarray, lang: np.nd
             same &= words.id[place + k] == words.id[like + k]
         rows = np.zeros(len(first), _ENTRY)
         rows["print"], rows["count"], rows["n"] = ordered[first], np.add.reduceat(same.astype(np.int64), first), n
-        rows["at"] = words.start[lead]
-        rows["length"] = words.end[lead + n - 1] - words.start[lead]
+        rows["at"] = lead
         found.append(rows)
         at, prints = place[~same], ordered[~same]
     return np.concatenate(found) if found else np.zeros(0, _ENTRY)
@@ -320,14 +323,14 @@ def _read(packed: DataFrame, pointers: DataFrame, tasks: int) -> DataFrame:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 data, offsets, langs, codes = _unpacked(row)
-                raw = data.tobytes()
+                raw, (start, end) = data.tobytes(), word_bounds(data, offsets)
                 found: Counter = Counter()
                 for part in row["parts"]:
                     rows = _spread(part["pointers"], part["n"], _POINTER)
-                    at = rows["at"].astype(np.int64)
-                    lang = codes[np.searchsorted(offsets, at, "right") - 1]
-                    for code, n, a, b, count in zip(lang.tolist(), rows["n"].tolist(), at.tolist(),
-                                                    (at + rows["length"]).tolist(), rows["count"].tolist(), strict=True):
+                    at, n = rows["at"].astype(np.int64), rows["n"]
+                    lang = codes[np.searchsorted(offsets, start[at], "right") - 1]
+                    for code, n, a, b, count in zip(lang.tolist(), n.tolist(), start[at].tolist(),
+                                                    end[at + n - 1].tolist(), rows["count"].tolist(), strict=True):
                         phrase = raw[a:b]
                         if n > 1 and phrase.count(b" ") != n - 1 or b"\t" in phrase:
                             phrase = b" ".join(x for x in phrase.replace(b"\t", b" ").split(b" ") if x)
