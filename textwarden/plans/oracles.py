@@ -354,6 +354,8 @@ ORACLES = {
         SELECT id AS doc_id, st AS start_pos, en AS end_pos, hit,
           len(string_split(hit, '@')) = 2 AND string_split(hit, '@')[1] <> ''
           AND contains(string_split(hit, '@')[2], '.') AS valid FROM s""",
+    "least_confidence": f"""WITH {TEXTS}, {findings("presidio")}
+        SELECT id AS doc_id, type, conf AS confidence, st AS start_pos FROM f WHERE conf >= 0.8""",
     "finding_context": f"""WITH {TEXTS}, {findings("simple")}
         SELECT id AS doc_id, type, st AS start_pos, context FROM f""",
     "context_decay": f"""WITH {TEXTS}, {findings("advanced")}

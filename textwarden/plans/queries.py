@@ -211,6 +211,13 @@ def scan_function(spark, sf_dir):
         WHERE f.type IS NOT NULL""")
 
 
+@query("least_confidence")
+def least_confidence(spark, sf_dir, least: float = 0.8):
+    """Findings of a minimum confidence."""
+    sure = scan.at_least(scanned(spark, sf_dir, "presidio"), least)
+    return scan.explode_findings(sure, "doc_id").select("doc_id", "type", "confidence", "start_pos")
+
+
 @query("rule_catalogue")
 def rule_catalogue(spark, sf_dir):
     """All rule rows of all profiles with the number of texts their pattern is in;

@@ -110,6 +110,11 @@ def _as_text(value: str) -> str:
         ELSE coalesce(try_cast({value} AS string), to_json({value})) END"""
 
 
+#: The content of each message and its kind, read once for all uses.
+_CONTENTS = (f"transform(transform(coalesce({_MESSAGES}, array()), m -> {_CONTENT}), "
+             "c -> struct(c AS value, schema_of_variant(c) AS kind))")
+
+
 def flattened_text(separator: str = " ") -> Column:
     """Text of all messages of ``request`` where content may be a string, a list
     of parts (objects with ``text`` and strings count), or any other value."""
@@ -117,23 +122,20 @@ def flattened_text(separator: str = " ") -> Column:
     part = f"""CASE WHEN schema_of_variant(p) = 'STRING' THEN cast(p AS string) || {sep}
         WHEN schema_of_variant(p) LIKE 'OBJECT%'
         THEN coalesce(try_variant_get(p, '$.text', 'string') || {sep}, '') ELSE '' END"""
-    return F.expr(f"""array_join(transform(coalesce({_MESSAGES}, array()), m -> CASE
-        WHEN {_CONTENT} IS NULL THEN {sep}
-        WHEN schema_of_variant({_CONTENT}) = 'STRING' THEN cast({_CONTENT} AS string) || {sep}
-        WHEN schema_of_variant({_CONTENT}) LIKE 'ARRAY%'
-        THEN array_join(transform(cast({_CONTENT} AS array<variant>), p -> {part}), '')
-        ELSE {_as_text(_CONTENT)} || {sep} END), '')""")
+    return F.expr(f"""array_join(transform({_CONTENTS}, x -> CASE
+        WHEN x.value IS NULL THEN {sep}
+        WHEN x.kind = 'STRING' THEN cast(x.value AS string) || {sep}
+        WHEN x.kind LIKE 'ARRAY%' THEN array_join(transform(cast(x.value AS array<variant>), p -> {part}), '')
+        ELSE {_as_text("x.value")} || {sep} END), '')""")
 
 
 def plain_text(separator: str = " ") -> Column:
     """Text of all messages where only string content (or none) is understood;
     null when a message holds anything else."""
     sep = "'\\n'" if separator == "\n" else f"'{separator}'"
-    bad = (f"exists(coalesce({_MESSAGES}, array()), m -> {_CONTENT} IS NOT NULL "
-           f"AND schema_of_variant({_CONTENT}) <> 'STRING')")
-    joined = (f"array_join(transform(coalesce({_MESSAGES}, array()), m -> "
-              f"coalesce(cast({_CONTENT} AS string), '') || {sep}), '')")
-    return F.expr(f"CASE WHEN NOT {bad} THEN {joined} END")
+    return F.expr(f"""get(transform(array({_CONTENTS}), all -> CASE
+        WHEN NOT exists(all, x -> x.value IS NOT NULL AND x.kind <> 'STRING')
+        THEN array_join(transform(all, x -> coalesce(cast(x.value AS string), '') || {sep}), '') END), 0)""")
 
 
 def request_texts(parsed: DataFrame, multimodal: bool = False, separator: str = " ") -> DataFrame:
