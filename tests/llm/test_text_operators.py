@@ -1,6 +1,7 @@
 """BPE, secrets, toxicity, quality rules: against the library, definitions and held-out labels."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -154,3 +155,74 @@ def test_toxicity_restores_and_ranks(spark):
     assert sum(r.predicted == truth[r.doc_id] for r in held) / len(held) > 0.95
     none = toxicity.judge(table(spark, texts[:3]), spark.createDataFrame([], "doc_id long, toxic int")).collect()
     assert [r.predicted for r in none] == [0, 0, 0]
+
+
+def brute_entropy(text):
+    """Entropy spans from a fresh count in every window, and the base spans that cover some of them."""
+    out = []
+    for m in re.finditer(secrets.CANDIDATE, text):
+        word = m.group()
+        if not re.search(secrets._MIXED, word) or not re.search("[A-Za-z]", word) or any(re.search(a, word) for a in secrets.ALLOW):
+            continue
+        least = secrets.THRESHOLDS["hex" if re.fullmatch("[0-9a-fA-F]+", word) else "mixed"]
+        hot = [i for i in range(len(word) - secrets.WINDOW + 1)
+               if -sum(n / secrets.WINDOW * math.log2(n / secrets.WINDOW) for n in Counter(word[i:i + secrets.WINDOW]).values()) >= least - 1e-12]
+        if hot:
+            out.append((m.start() + hot[0], m.start() + hot[-1] + secrets.WINDOW))
+    return out
+
+
+def test_entropy_spans_equal_a_recount(spark):
+    rng = random.Random(12)
+    texts = []
+    for _ in range(300):
+        alphabet = rng.choice(["0123456789abcdef", "abcXYZ0123456789+/_-", "ab1", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"])
+        texts.append(" ".join("".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 70))) for _ in range(rng.randrange(6))))
+    for r in secrets.report(table(spark, texts)).collect():
+        spans = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in r.spans.split(",") if x)]
+        base = [(a, b) for k, a, b in spans if k != "entropy"]
+        want = [(a, b) for a, b in brute_entropy(texts[r.doc_id]) if not any(x <= a and y >= b for x, y in base)]
+        assert [(a, b) for k, a, b in spans if k == "entropy"] == want
+
+
+def test_quality_learns_from_labels(spark):
+    import numpy as np
+
+    rng = random.Random(5)
+    vocabulary = [f"word{i}" for i in range(400)]
+    texts, labels = [], []
+    for i in range(400):
+        good = i % 2
+        words = [rng.choice(vocabulary if good else vocabulary[:40]) + ("" if good else rng.choice(["", "#", "$$", "!"])) for _ in range(120)]
+        texts.append("\n".join(" ".join(words[k:k + 12]) for k in range(0, 120, 12)))
+        labels.append((i, good))
+    docs, known = table(spark, texts + texts[:1]), spark.createDataFrame(labels[::2] + labels[1::4], "doc_id long, quality int")
+    out = quality.judge(docs, known)
+    assert out.columns == ["doc_id", *quality.COUNTS, "base_failed", "kept", "score"]
+    rows = {r.doc_id: r for r in out.collect()}
+    truth = dict(labels)
+    assert sum(r.kept == bool(truth.get(i, truth[0])) for i, r in rows.items()) > 0.97 * len(rows)
+    model = quality.train(docs, known)
+    x = np.array([r.features for r in quality.measured(docs, model).collect()])
+
+    def walk(features, node):
+        for _ in range(quality.DEPTH):
+            node = model.left[node] if features[model.feature[node]] <= model.threshold[node] else model.right[node]
+        return model.value[node]
+
+    want = [1 / (1 + math.exp(-(model.start + sum(walk(f, root) for root in model.roots)))) for f in x]
+    assert np.allclose(model.score(x), want)
+    lines, symbols = texts[0].split("\n"), sum(c in "#*$%&|<>" for c in texts[0])
+    assert (rows[0].n_symbols, rows[0].n_dup_lines) == (symbols, len(lines) - len(set(lines)))
+
+
+def test_empty_tables_and_repeated_rows(spark):
+    labels = spark.createDataFrame([(0, 1, 1)], "doc_id long, toxic int, quality int")
+    ways = {"toxicity": lambda d: toxicity.judge(d, labels), "quality": lambda d: quality.judge(d, labels),
+            "bpe": lambda d: bpe.round_trip(d, PATH), "secrets": secrets.report,
+            "packing": lambda d: packing.pack(packing.pieces(d, PATH))}
+    rows = [(1, "one text"), (1, "one text"), (1, "another"), (None, None), (None, None)]
+    docs = spark.createDataFrame([(*r, 9) for r in rows], "doc_id long, text string, n_words int").repartition(2)
+    for name, way in ways.items():
+        assert way(docs.where("false")).collect() == [], name
+        assert sorted(r.doc_id or 0 for r in way(docs).collect()) == [0, 0, 1, 1, 1], name
