@@ -120,7 +120,7 @@ def test_sql_functions(spark):
 def test_merging_in_a_row_equals_merging_tables(spark, profile):
     rng = random.Random(8)
     text = "John Smith wrote a@b.com, 555-123-4567 or /src/app in git; card 4111 1111 1111 1111 " * 3
-    texts = spark.createDataFrame([(i, text[i:], 1) for i in range(40)] + [(99, None, 1), (98, "", 1)], "doc_id long, text string, _folds int")
+    texts = spark.createDataFrame([(i, text[i:], 1) for i in range(40)] + [(99, None, 1), (98, "", 1)], "doc_id long, text string, _entities int")
     found = [(i, rng.choice(["PERSON", "URL", "NRP", "DATE_TIME", "EMAIL_ADDRESS", "US_SSN"]), rng.choice([.5, .7, .85, .99]), a, a + rng.randrange(1, 25))
              for i in range(40) for a in (rng.randrange(150) for _ in range(12))]
     ents = spark.createDataFrame(found * 2 + [(7, "URL", .9, 0, 5), (1234, "URL", .9, 0, 5)],
@@ -129,7 +129,7 @@ def test_merging_in_a_row_equals_merging_tables(spark, profile):
     own = scan.explode_findings(scan.scan(texts.select("doc_id", "text"), profile), "doc_id")
     want = resolve.resolve_table(external.unionByName(own), "doc_id")
     rows = entities.merged(ents, texts, profile)
-    assert rows.columns == ["doc_id", "text", "_folds", "findings"] and rows.count() == 42
+    assert rows.columns == ["doc_id", "text", "_entities", "findings"] and rows.count() == 42
     got = entities.merged_findings(ents, texts, profile)
     assert sorted(map(repr, got.select(want.columns).collect())) == sorted(map(repr, want.collect()))
 

@@ -136,11 +136,14 @@ def merged(entities: DataFrame, texts: DataFrame, profile: str | Profile = "pres
     one of the texts, nothing stored. The fold over a long list works in blocks.
     """
     profile = profile_of(profile)
+    own = "_entities"
+    while own in texts.columns:
+        own = f"_{own}"
     packed = _kept_types(entities, profile).groupBy(key).agg(F.collect_set(F.struct(
-        "start_pos", "end_pos", F.lower("entity_type").alias("type"), "entity_type", "score")).alias("_entities"))
+        "start_pos", "end_pos", F.lower("entity_type").alias("type"), "entity_type", "score")).alias(own))
     found = scan(texts.join(packed, key, "left"), profile)
-    both = f"concat({_external_sql(profile)}, findings)"
-    return found.withColumn("findings", F.expr(survivors(both))).drop("_entities")
+    both = f"concat({_external_sql(profile, entities=own)}, findings)"
+    return found.withColumn("findings", F.expr(survivors(both))).drop(own)
 
 
 def merged_findings(entities: DataFrame, texts: DataFrame, profile: str | Profile = "presidio",
