@@ -77,7 +77,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def in_blocks(docs: DataFrame) -> DataFrame:
-    """`docs` with a `tie` (a hash of the text) and blocks: `zone` and `block` in it, in the order of ids, then ties.
+    """`docs` with a `tie` (a hash of the text), a `zone` and a `block` in it, both in the order of ids, then ties.
 
     Quantiles cut the ids into zones: each quantile is one of its own, and so is what lies between two of
     them, and null ids. A zone of one id is cut by ties, which are spread evenly, the others by ids.
@@ -96,33 +96,29 @@ def in_blocks(docs: DataFrame) -> DataFrame:
     low, high = (F.expr(f"double(get({bounds}, int(zone / 2) - {k}))") for k in (1, 0))
     by_id = (F.col("doc_id").cast("double") - low) / (high - low)
     part = F.when(F.col("zone") % 2 == 0, by_tie).otherwise(by_id)
-    block = F.floor(F.least(F.greatest(part, F.lit(0.0)), F.lit(1 - 2.0 ** -40)) * F.element_at(pieces, F.col("zone")))
-    return zoned.withColumn("block", block)
+    piece = F.floor(F.least(F.greatest(part, F.lit(0.0)), F.lit(1 - 2.0 ** -40)) * F.element_at(pieces, F.col("zone")))
+    return zoned.withColumn("block", F.col("zone").cast("long") * (1 << 48) + piece)
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """`block`, `row` (together unique), `doc_id`, `text`, `next`: each document with the text that follows."""
     blocked = in_blocks(docs)
     place = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))), "tie")
-    firsts = blocked.groupBy("zone", "block").agg(F.min_by("text", place).alias("text"))
+    firsts = blocked.groupBy("block").agg(F.min_by("text", place).alias("text"))
     numbers = blocked.select("zone", "block").distinct()
     ends = {r.zone: r.last for r in numbers.groupBy("zone").agg(F.max("block").alias("last")).orderBy("zone").collect()}
     zones = list(ends)  # one for each quantile and gap, at most
     before = F.expr("map({})".format(", ".join(  # the last block of the zone before; of the first zone, of the last
-        f"{z}, named_struct('zone', {zones[i - 1]}, 'block', {ends[zones[i - 1]]}L)" for i, z in enumerate(zones)))
-        if zones else "map(0, named_struct('zone', 0, 'block', 0L))")
+        f"{z}, {ends[zones[i - 1]]}L" for i, z in enumerate(zones)) or "0, 0L"))
     inner = F.lag("block").over(Window.partitionBy("zone").orderBy("block"))
-    links = numbers.withColumn("inner", inner).withColumn(
-        "to", F.when(F.col("inner").isNotNull(), F.struct("zone", F.col("inner").alias("block"))).otherwise(
-            F.element_at(before, F.col("zone"))))
-    guests = firsts.join(links, ["zone", "block"]).select(
+    links = numbers.withColumn("to", F.coalesce(inner, F.element_at(before, F.col("zone"))))
+    guests = firsts.join(links, "block").select(
         F.lit(None).cast("long").alias("doc_id"), "text", F.lit(0).cast("long").alias("tie"),
-        "to.zone", "to.block", F.lit(True).alias("guest"))
-    everyone = blocked.withColumn("guest", F.lit(False)).unionByName(guests)
-    turn = Window.partitionBy("zone", "block").orderBy("guest", F.col("doc_id").asc_nulls_first(), "tie")
+        F.col("to").alias("block"), F.lit(True).alias("guest"))
+    everyone = blocked.drop("zone").withColumn("guest", F.lit(False)).unionByName(guests)
+    turn = Window.partitionBy("block").orderBy("guest", F.col("doc_id").asc_nulls_first(), "tie")
     return (everyone.withColumn("next", F.lead("text").over(turn)).withColumn("row", F.row_number().over(turn))
-            .where(~F.col("guest"))
-            .select((F.col("zone").cast("long") * (1 << 48) + F.col("block")).alias("block"), "row", "doc_id", "text", "next"))
+            .where(~F.col("guest")).select("block", "row", "doc_id", "text", "next"))
 
 
 def edited_neighbours(docs: DataFrame) -> DataFrame:
