@@ -38,6 +38,8 @@ SLICE_BYTES, BUCKET_BYTES, READ_BYTES = 5 << 20, 12 << 20, 128 << 20
 PRINT_BITS = 48
 #: The bitmaps of frequent pairs hold at most so many bits together (64 MB are broadcast at most).
 MAP_BITS = 1 << 29
+#: Parts of a language whose best phrases are ranked before all are.
+SHARDS = 64
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _COUNT = np.dtype([("print", "<u8"), ("count", "<u4")])
@@ -396,6 +398,8 @@ def phrases(documents: DataFrame, least: int = 30, longest: int = 4, share: int
     scored = (cuts.withColumn("score", score).groupBy("lang", "phrase", F.col("f").alias("a"))
               .agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
               .select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score"))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    return (scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-            .join(words, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score"))
+    order = F.desc("score"), F.desc("a"), "phrase"
+    shard = F.pmod(F.xxhash64("phrase"), F.lit(SHARDS))  # so the last ranking sees a bounded number of rows
+    for by in (("lang", shard), ("lang",)):
+        scored = scored.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= top)
+    return (scored.join(words, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score"))
