@@ -1,18 +1,21 @@
 """Phrases, hard negatives and token counts: against plain Python and the tokenizers library."""
 
+import glob
 import math
+import os
 import random
 import re
 import unicodedata
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from textwarden.llm import collocations, negatives, prefixes
+from textwarden.llm import collocations, negatives, prefixes, queries
 
 
 def brute_phrases(rows, least, longest=4, share=80, top=2000):
@@ -188,3 +191,17 @@ def test_negatives_refuse_scores_beyond_64_bits(spark):
     df = spark.createDataFrame([(0, 1, [1e16] * 9), (1, 1, [1e16] * 9)], "vec_id long, label int, embedding array<double>")
     with pytest.raises(Exception, match="64 bits"):
         mined(df, "vec_id = 0")
+
+
+@pytest.mark.parametrize("name", list(queries.ORACLES))
+def test_queries_equal_their_sql(spark, name):
+    con = duckdb.connect()
+    for path in glob.glob("/root/testdata/sf0.001/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}'")
+    df = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    columns = sorted(df.columns)
+    result = con.execute(queries.ORACLES[name])
+    order = [d[0] for d in result.description]
+    assert sorted(order) == columns
+    want = sorted((tuple(r[order.index(c)] for c in columns) for r in result.fetchall()), key=repr)
+    assert sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr) == want

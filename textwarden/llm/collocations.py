@@ -403,3 +403,35 @@ def phrases(documents: DataFrame, least: int = 30, longest: int = 4, share: int
     for by in (("lang", shard), ("lang",)):
         scored = scored.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= top)
     return (scored.join(words, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score"))
+
+
+ORACLE_SQL = r"""
+WITH lists AS (
+    SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS words
+    FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+              translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+          FROM documents WHERE text IS NOT NULL)),
+grams AS (
+    SELECT lang, size, array_to_string(words[i:i + size - 1], ' ') AS phrase
+    FROM (SELECT lang, words, size, unnest(range(1, len(words) - size + 2)) AS i
+          FROM lists, (VALUES (1), (2), (3), (4)) s(size))),
+f AS (SELECT lang, size, phrase, count(*) AS f FROM grams GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang),
+often AS (SELECT lang, size, phrase, f, string_split(phrase, ' ') AS words FROM f WHERE f >= 30),
+parts AS (
+    SELECT lang, f, array_to_string(words[i:i + part - 1], ' ') AS phrase
+    FROM (SELECT *, unnest(range(1, size - part + 2)) AS i
+          FROM often, (VALUES (2), (3)) p(part) WHERE part < size)),
+longest AS (SELECT lang, phrase, max(f) AS most FROM parts GROUP BY ALL),
+kept AS (SELECT o.* FROM often o LEFT JOIN longest USING (lang, phrase)
+         WHERE size > 1 AND (most IS NULL OR 100 * most < 80 * f)),
+cuts AS (
+    SELECT lang, phrase, f AS a, k, array_to_string(words[1:k], ' ') AS head, array_to_string(words[k + 1:], ' ') AS tail
+    FROM (SELECT *, unnest(range(1, size)) AS k FROM kept)),
+scored AS (
+    SELECT c.lang, c.phrase, a, k, h.f AS l, t.f AS r, ((2000000::HUGEINT * a) // (h.f::HUGEINT + t.f))::BIGINT AS score
+    FROM cuts c JOIN often h ON h.lang = c.lang AND h.phrase = head JOIN often t ON t.lang = c.lang AND t.phrase = tail
+    QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM scored JOIN n USING (lang) QUALIFY rank <= 2000
+"""

@@ -86,4 +86,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_collocations": op13_collocations,
 }
 
-ORACLES: dict[str, str] = {"op10_chat": chat.ORACLE_SQL, "op12_negatives": negatives.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op10_chat": chat.ORACLE_SQL, "op12_negatives": negatives.ORACLE_SQL,
+                           "op13_collocations": collocations.ORACLE_SQL}
