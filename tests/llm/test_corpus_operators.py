@@ -171,6 +171,33 @@ def test_passages_compare_the_words_of_gaps(spark):
     assert [r for r in rows if r[0] == 3] == [(3, 2, 0, len(edited), 0, 70)]
 
 
+def test_passages_of_a_seed_at_many_places(spark):
+    rng = random.Random(9)
+    word = lambda n: [f"w{rng.randrange(10 ** 6)}" for _ in range(n)]
+    line, texts = word(6), {}
+    passage = line + word(3) + line + word(2) + line + word(4) + line + word(3)  # most of its seeds are those of the line
+    for i, (before, after) in enumerate(((10, 90), (80, 30), (45, 60))):
+        texts[i] = [w for k in range(before) for w in line + word(30)] + passage + [w for k in range(after) for w in word(30) + line]
+    for i, n in enumerate((12, 90, 700)):
+        texts[10 + i] = word(10) + line * n + word(10)
+    rows = found_passages(spark, texts)
+    for a, b in ((1, 0), (2, 0), (2, 1)):  # the passage has another rank among the line's places in each
+        at = [next(k for k in range(len(texts[i])) if texts[i][k:k + len(passage)] == passage) for i in (a, b)]
+        assert any(r[:2] == (a, b) and r[2] <= at[0] and r[3] >= at[0] + len(passage) and r[4] - r[2] == at[1] - at[0] for r in rows)
+    for a, b, n, m in ((11, 10, 90, 12), (12, 10, 700, 12), (12, 11, 700, 90)):  # each word of both runs is in a passage
+        found = [r for r in rows if r[:2] == (a, b)]
+        assert {k for r in found for k in range(r[2], r[3])} == set(range(10, 10 + 6 * n))
+        assert {k for r in found for k in range(r[4], r[5])} == set(range(10, 10 + 6 * m))
+        assert all(r[3] - r[2] == r[5] - r[4] for r in found)
+
+
+def test_matches_of_places_without_a_run():
+    here, there = np.sort(np.random.default_rng(1).choice(10 ** 6, (2, 90), replace=False), 1)
+    none = np.zeros(90, np.uint32)
+    i, j = passages.matched(here, there, none, none)
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == {(a, b) for a in here.tolist() for b in there.tolist()}
+
+
 def test_fenwick_chain_prefers_the_ascending_matches():
     pos = np.array([0, 8, 16, 24, 32, 40])
     there = np.array([100, 108, 3, 124, 132, 1])
