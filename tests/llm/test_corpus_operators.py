@@ -230,6 +230,57 @@ def test_classes_of_copies_and_shared_ids_count_all_links(spark):
     assert {i: (r.class_id, r.n_links) for i, r in got.items()} == {i: (least[i], sum(i in p for p in pairs)) for i in have}
 
 
+def test_classes_cover_what_every_pair_shares(spark, monkeypatch):
+    rng = random.Random(11)
+    word = lambda n: [f"w{rng.randrange(10 ** 6)}" for _ in range(n)]
+    form, run, rows = word(70), word(1), []
+    for i in range(36):  # near copies, repeated words and both, all frequent
+        own, k = list(form), rng.randrange(5, 65)
+        own[k:k + 1] = [[f"edit{i}"], [], word(2)][i % 3]
+        rows.append((i, " ".join(word(i % 5) + (own if i % 4 else run * (20 + i) + word(i % 3) + run * 9) + (run * (15 + i) if i % 6 == 1 else word(9)))))
+    rows += [(40, rows[0][1]), (41, rows[0][1]), (42, rows[5][1]), (5, rows[8][1])]
+    monkeypatch.setattr(passages, "HOT", 4)
+    monkeypatch.setattr(passages, "BLOCK", 8)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    pairs = [tuple(r) for r in passages.passages(df).collect()]
+    got = {r.doc_id: r for r in passages.classes(df).collect()}
+    links = {(a, b) for a, b, *_ in pairs} | {(b, a) for a, b, *_ in pairs}
+    assert {i: r.n_links for i, r in got.items()} == {i: sum(a == i for a, _ in links) for i in got}
+    held = {i: {k for a, b, s, e, t, f in pairs if i in (a, b) for k in range(*((s, e) if a == i else (t, f)))} for i in got}
+    for i, r in got.items():
+        parts = [tuple(map(int, p.split(":"))) for p in r.passages.split(",") if p]
+        assert (r.n_passages, r.n_words) == (len(parts), sum(e - s for s, e in parts))
+        if i != 5:  # the words of its two texts are numbered apart
+            assert {k for s, e in parts for k in range(s, e)} == held[i]
+
+
+def test_cores_are_compared_as_by_chains(monkeypatch):
+    rng = random.Random(12)
+    form = [f"f{k}" for k in range(60)]
+    texts = []
+    for i in range(60):
+        own, k = list(form), rng.randrange(60)
+        own[k:k + 1] = [["x"], [], ["y", "z"]][i % 3]
+        run = ["r"] * rng.randrange(10, 50)
+        texts.append([own, run, ["r", "s"] * rng.randrange(8, 20), run + own[:30], own[:40] + own[20:]][i % 5])
+    data = " ".join(w for t in texts for w in t).encode()
+    offsets = np.cumsum([0] + [len(" ".join(t)) + 1 for t in texts])
+    offsets[-1] -= 1
+    doc, at, h, gap = passages.seeds(np.frombuffer(data, np.uint8), offsets)
+    word, own, _ = passages.words_of(np.frombuffer(data, np.uint8), offsets)
+    count = lambda x: np.bincount(x, minlength=len(texts))
+    block = passages._Block([repeats.packed(
+        row=np.arange(len(texts)), start=np.zeros(len(texts), np.int64), n=count(doc), size=count(own), h=h, at=at, gap=gap,
+        core=(word >> np.uint64(32)).astype(np.uint32), around=np.zeros(len(texts) * 2 * passages.BEYOND, np.uint32),
+        weight=np.ones(len(texts), np.int64), several=np.zeros(len(texts), bool))])
+    ranges = lambda: [sorted(map(tuple, passages._alike(block, block, me, 16, 0.8)[:5].T.tolist())) for me in range(len(block.seen))]
+    found = ranges()
+    monkeypatch.setattr(passages, "_lines", lambda *_: ([np.zeros((4, 0), np.int64)], []))
+    monkeypatch.setattr(passages, "_level", lambda a, b, me, core, *_: np.stack([0 * core, 0 * core + 10 ** 6, 0 * core]))  # all are aligned
+    assert found == ranges()
+    assert sum(map(len, found)) > 500
+
+
 def test_fenwick_chain_prefers_the_ascending_matches():
     pos = np.array([0, 8, 16, 24, 32, 40])
     there = np.array([100, 108, 3, 124, 132, 1])
