@@ -254,6 +254,89 @@ def test_classes_cover_what_every_pair_shares(spark, monkeypatch):
             assert {k for s, e in parts for k in range(s, e)} == held[i]
 
 
+def seeds_of(texts):
+    """Words, and the seeds' text, place, hash and gap, of texts that are lists of words."""
+    data = " ".join(w for t in texts for w in t).encode()
+    offsets = np.cumsum([0] + [len(" ".join(t)) + 1 for t in texts])
+    offsets[-1] -= 1
+    data = np.frombuffer(data, np.uint8)
+    word, own, _ = passages.words_of(data, offsets)
+    words = [(word[own == i] >> np.uint64(32)).astype(np.uint32) for i in range(len(texts))]
+    doc, pos, h, gap = passages.seeds(data, offsets)
+    return words, doc, pos.astype(np.int64), h, gap
+
+
+def test_chains_lose_no_words_that_a_passage_needs():
+    rng = random.Random(13)
+    word = lambda n: [f"w{rng.randrange(10 ** 6)}" for _ in range(n)]
+    form, line, texts = word(90), word(20), []
+    for _ in range(30):  # edits, words left out, frequent lines within and beside, repeated words
+        a = rng.randrange(60)
+        own = form[a:a + rng.randrange(20, 90)]
+        for _ in range(rng.randrange(4)):
+            k = rng.randrange(len(own))
+            own[k:k + rng.randrange(3)] = [word(1), [], line, ["r"] * 12][rng.randrange(4)]
+        texts.append(word(rng.randrange(20)) + line[rng.randrange(20):] + own + line[:rng.randrange(20)] + word(30) + form[:12])
+    words, doc, pos, h, gap = seeds_of(texts)
+    for hot in (2, 12, 64):
+        found, often = passages.paired(h, doc, pos, gap, hot)
+        a, b, x, y = np.concatenate(found, 1)
+        links, often = {"row": a, "other": b, "pos": x, "shift": y - x}, {"row": doc[often], "pos": pos[often], "h": h[often], "gap": gap[often]}
+        _, near, places = passages._places([often], 30)
+        chained = passages._linked([links], near, places, 30)
+        got, carried = set(), 0
+        for _, _, _, blob in passages._cut_out(chained, words, 3) if chained else ():
+            part = passages._whole(blob)
+            carried += len(part["cut"])
+            got |= set(passages._compared(part, words, 30, 0.8))
+        want, whole = set(), 0
+        for i in range(len(texts)):
+            for j in range(len(texts)):
+                k = np.flatnonzero((a == i) & (b == j))
+                k = k[np.lexsort((y[k], x[k]))]
+                for p, q in passages._chains(x[k], y[k]) if len(k) else ():
+                    whole += p[-1] + passages.RUN + 64 - max(0, p[0] - 64)
+                    for s, e, t, f, _ in passages.aligned(words[i].tolist(), words[j].tolist(), p, q, 30, 0.8):
+                        want.add((i, j, s, e, t, f) if i > j else (j, i, t, f, s, e))
+        assert got == want and (hot == 2 or len(got) > 50)
+        assert carried < whole / 2
+
+
+def test_short_repeats_carry_no_words():
+    rng = random.Random(14)
+    word = lambda n: [f"w{rng.randrange(10 ** 6)}" for _ in range(n)]
+    lines = [word(15) for _ in range(10)]
+    _, doc, pos, h, gap = seeds_of([[w for line in rng.sample(lines, 6) for w in word(40) + line] for _ in range(8)])
+    a, b, x, y = np.concatenate(passages.paired(h, doc, pos, gap, 64)[0], 1)
+    assert len(a) > 100
+    none = np.zeros(0, np.int64)
+    assert passages._linked([{"row": a, "other": b, "pos": x, "shift": y - x}], none, none, 30) == {}
+
+
+def test_blocks_are_sent_to_tiles_not_to_all_blocks(spark, monkeypatch):
+    rng = random.Random(15)
+    word = lambda n: [f"w{rng.randrange(10 ** 6)}" for _ in range(n)]
+    forms, rows = [word(50) for _ in range(3)], []
+    for i in range(60):
+        own = [w for form in forms[i % 3:i % 3 + 1 + i % 2] for w in form + word(30)]
+        own[10 + i % 30] = f"edit{i}"
+        rows.append((i, " ".join(word(i % 7) + own)))
+    rows += [(70, rows[1][1]), (3, rows[4][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(passages, "HOT", 4)
+    want = sorted(map(tuple, passages.classes(df).collect()))
+    assert sum(r[2] for r in want) > 1000
+    monkeypatch.setattr(passages, "BLOCK", 2)
+    monkeypatch.setattr(passages, "TILES", 3)
+    assert sorted(map(tuple, passages.classes(df).collect())) == want
+    _, stretches = passages.matches(passages._rows(df))
+    stretches = stretches.selectExpr("*", "1L AS weight", "false AS several")
+    assert stretches.count() > 40
+    sent = passages._pairs_of_blocks(stretches.coalesce(1), None, 3)
+    blocks = sent.select("block").distinct().count()
+    assert blocks > 20 and sent.count() <= blocks * (3 + -(-blocks // 8))
+
+
 def test_cores_are_compared_as_by_chains(monkeypatch):
     rng = random.Random(12)
     form = [f"f{k}" for k in range(60)]
